@@ -47,25 +47,17 @@ def check_domains(tables: Tables) -> DataFrame:
     """(table_name, column_name, rule, violations): NOT NULL and enumerated columns, one pass per table."""
     found = []
     for table, columns in schema.SCHEMAS.items():
-        rules = [(f.name, "not_null", F.col(f.name).isNull()) for f in columns if not f.nullable]
-        rules += [
-            (column, "domain", F.col(column).isNotNull() & ~F.col(column).isin(*allowed))
-            for (owner, column), allowed in schema.DOMAINS.items()
-            if owner == table
+        rules = [(f.name, "not_null", f"{f.name} IS NULL") for f in columns if not f.nullable]
+        for (owner, column), allowed in schema.DOMAINS.items():
+            if owner == table:
+                values = ", ".join(f"'{v}'" for v in allowed)
+                rules.append((column, "domain", f"{column} NOT IN ({values})"))
+        counts = tables[table].selectExpr(*[f"count_if({broken}) AS n{i}" for i, (_, _, broken) in enumerate(rules)])
+        rows = [
+            f"named_struct('table_name', '{table}', 'column_name', '{column}', 'rule', '{rule}', 'violations', n{i})"
+            for i, (column, rule, _) in enumerate(rules)
         ]
-        counts = tables[table].agg(*[F.count_if(broken).alias(f"_{i}") for i, (_, _, broken) in enumerate(rules)])
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(table).alias("table_name"),
-                    F.lit(column).alias("column_name"),
-                    F.lit(rule).alias("rule"),
-                    F.col(f"_{i}").alias("violations"),
-                )
-                for i, (column, rule, _) in enumerate(rules)
-            ]
-        )
-        found.append(counts.select(F.inline(rows)))
+        found.append(counts.selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from forecourt import schema
 from forecourt.tables import Tables, conform, seed_rows
@@ -32,204 +31,181 @@ class Source:
         return self._opened[table]
 
 
-def pick(values: Sequence[str], index: Column) -> Column:
+# SQL expressions over the source columns.
+
+
+def pick(values: Sequence[str], index: str) -> str:
     """The value at a zero-based index; the split of a constant is folded to a constant array."""
-    return F.element_at(F.split(F.lit("|".join(values)), "[|]"), (index + 1).cast("int"))
+    return f"element_at(split('{'|'.join(values)}', '[|]'), cast({index} + 1 AS int))"
 
 
-def padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
+def padded(number: str, width: int) -> str:
+    return f"lpad(cast({number} AS string), {width}, '0')"
 
 
-def vin_of(order_key: Column) -> Column:
-    return F.concat(F.lit("VIN"), padded(order_key, 14))
+def vin_of(order_key: str) -> str:
+    return f"concat('VIN', {padded(order_key, 14)})"
 
 
-def vendor_of(supplier_key: Column) -> Column:
-    return F.concat(F.lit("Vendor "), supplier_key.cast("string"))
+def vendor_of(supplier_key: str) -> str:
+    return f"concat('Vendor ', {supplier_key})"
 
 
-def username_of(nation_key: Column) -> Column:
-    return F.concat(F.lit("user"), nation_key.cast("string"))
+def username_of(nation_key: str) -> str:
+    return f"concat('user', {nation_key})"
 
 
-def ssn_of(customer_key: Column) -> Column:
+def ssn_of(customer_key: str) -> str:
     return padded(customer_key, 12)
 
 
-def tax_id_of(customer_key: Column) -> Column:
-    return F.concat(padded(customer_key % 100, 2), F.lit("-"), padded(customer_key, 12))
+def tax_id_of(customer_key: str) -> str:
+    return f"concat({padded(f'({customer_key}) % 100', 2)}, '-', {padded(customer_key, 12)})"
 
 
-def identifier_of(customer_key: Column) -> Column:
-    return F.when(customer_key % 5 == 0, tax_id_of(customer_key)).otherwise(ssn_of(customer_key))
+def identifier_of(customer_key: str) -> str:
+    return f"CASE WHEN ({customer_key}) % 5 = 0 THEN {tax_id_of(customer_key)} ELSE {ssn_of(customer_key)} END"
 
 
-def _text(prefix: str, key: Column, suffix: str = "") -> Column:
-    return F.concat(F.lit(prefix), key.cast("string"), F.lit(suffix))
+def columns(**expressions: str) -> list[str]:
+    return [f"{expression} AS {name}" for name, expression in expressions.items()]
 
 
-class OrderColumns:
-    """Dealership values of an order row."""
-
-    def __init__(self) -> None:
-        key, customer = F.col("o_orderkey"), F.col("o_custkey")
-        self.key, self.customer = key, customer
-        self.vin = vin_of(key)
-        self.clerk = username_of(key % 9 * 3)
-        self.salesperson = username_of(key % 8 * 3 + 1)
-        self.buyer = customer.bitwiseXOR(F.lit(1))  # the neighbour of the seller
-        self.is_sold = F.col("o_orderstatus") == "F"
-        self.colors = F.when(
-            key % 11 != 0,
-            F.transform(
-                F.sequence(F.lit(0), (key % 3).cast("int")), lambda k: pick(schema.COLORS, (key * 5 + k * 11) % 26)
-            ),
-        )
-        self.paid = F.col("o_totalprice").cast(schema.MONEY)
-        self.bought_on = F.col("o_orderdate").cast("date")
-        self.sold_for = F.round(F.lit("1.25").cast("decimal(3,2)") * self.paid, 2).cast(schema.MONEY)
-        self.sold_on = F.date_add(self.bought_on, (key % 90).cast("int"))
-
-    def vehicle(self) -> list[Column]:
-        key, customer = self.key, self.customer
-        level = F.substring("o_orderpriority", 1, 1)
-        condition = (
-            F.when(level == "1", "Excellent")
-            .when(level == "2", "Very Good")
-            .when(level == "3", "Good")
-            .otherwise("Fair")
-        )
-        model = F.concat(pick(MODEL_NAMES, (key + customer) % 10), F.lit(" "), (key % 7 + 1).cast("string"))
-        about = F.concat(F.lower("o_orderpriority"), F.lit(" trade-in, "), model)
-        return [
-            self.vin.alias("vin"),
-            pick(schema.VEHICLE_TYPES, key % 9).alias("vehicle_type"),
-            pick(schema.MANUFACTURERS, (key * 7 + customer) % 48).alias("manufacturer_name"),
-            condition.alias("condition"),
-            model.alias("model_name"),
-            (key % 46 + 1980).cast("int").alias("year"),
-            pick(schema.FUEL_TYPES, (key + customer) % 7).alias("fuel_type"),
-            (key % 440 + 60).cast("int").alias("horsepower"),
-            F.when(key % 5 != 0, about).alias("description"),
-        ]
+VIN = vin_of("o_orderkey")
+CLERK = username_of("o_orderkey % 9 * 3")
+SALESPERSON = username_of("(o_orderkey % 8 * 3 + 1)")
+BUYER = "(o_custkey ^ 1)"  # the neighbour of the seller
+IS_SOLD = "o_orderstatus = 'F'"
+COLOR_LIST = (
+    "CASE WHEN o_orderkey % 11 <> 0 THEN transform(sequence(0, cast(o_orderkey % 3 AS int)), "
+    f"k -> {pick(schema.COLORS, '(o_orderkey * 5 + k * 11) % 26')}) END"
+)
+PAID = "cast(o_totalprice AS decimal(12,2))"
+BOUGHT_ON = "cast(o_orderdate AS date)"
+SOLD_FOR = f"cast(round(1.25 * {PAID}, 2) AS decimal(12,2))"
+SOLD_ON = f"date_add({BOUGHT_ON}, cast(o_orderkey % 90 AS int))"
+MODEL = f"concat({pick(MODEL_NAMES, '(o_orderkey + o_custkey) % 10')}, ' ', o_orderkey % 7 + 1)"
+VEHICLE = columns(
+    vin=VIN,
+    vehicle_type=pick(schema.VEHICLE_TYPES, "o_orderkey % 9"),
+    manufacturer_name=pick(schema.MANUFACTURERS, "(o_orderkey * 7 + o_custkey) % 48"),
+    condition="CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Excellent' WHEN '2' THEN 'Very Good' "
+    "WHEN '3' THEN 'Good' ELSE 'Fair' END",
+    model_name=MODEL,
+    year="cast(o_orderkey % 46 + 1980 AS int)",
+    fuel_type=pick(schema.FUEL_TYPES, "(o_orderkey + o_custkey) % 7"),
+    horsepower="cast(o_orderkey % 440 + 60 AS int)",
+    description=f"CASE WHEN o_orderkey % 5 <> 0 THEN concat(lower(o_orderpriority), ' trade-in, ', {MODEL}) END",
+)
 
 
 def vehicles(source: Source) -> DataFrame:
-    return source.read("orders").select(*OrderColumns().vehicle())
+    return source.read("orders").selectExpr(*VEHICLE)
 
 
 def vehicle_colors(source: Source) -> DataFrame:
-    o = OrderColumns()
-    return source.read("orders").select(o.vin.alias("vin"), F.explode(o.colors).alias("color_name"))
+    return source.read("orders").selectExpr(*columns(vin=VIN, color_name=f"explode({COLOR_LIST})"))
 
 
 def purchases(source: Source) -> DataFrame:
-    o = OrderColumns()
-    return source.read("orders").select(
-        o.vin.alias("vin"),
-        o.customer.alias("customer_id"),
-        o.clerk.alias("username"),
-        o.paid.alias("purchase_price"),
-        o.bought_on.alias("purchased_on"),
+    return source.read("orders").selectExpr(
+        *columns(vin=VIN, customer_id="o_custkey", username=CLERK, purchase_price=PAID, purchased_on=BOUGHT_ON)
     )
 
 
 def sales(source: Source) -> DataFrame:
-    o = OrderColumns()
-    return (
-        source.read("orders")
-        .where(o.is_sold)
-        .select(
-            o.vin.alias("vin"),
-            o.buyer.alias("customer_id"),
-            o.salesperson.alias("username"),
-            o.sold_for.alias("sale_price"),
-            o.sold_on.alias("sold_on"),
-        )
+    rows = source.read("orders").where(IS_SOLD)
+    return rows.selectExpr(
+        *columns(vin=VIN, customer_id=BUYER, username=SALESPERSON, sale_price=SOLD_FOR, sold_on=SOLD_ON)
     )
 
 
+def _cents(aggregate: str) -> str:
+    return f"cast({aggregate}(cast(floor(l_extendedprice / 16) AS decimal(12,0))) / 100 AS decimal(12,2))"
+
+
 def part_lines(source: Source) -> DataFrame:
     """Line items with exact key copies collapsed (combined before the shuffle)."""
-    line = source.read("lineitem")
-    rank = F.when(F.col("l_linestatus") == "F", 3).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    cents = F.floor(F.col("l_extendedprice") / 16).cast("decimal(12,0)")
-    grouped = line.groupBy("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").agg(
-        F.max(F.floor(F.col("l_quantity") / 40).cast("int") + 1).alias("quantity"),
-        (F.max(cents) / F.lit(100).cast("decimal(3,0)")).cast(schema.MONEY).alias("unit_price"),
-        F.max(rank).alias("_rank"),
+    keys = ("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+    rank = "CASE WHEN l_linestatus = 'F' THEN 3 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END"
+    lines = source.read("lineitem").selectExpr(
+        *keys, "cast(floor(l_quantity / 40) AS int) + 1 AS q",
+        "cast(floor(l_extendedprice / 16) AS decimal(12,0)) AS cents", f"{rank} AS r",
+    )
+    merged = lines.groupBy(*keys).agg({"q": "max", "cents": "max", "r": "max"})
+    number = "concat('P', l_partkey, '-', l_linenumber)"
+    return merged.selectExpr(
+        *keys,
+        *columns(
+            vin=vin_of("l_orderkey"),
+            vendor_name=vendor_of("l_suppkey"),
+            order_num=padded("l_suppkey", 12),
+            order_number=f"concat({vin_of('l_orderkey')}, '-', {padded('l_suppkey', 12)})",
+            vendor_parts_number=number,
+            description=f"concat('Part ', {number})",
+            quantity="`max(q)`",
+            unit_price="cast(`max(cents)` / 100 AS decimal(12,2))",
+            status=pick(schema.PART_STATUSES, "`max(r)` - 1"),
+        ),
     )
-    return grouped.select(
-        "*",
-        vin_of(F.col("l_orderkey")).alias("vin"),
-        vendor_of(F.col("l_suppkey")).alias("vendor_name"),
-        F.concat(F.lit("P"), F.col("l_partkey"), F.lit("-"), F.col("l_linenumber")).alias("vendor_parts_number"),
-        padded(F.col("l_suppkey"), 12).alias("order_num"),
-        pick(schema.PART_STATUSES, F.col("_rank") - 1).alias("status"),
-    ).withColumn("order_number", F.concat("vin", F.lit("-"), "order_num"))
-
-
-def parts(source: Source) -> DataFrame:
-    return part_lines(source).withColumn("description", F.concat(F.lit("Part "), "vendor_parts_number"))
 
 
 def parts_orders(source: Source) -> DataFrame:
-    cost = F.sum(F.col("quantity") * F.col("unit_price")).cast(schema.MONEY)
-    return part_lines(source).groupBy("vin", "vendor_name", "order_number").agg(cost.alias("total_cost"))
+    lines = part_lines(source).selectExpr("vin", "vendor_name", "order_number", "quantity * unit_price AS cost")
+    return lines.groupBy("vin", "vendor_name", "order_number").sum("cost").withColumnRenamed("sum(cost)", "total_cost")
 
 
 def customers(source: Source) -> DataFrame:
     """Customer keys with contact columns and both kinds' columns, one row per source row."""
-    key = F.col("c_custkey")
-    nation = F.col("c_nationkey")
-    return source.read("customer").select(
-        key.alias("customer_id"),
-        F.when(key % 10 != 0, _text("c", key, "@example.com")).alias("email"),
-        padded(key, 10).alias("phone_number"),
-        _text("", key, " Main Street").alias("street"),
-        _text("City ", nation).alias("city"),
-        _text("State ", nation % 5).alias("state"),
-        padded(key, 12).alias("postal_code"),
-        (key % 5 == 0).alias("is_business"),
-        _text("First", key % 50).alias("first_name"),
-        F.col("c_name").alias("last_name"),
-        ssn_of(key).alias("social_security_number"),
-        _text("Company ", key).alias("business_name"),
-        tax_id_of(key).alias("tax_identification_number"),
-        F.lit("Pat").alias("contact_first_name"),
-        F.col("c_name").alias("contact_last_name"),
-        F.lit("Manager").alias("contact_title"),
-        nation.alias("nation_key"),
+    return source.read("customer").selectExpr(
+        *columns(
+            customer_id="c_custkey",
+            email="CASE WHEN c_custkey % 10 <> 0 THEN concat('c', c_custkey, '@example.com') END",
+            phone_number=padded("c_custkey", 10),
+            street="concat(c_custkey, ' Main Street')",
+            city="concat('City ', c_nationkey)",
+            state="concat('State ', c_nationkey % 5)",
+            postal_code=padded("c_custkey", 12),
+            is_business="c_custkey % 5 = 0",
+            first_name="concat('First', c_custkey % 50)",
+            last_name="c_name",
+            social_security_number=ssn_of("c_custkey"),
+            business_name="concat('Company ', c_custkey)",
+            tax_identification_number=tax_id_of("c_custkey"),
+            contact_first_name="'Pat'",
+            contact_last_name="c_name",
+            contact_title="'Manager'",
+            nation_key="c_nationkey",
+        )
     )
 
 
 def vendors(source: Source) -> DataFrame:
-    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
-    return source.read("supplier").select(
-        key.alias("supplier_key"),
-        vendor_of(key).alias("name"),
-        padded(key, 10).alias("phone_number"),
-        _text("", key, " Market Street").alias("street"),
-        _text("City ", nation).alias("city"),
-        _text("State ", nation % 5).alias("state"),
-        padded(key, 12).alias("postal_code"),
+    return source.read("supplier").selectExpr(
+        *columns(
+            supplier_key="s_suppkey",
+            name=vendor_of("s_suppkey"),
+            phone_number=padded("s_suppkey", 10),
+            street="concat(s_suppkey, ' Market Street')",
+            city="concat('City ', s_nationkey)",
+            state="concat('State ', s_nationkey % 5)",
+            postal_code=padded("s_suppkey", 12),
+        )
     )
 
 
 def users(source: Source) -> DataFrame:
-    key = F.col("n_nationkey")
     role = (
-        F.when(key == 0, "Owner")
-        .when(key % 3 == 0, "Inventory clerk")
-        .when(key % 3 == 1, "Salesperson")
-        .otherwise("Manager")
+        "CASE WHEN n_nationkey = 0 THEN 'Owner' WHEN n_nationkey % 3 = 0 THEN 'Inventory clerk' "
+        "WHEN n_nationkey % 3 = 1 THEN 'Salesperson' ELSE 'Manager' END"
     )
-    return source.read("nation").select(
-        username_of(key).alias("username"),
-        F.col("n_name").alias("first_name"),
-        _text("Region ", F.col("n_regionkey")).alias("last_name"),
-        role.alias("role"),
+    return source.read("nation").selectExpr(
+        *columns(
+            username=username_of("n_nationkey"),
+            first_name="n_name",
+            last_name="concat('Region ', n_regionkey)",
+            role=role,
+        )
     )
 
 
@@ -240,10 +216,10 @@ def dealership(source: Source) -> Tables:
         "vehicle_color": vehicle_colors,
         "vendor": vendors,
         "parts_order": parts_orders,
-        "part": parts,
+        "part": part_lines,
         "customer": customers,
-        "individual_customer": lambda s: customers(s).where(~F.col("is_business")),
-        "business_customer": lambda s: customers(s).where(F.col("is_business")),
+        "individual_customer": lambda s: customers(s).where("NOT is_business"),
+        "business_customer": lambda s: customers(s).where("is_business"),
         "user": users,
         "purchase": purchases,
         "sale": sales,
@@ -260,12 +236,11 @@ def _built(source: Source, name: str, build: Callable[[Source], DataFrame]) -> D
 # Raw files: the wide text rows the ingest operators read.
 
 
-def _as_text(df: DataFrame, keep: Sequence[str] = ("line_no",)) -> DataFrame:
-    return df.select(*[F.col(c) if c in keep else F.col(c).cast("string").alias(c) for c in df.columns])
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.selectExpr(*[c if c == "line_no" else f"cast({c} AS string) AS {c}" for c in df.columns])
 
 
 def raw_customers(source: Source) -> DataFrame:
-    business = F.col("is_business")
     firm = {
         "biz_tax_id": "tax_identification_number",
         "biz_name": "business_name",
@@ -274,68 +249,56 @@ def raw_customers(source: Source) -> DataFrame:
         "biz_contact_title": "contact_title",
     }
     person = {"person_ssn": "social_security_number", "person_first": "first_name", "person_last": "last_name"}
-    return customers(source).select(
-        F.when(business, "business").otherwise("person").alias("customer_type"),
-        "email",
-        F.col("phone_number").alias("phone"),
-        "street",
-        "city",
-        "state",
-        F.col("postal_code").alias("postal"),
-        *[F.when(business, F.col(c)).alias(name) for name, c in firm.items()],
-        *[F.when(~business, F.col(c)).alias(name) for name, c in person.items()],
-        F.col("customer_id").alias("line_no"),
-    )
+    return customers(source).selectExpr(
+        "if(is_business, 'business', 'person') AS customer_type",
+        "email", "phone_number AS phone", "street", "city", "state", "postal_code AS postal",
+        *columns(**{name: f"if(is_business, {c}, NULL)" for name, c in firm.items()}),
+        *columns(**{name: f"if(is_business, NULL, {c})" for name, c in person.items()}),
+        "customer_id AS line_no",
+    )
 
 
 def raw_users(source: Source) -> DataFrame:
-    owner = F.col("role") == "Owner"
-    return users(source).select(
-        F.when(owner, "owner").otherwise(F.col("username")).alias("username"),
-        F.lit("secret").alias("password"),
+    return users(source).selectExpr(
+        "if(role = 'Owner', 'owner', username) AS username",
+        "'secret' AS password",
         "first_name",
         "last_name",
-        F.when(owner, "inventory clerk,salesperson,manager").otherwise(F.lower("role")).alias("role"),
+        "if(role = 'Owner', 'inventory clerk,salesperson,manager', lower(role)) AS role",
     )
 
 
 def raw_vendors(source: Source) -> DataFrame:
-    return _as_text(vendors(source).drop("supplier_key")).withColumnsRenamed(
-        {"name": "vendor_name", "phone_number": "phone"}
+    return vendors(source).selectExpr(
+        "name AS vendor_name", "phone_number AS phone", "street", "city", "state", "postal_code"
     )
 
 
 def raw_vehicles(source: Source) -> DataFrame:
     """Every order as a wide vehicle row; every 97th names a seller nobody knows."""
-    o = OrderColumns()
-    wide = {
-        "purchase_clerk": o.clerk,
-        "purchased_from_customer": F.when(o.key % 97 == 0, F.lit("nobody")).otherwise(identifier_of(o.customer)),
-        "price": o.paid,
-        "purchase_date": o.bought_on,
-        "colors": F.coalesce(F.array_join(o.colors, ", "), F.lit("")),
-        "sale_date": F.when(o.is_sold, o.sold_on),
-        "sold_to_customer": F.when(o.is_sold, identifier_of(o.buyer)),
-        "salesperson": F.when(o.is_sold, o.salesperson),
-    }
-    rows = source.read("orders").select(*o.vehicle(), *[value.alias(name) for name, value in wide.items()])
+    rows = source.read("orders").selectExpr(
+        *VEHICLE,
+        *columns(
+            purchase_clerk=CLERK,
+            purchased_from_customer=f"CASE WHEN o_orderkey % 97 = 0 THEN 'nobody' ELSE {identifier_of('o_custkey')} END",
+            price=PAID,
+            purchase_date=BOUGHT_ON,
+            colors=f"coalesce(array_join({COLOR_LIST}, ', '), '')",
+            sale_date=f"CASE WHEN {IS_SOLD} THEN {SOLD_ON} END",
+            sold_to_customer=f"CASE WHEN {IS_SOLD} THEN {identifier_of(BUYER)} END",
+            salesperson=f"CASE WHEN {IS_SOLD} THEN {SALESPERSON} END",
+        ),
+    )
     return _as_text(rows.withColumnRenamed("vin", "VIN"))
 
 
 def raw_parts(source: Source) -> DataFrame:
     return _as_text(
-        part_lines(source).select(
-            F.col("vin").alias("VIN"),
-            "order_num",
-            "vendor_name",
-            F.col("vendor_parts_number").alias("part_number"),
-            F.col("unit_price").alias("price"),
-            F.col("quantity").alias("qty"),
-            F.lower("status").alias("status"),
-            F.concat(F.lit("Part "), "vendor_parts_number").alias("description"),
-            F.col("l_linenumber").cast("bigint").alias("line_no"),
+        part_lines(source).selectExpr(
+            "vin AS VIN", "order_num", "vendor_name", "vendor_parts_number AS part_number", "unit_price AS price",
+            "quantity AS qty", "lower(status) AS status", "description", "cast(l_linenumber AS bigint) AS line_no",
         )
-    )
+    )
 
 
 # Batches of submissions for the write operators.
@@ -343,115 +306,93 @@ def raw_parts(source: Source) -> DataFrame:
 
 def vehicle_submissions(source: Source) -> DataFrame:
     """Every catalogue part offered as a vehicle; sizes divisible by ten have no horsepower."""
-    key = F.col("p_partkey")
-    return source.read("part").select(
-        key.alias("submission_id"),
-        F.concat(F.lit("NEW"), padded(key, 14)).alias("vin"),
-        pick(schema.VEHICLE_TYPES, key % 9).alias("vehicle_type"),
-        pick(schema.MANUFACTURERS, key % 48).alias("manufacturer_name"),
-        pick(schema.CONDITIONS, key % 4).alias("condition"),
-        F.col("p_name").alias("model_name"),
-        (key % 50 + 1978).cast("int").alias("year"),
-        pick(schema.FUEL_TYPES, key % 7).alias("fuel_type"),
-        (F.col("p_size") % 10).cast("int").alias("horsepower"),
-        F.concat("p_brand", F.lit(" "), "p_type").alias("description"),
-        F.array(pick(schema.COLORS, key % 26), pick((*schema.COLORS, "Plaid"), (key + 1) % 27)).alias("colors"),
-        username_of(key % 9 * 3).alias("username"),
-        identifier_of(key % 150).alias("seller_identifier"),
-        F.col("p_retailprice").cast(schema.MONEY).alias("purchase_price"),
-        F.lit("2024-05-01").cast("date").alias("purchased_on"),
+    return source.read("part").selectExpr(
+        *columns(
+            submission_id="p_partkey",
+            vin=f"concat('NEW', {padded('p_partkey', 14)})",
+            vehicle_type=pick(schema.VEHICLE_TYPES, "p_partkey % 9"),
+            manufacturer_name=pick(schema.MANUFACTURERS, "p_partkey % 48"),
+            condition=pick(schema.CONDITIONS, "p_partkey % 4"),
+            model_name="p_name",
+            year="cast(p_partkey % 50 + 1978 AS int)",
+            fuel_type=pick(schema.FUEL_TYPES, "p_partkey % 7"),
+            horsepower="cast(p_size % 10 AS int)",
+            description="concat(p_brand, ' ', p_type)",
+            colors=f"array({pick(schema.COLORS, 'p_partkey % 26')}, "
+            f"{pick((*schema.COLORS, 'Plaid'), '(p_partkey + 1) % 27')})",
+            username=username_of("p_partkey % 9 * 3"),
+            seller_identifier=identifier_of("p_partkey % 160"),
+            purchase_price="cast(p_retailprice AS decimal(12,2))",
+            purchased_on="date'2024-05-01'",
+        )
     )
 
 
 def customer_submissions(source: Source) -> DataFrame:
     """Every customer again: those with nation key below 5 unchanged (identifier exists), the others as new people."""
-    rows = customers(source)
-    fresh = F.when(F.col("nation_key") >= 5, F.lit("N")).otherwise(F.lit(""))
-    return rows.select(
-        F.col("customer_id").alias("submission_id"),
-        F.when(F.col("is_business"), "Business").otherwise("Individual").alias("customer_type"),
-        "email",
-        "phone_number",
-        "street",
-        "city",
-        "state",
-        "postal_code",
-        "first_name",
-        "last_name",
-        F.concat(fresh, "social_security_number").alias("social_security_number"),
+    fresh = "if(nation_key >= 5, 'N', '')"
+    return customers(source).selectExpr(
+        "customer_id AS submission_id",
+        "if(is_business, 'Business', 'Individual') AS customer_type",
+        "email", "phone_number", "street", "city", "state", "postal_code", "first_name", "last_name",
+        f"concat({fresh}, social_security_number) AS social_security_number",
         "business_name",
-        F.concat(fresh, "tax_identification_number").alias("tax_identification_number"),
-        "contact_first_name",
-        "contact_last_name",
-        "contact_title",
-    )
+        f"concat({fresh}, tax_identification_number) AS tax_identification_number",
+        "contact_first_name", "contact_last_name", "contact_title",
+    )
 
 
 def vendor_submissions(source: Source) -> DataFrame:
-    """Every supplier: even keys repeat an existing name, odd keys are new; a third of the new ones lack a phone."""
-    key = F.col("supplier_key")
-    return vendors(source).select(
-        key.alias("submission_id"),
-        F.when(key % 2 == 1, F.concat("name", F.lit("-B "))).otherwise(F.col("name")).alias("name"),
-        F.when(key % 3 == 0, F.lit("  ")).otherwise(F.col("phone_number")).alias("phone_number"),
-        "street",
-        "city",
-        "state",
-        "postal_code",
-    )
+    """Every supplier: even keys repeat an existing name, odd keys are new; every third lacks a phone."""
+    return vendors(source).selectExpr(
+        "supplier_key AS submission_id",
+        "if(supplier_key % 2 = 1, concat(name, '-B '), name) AS name",
+        "if(supplier_key % 3 = 0, '  ', phone_number) AS phone_number",
+        "street", "city", "state", "postal_code",
+    )
 
 
 def parts_order_submissions(source: Source) -> DataFrame:
     """One order of two parts per (order, line number) of all line items; sold vehicles will be refused."""
-    line = source.read("lineitem")
-    cents = F.floor(F.col("l_extendedprice") / 16).cast("decimal(12,0)")
-    key, number = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
-    merged = line.groupBy(key.alias("k"), number.alias("n")).agg(
-        F.min("l_suppkey").alias("s"),
-        F.min("l_partkey").alias("p"),
-        F.count(F.lit(1)).cast("int").alias("lines"),
-        (F.min(cents) / F.lit(100).cast("decimal(3,0)")).cast(schema.MONEY).alias("low"),
-        (F.max(cents) / F.lit(100).cast("decimal(3,0)")).cast(schema.MONEY).alias("high"),
-    )
-
-    def part(prefix: str, price: str, quantity: Column, status: str) -> Column:
-        label = F.concat(F.lit(prefix), F.col("p").cast("string"))
-        return F.struct(
-            F.concat(F.lit("Part "), label).alias("part_description"),
-            label.alias("vendor_part_number"),
-            F.col(price).alias("unit_price"),
-            quantity.alias("quantity"),
-            F.lit(status).alias("part_status"),
-        )
-
-    return merged.select(
-        (F.col("k") * 8 + F.col("n")).alias("submission_id"),
-        vin_of(F.col("k")).alias("vin"),
-        vendor_of(F.col("s")).alias("vendor_name"),
-        F.array(part("A", "low", F.col("lines"), "Ordered"), part("B", "high", F.lit(1), "Received")).alias("parts"),
+    return source.spark.sql(
+        f"""
+        SELECT k * 8 + n AS submission_id, {vin_of("k")} AS vin, {vendor_of("s")} AS vendor_name,
+               array(
+                   named_struct('part_description', concat('Part A', p), 'vendor_part_number', concat('A', p),
+                                'unit_price', low, 'quantity', lines, 'part_status', 'Ordered'),
+                   named_struct('part_description', concat('Part B', p), 'vendor_part_number', concat('B', p),
+                                'unit_price', high, 'quantity', 1, 'part_status', 'Received')) AS parts
+        FROM (
+            SELECT l_orderkey AS k, cast(l_linenumber AS bigint) AS n, min(l_suppkey) AS s, min(l_partkey) AS p,
+                   cast(count(*) AS int) AS lines, {_cents("min")} AS low, {_cents("max")} AS high
+            FROM {{lineitem}}
+            GROUP BY l_orderkey, l_linenumber)
+        """,
+        lineitem=source.read("lineitem"),
     )
 
 
 def status_updates(source: Source) -> DataFrame:
     """Two updates for every part line; those with part key divisible by 50 name an order that does not exist."""
-    new = pick(("Installed", "Received", "Ordered"), (F.col("l_partkey") + F.col("l_linenumber") * F.col("seq")) % 3)
-    ghost = F.when(F.col("l_partkey") % 50 == 0, F.lit("-X")).otherwise(F.lit(""))
-    return (
-        part_lines(source)
-        .withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
-        .select(
-            F.concat("order_number", ghost).alias("order_number"), "vendor_parts_number", new.alias("new_status"), "seq"
+    twice = part_lines(source).selectExpr("*", "explode(array(1, 2)) AS seq")
+    return twice.selectExpr(
+        *columns(
+            order_number="concat(order_number, if(l_partkey % 50 = 0, '-X', ''))",
+            vendor_parts_number="vendor_parts_number",
+            new_status=pick(("Installed", "Received", "Ordered"), "(l_partkey + l_linenumber * seq) % 3"),
+            seq="seq",
         )
     )
 
 
 def sale_submissions(source: Source) -> DataFrame:
     """Every order offered for sale to the seller's neighbour; vehicles already sold will be refused."""
-    o = OrderColumns()
-    return source.read("orders").select(
-        o.key.alias("submission_id"),
-        o.vin.alias("vin"),
-        F.when(o.key % 89 == 0, F.lit("nobody")).otherwise(identifier_of(o.buyer)).alias("buyer_identifier"),
-        o.salesperson.alias("username"),
-        F.date_add(o.bought_on, 30).alias("sold_on"),
+    return source.read("orders").selectExpr(
+        *columns(
+            submission_id="o_orderkey",
+            vin=VIN,
+            buyer_identifier=f"CASE WHEN o_orderkey % 89 = 0 THEN 'nobody' ELSE {identifier_of(BUYER)} END",
+            username=SALESPERSON,
+            sold_on=f"date_add({BOUGHT_ON}, 30)",
+        )
     )

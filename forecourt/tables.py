@@ -48,7 +48,7 @@ class Tables:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Select and cast a frame to the declared columns of `table` (other columns, such as passwords, are dropped)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.SCHEMAS[table]])
+    return df.selectExpr(*[f"cast({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.SCHEMAS[table]])
 
 
 def seed_rows(spark: SparkSession, table: str) -> DataFrame:
