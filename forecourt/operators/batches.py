@@ -52,6 +52,22 @@ def _keep_first(df: DataFrame, key: str, reason: str) -> DataFrame:
     return _add_reason(decided, reason, later).drop("_first_of_key")
 
 
+def _one_new_per_key(df: DataFrame, key: str, existing: DataFrame, exists: str, repeated: str) -> DataFrame:
+    """Reject a key that `existing` has already, and all but the first fine submission of a new key.
+
+    Both facts are gathered per key first, so the submissions are joined once; consecutive joins on one key
+    would share a partitioning that adaptive execution cannot split for a hot key.
+    """
+    facts = df.groupBy(key).agg(F.min(F.when(_fine(), F.col("submission_id"))).alias("_first"))
+    facts = mark(facts, existing, key, "_taken")
+    judged = df.join(facts, key, "left")
+    later = _fine() & ~F.coalesce(F.col("_first") == F.col("submission_id"), F.lit(False))
+    taken = F.coalesce("_taken", F.lit(False))
+    judged = judged.withColumn("_later", later & ~taken)
+    judged = _add_reason(_add_reason(judged, exists, taken), repeated, F.col("_later"))
+    return judged.drop("_first", "_taken", "_later")
+
+
 def _split(judged: DataFrame, pinned: bool) -> tuple[DataFrame, DataFrame]:
     judged = pin(judged) if pinned else judged
     return judged.where(_fine()), judged.where(~_fine()).select("submission_id", "reasons")
@@ -111,9 +127,9 @@ def apply_customer_batch(tables: Tables, submissions: DataFrame, *, pinned: bool
     )
     people = tables.individual_customer.select(F.concat(F.lit("I:"), "social_security_number").alias("_identity"))
     firms = tables.business_customer.select(F.concat(F.lit("B:"), "tax_identification_number").alias("_identity"))
-    judged = mark(judged, keys_of(people.unionByName(firms), "_identity"), "_identity", "_taken")
-    judged = _add_reason(judged, "identifier_exists", F.col("_taken")).drop("_taken")
-    accepted, rejects = _split(_keep_first(judged, "_identity", "identifier_repeated_in_batch"), pinned)
+    known = keys_of(people.unionByName(firms), "_identity")
+    judged = _one_new_per_key(judged, "_identity", known, "identifier_exists", "identifier_repeated_in_batch")
+    accepted, rejects = _split(judged, pinned)
 
     highest = tables.customer.agg(F.coalesce(F.max("customer_id"), F.lit(0)).alias("highest")).scalar()
     numbered = number_rows(accepted, "submission_id", name="_n").withColumn("customer_id", F.col("_n") + highest)
@@ -134,9 +150,8 @@ def apply_vendor_batch(tables: Tables, submissions: DataFrame, *, pinned: bool =
     """
     trimmed = submissions.withColumns({c: F.trim(c) for c in schema.SCHEMAS["vendor"].names})
     judged = quality.validate_submissions(trimmed, quality.vendor_rules())
-    judged = mark(judged, keys_of(tables.vendor, "name"), "name", "_taken")
-    judged = _add_reason(judged, "name_exists", F.col("_taken")).drop("_taken")
-    accepted, rejects = _split(_keep_first(judged, "name", "name_repeated_in_batch"), pinned)
+    judged = _one_new_per_key(judged, "name", keys_of(tables.vendor, "name"), "name_exists", "name_repeated_in_batch")
+    accepted, rejects = _split(judged, pinned)
     return BatchResult({"vendor": accepted.select(*schema.SCHEMAS["vendor"].names)}, rejects)
 
 
@@ -276,15 +291,15 @@ def apply_sales(tables: Tables, submissions: DataFrame, *, pinned: bool = False)
             ]
         ),
     )
-    for keys, reason, bad_when in (
-        (keys_of(tables.vehicle, "vin"), "unknown_vehicle", False),
-        (keys_of(tables.sale, "vin"), "already_sold", True),
-        (pending_vins(tables), "parts_pending", True),
-    ):
-        judged = mark(judged, keys, "vin", "_found")
-        judged = _add_reason(judged, reason, F.col("_found") == F.lit(bad_when)).drop("_found")
-    judged = judged.join(sale_prices(tables), "vin", "left")
-    judged = _add_reason(judged, "no_price", F.col("sale_price").isNull())
+    # One row of facts per vehicle, then a single join of the submissions.
+    facts = mark(keys_of(tables.vehicle, "vin"), keys_of(tables.sale, "vin"), "vin", "_sold")
+    facts = mark(facts, pending_vins(tables), "vin", "_waiting").join(sale_prices(tables), "vin", "left")
+    judged = judged.join(facts, "vin", "left")
+    known = F.col("_sold").isNotNull()
+    judged = _add_reason(judged, "unknown_vehicle", ~known)
+    judged = _add_reason(judged, "already_sold", known & F.col("_sold"))
+    judged = _add_reason(judged, "parts_pending", known & F.col("_waiting"))
+    judged = _add_reason(judged, "no_price", known & F.col("sale_price").isNull()).drop("_sold", "_waiting")
     judged = mark(judged, keys_of(tables.user, "username"), "username", "_known")
     judged = _add_reason(judged, "unknown_user", ~F.col("_known")).drop("_known")
     judged = _with_customer(tables, judged, "buyer_identifier")

@@ -102,23 +102,27 @@ def sale_attributes(tables: Tables, vins: str | DataFrame | None = None) -> Data
     return attribute_rows(sale_details(tables, vins), "vin", SALE_CONTACT_LABELS)
 
 
+def _identifier_rows(tables: Tables) -> DataFrame:
+    people = tables.individual_customer.select(F.col("social_security_number").alias("identifier"), "customer_id")
+    firms = tables.business_customer.select(F.col("tax_identification_number").alias("identifier"), "customer_id")
+    return people.unionByName(firms).where(F.col("identifier").isNotNull())
+
+
 def identifier_map(tables: Tables) -> DataFrame:
     """(identifier, customer_id) over both customer kinds: SSN or tax id.
 
     A union of two key columns lets every lookup be an equi-join; an OR over two joined columns could not be.
     """
-    people = tables.individual_customer.select(F.col("social_security_number").alias("identifier"), "customer_id")
-    firms = tables.business_customer.select(F.col("tax_identification_number").alias("identifier"), "customer_id")
-    return people.unionByName(firms).where(F.col("identifier").isNotNull()).distinct()
+    return _identifier_rows(tables).distinct()
 
 
 def first_customer_per_identifier(tables: Tables) -> DataFrame:
     """The identifier map with one (the lowest) customer id per identifier."""
-    return identifier_map(tables).groupBy("identifier").agg(F.min("customer_id").alias("customer_id"))
+    return _identifier_rows(tables).groupBy("identifier").agg(F.min("customer_id").alias("customer_id"))
 
 
 def customer_identifiers(tables: Tables) -> DataFrame:
-    return identifier_map(tables).select("identifier").distinct()
+    return _identifier_rows(tables).select("identifier").distinct()
 
 
 def customer_lookup(tables: Tables, identifiers: str | DataFrame) -> DataFrame:

@@ -87,12 +87,10 @@ def avg_inventory_time(tables: Tables) -> DataFrame:
     sold = tables.sale.groupBy("vin").agg(
         F.count("sold_on").alias("_s"), F.sum(F.datediff("sold_on", day)).alias("_s_days")
     )
-    types = tables.vehicle_type.select("vehicle_type")
     pairs = _times("_p") * _times("_s")
     days = _times("_p") * F.col("_s_days") - _times("_s") * F.col("_p_days") + pairs
     per_type = (
         tables.vehicle.select("vin", "vehicle_type")
-        .join(types, "vehicle_type")
         .join(bought, "vin", "left")
         .join(sold, "vin", "left")
         .groupBy("vehicle_type")
@@ -100,7 +98,8 @@ def avg_inventory_time(tables: Tables) -> DataFrame:
     )
     avg_days = exact_mean(F.col("_days"), F.col("_pairs"))
     text = F.when(F.coalesce("_sales", F.lit(0)) == 0, F.lit("N/A")).otherwise(avg_days.cast("string"))
-    return per_type.select("vehicle_type", avg_days.alias("avg_days"), text.alias("avg_inventory_time"))
+    # Declared types only; joined after the aggregate, when there is one row per type.
+    return per_type.join(tables.vehicle_type, "vehicle_type", "left_semi").select("vehicle_type", avg_days.alias("avg_days"), text.alias("avg_inventory_time"))
 
 
 def price_per_condition(tables: Tables) -> DataFrame:

@@ -120,39 +120,56 @@ def sales(source: Source) -> DataFrame:
     )
 
 
-def _cents(aggregate: str) -> str:
-    return f"cast({aggregate}(cast(floor(l_extendedprice / 16) AS decimal(12,0))) / 100 AS decimal(12,2))"
+LINE_KEYS = ("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+CENTS = "cast(cast(floor({price} / 16) AS decimal(12,0)) / 100 AS decimal(12,2))"
+ORDER_NUMBER = f"concat({vin_of('l_orderkey')}, '-', {padded('l_suppkey', 12)})"
 
 
-def part_lines(source: Source) -> DataFrame:
-    """Line items with exact key copies collapsed (combined before the shuffle)."""
-    keys = ("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+def _merged_lines(source: Source) -> DataFrame:
+    """Line items with exact key copies collapsed (combined before the shuffle, which carries numbers only)."""
     rank = "CASE WHEN l_linestatus = 'F' THEN 3 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END"
-    lines = source.read("lineitem").selectExpr(
-        *keys, "cast(floor(l_quantity / 40) AS int) + 1 AS q",
-        "cast(floor(l_extendedprice / 16) AS decimal(12,0)) AS cents", f"{rank} AS r",
-    )
-    merged = lines.groupBy(*keys).agg({"q": "max", "cents": "max", "r": "max"})
-    number = "concat('P', l_partkey, '-', l_linenumber)"
+    lines = source.read("lineitem").selectExpr(*LINE_KEYS, "l_quantity AS q", "l_extendedprice AS price", f"{rank} AS r")
+    merged = lines.groupBy(*LINE_KEYS).agg({"q": "max", "price": "max", "r": "max"})
     return merged.selectExpr(
-        *keys,
+        *LINE_KEYS,
+        "cast(floor(`max(q)` / 40) AS int) + 1 AS quantity",
+        f"{CENTS.format(price='`max(price)`')} AS unit_price",
+        "`max(r)` AS rank",
+    )
+
+
+def part_lines(source: Source) -> DataFrame:
+    number = "concat('P', l_partkey, '-', l_linenumber)"
+    return _merged_lines(source).selectExpr(
+        *LINE_KEYS,
         *columns(
             vin=vin_of("l_orderkey"),
             vendor_name=vendor_of("l_suppkey"),
             order_num=padded("l_suppkey", 12),
-            order_number=f"concat({vin_of('l_orderkey')}, '-', {padded('l_suppkey', 12)})",
+            order_number=ORDER_NUMBER,
             vendor_parts_number=number,
             description=f"concat('Part ', {number})",
-            quantity="`max(q)`",
-            unit_price="cast(`max(cents)` / 100 AS decimal(12,2))",
-            status=pick(schema.PART_STATUSES, "`max(r)` - 1"),
+            quantity="quantity",
+            unit_price="unit_price",
+            status=pick(schema.PART_STATUSES, "rank - 1"),
         ),
     )
 
 
 def parts_orders(source: Source) -> DataFrame:
-    lines = part_lines(source).selectExpr("vin", "vendor_name", "order_number", "quantity * unit_price AS cost")
-    return lines.groupBy("vin", "vendor_name", "order_number").sum("cost").withColumnRenamed("sum(cost)", "total_cost")
+    lines = _merged_lines(source).selectExpr("l_orderkey", "l_suppkey", "quantity * unit_price AS cost")
+    return (
+        lines.groupBy("l_orderkey", "l_suppkey")
+        .sum("cost")
+        .selectExpr(
+            *columns(
+                vin=vin_of("l_orderkey"),
+                vendor_name=vendor_of("l_suppkey"),
+                order_number=ORDER_NUMBER,
+                total_cost="`sum(cost)`",
+            )
+        )
+    )
 
 
 def customers(source: Source) -> DataFrame:
@@ -364,7 +381,8 @@ def parts_order_submissions(source: Source) -> DataFrame:
                                 'unit_price', high, 'quantity', 1, 'part_status', 'Received')) AS parts
         FROM (
             SELECT l_orderkey AS k, cast(l_linenumber AS bigint) AS n, min(l_suppkey) AS s, min(l_partkey) AS p,
-                   cast(count(*) AS int) AS lines, {_cents("min")} AS low, {_cents("max")} AS high
+                   cast(count(*) AS int) AS lines, {CENTS.format(price="min(l_extendedprice)")} AS low,
+                   {CENTS.format(price="max(l_extendedprice)")} AS high
             FROM {{lineitem}}
             GROUP BY l_orderkey, l_linenumber)
         """,
