@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,12 @@ def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
-    """The stored tables, with their declared schemas."""
-    return Tables(
-        **{name: spark.read.schema(columns).parquet(f"{folder}/{name}") for name, columns in schema.SCHEMAS.items()}
-    )
+    """The stored tables, with their declared schemas; a folder is opened when its table is first used."""
+    return Tables(**{name: partial(_read_table, spark, folder, name) for name in schema.TABLE_NAMES})
+
+
+def _read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(schema.SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
 def write_tables(frames: Mapping[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
