@@ -8,7 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Upper bound on the pieces one hot key is cut into.  Keys with few rows are unaffected by its size.
-DEFAULT_SALTS = 4096
+DEFAULT_SALTS = 1024
+
+
+def _salt(columns: Sequence[str], salts: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+
+
+def _spread(one: DataFrame, salted: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """`one` repeated once per salt that occurs with its key in `salted` (at most `salts` integers per key)."""
+    occurring = salted.groupBy(*key).agg(F.collect_set("_salt").alias("_salts"))
+    return one.join(occurring, list(key), how).withColumn("_salt", F.explode_outer("_salts")).drop("_salts")
+
+
+def lookup(
+    many: DataFrame,
+    one: DataFrame,
+    key: str | Sequence[str],
+    row_id: str | Sequence[str],
+    base: DataFrame | None = None,
+    how: str = "left",
+    salts: int = DEFAULT_SALTS,
+) -> DataFrame:
+    """`many JOIN one USING (key)` where `one` has one row per key and `many` may have a very hot key.
+
+    Adaptive execution splits a skewed side only when both sides come straight from a shuffle, which a side
+    aggregated by the join key never does.  So the rows of `many` are cut by a hash of `row_id`, and each
+    row of `one` is repeated once per salt that really occurs for its key: same result as the plain join.
+    `base` is the frame the keys and row ids come from, if that is shorter to compute than `many`.
+    `how` is "left", "inner" or "left_semi".
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    row_id = [row_id] if isinstance(row_id, str) else list(row_id)
+    source = many if base is None else base
+    keys = source.select(*key, _salt(row_id, salts).alias("_salt"))
+    spread = _spread(one, keys, key, "inner")
+    return many.withColumn("_salt", _salt(row_id, salts)).join(spread, [*key, "_salt"], how).drop("_salt")
 
 
 def attach_distinct(
@@ -19,16 +54,12 @@ def attach_distinct(
     With `how="inner"`, rows of `one` without a match are left out.
 
     Adaptive execution can split a skewed partition on the left of a left outer join but never on the right,
-    so the right side is cut here.  Every row of `many` gets a salt from a hash of its other columns; each
-    row of `one` is repeated once per salt that really occurs for its key (once, unmatched, if none does),
-    and the join runs on (key, salt).  The result equals the plain left join.  Equal rows of `many`
-    collapse on the map side first, so copies never travel.
+    so the right side is cut here, by a hash of its other columns.  Equal rows of `many` collapse on the map
+    side first, so copies never travel.  The result equals the plain join.
     """
     payload = [c for c in many.columns if c != key]
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*payload), F.lit(salts)).cast("int"))
-    occurring = salted.groupBy(key).agg(F.collect_set("_salt").alias("_salts"))  # at most `salts` integers per key
-    spread = one.join(occurring, key, how).withColumn("_salt", F.explode_outer("_salts")).drop("_salts")
-    return spread.join(salted.distinct(), [key, "_salt"], how).drop("_salt")
+    salted = many.withColumn("_salt", _salt(payload, salts))
+    return _spread(one, salted, [key], how).join(salted.distinct(), [key, "_salt"], how).drop("_salt")
 
 
 def keys_of(df: DataFrame, key: str, flag: str | None = None) -> DataFrame:
@@ -37,18 +68,31 @@ def keys_of(df: DataFrame, key: str, flag: str | None = None) -> DataFrame:
     return keys.withColumn(flag, F.lit(True)) if flag else keys
 
 
-def mark(df: DataFrame, keys: DataFrame, on: str | Sequence[str], flag: str) -> DataFrame:
-    """Add boolean `flag`: does the row's key occur in `keys` (one row per key)?"""
+def mark(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
+    """Add boolean `flag`: does the row's key occur in `keys`?  Both sides have one row per key."""
+    marked = df.join(keys.select(on, F.lit(True).alias("_hit")), on, "left")
+    return _flagged(marked, flag)
+
+
+def mark_rows(
+    df: DataFrame, keys: DataFrame, on: str | Sequence[str], flag: str, row_id: str, base: DataFrame | None = None
+) -> DataFrame:
+    """The same for rows whose key may be very hot; see `lookup` for `row_id` and `base`."""
     on = [on] if isinstance(on, str) else list(on)
-    marked = df.join(keys.select(*on, F.lit(True).alias("_hit")), on, "left")
-    return marked.withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return _flagged(lookup(df, keys.select(*on, F.lit(True).alias("_hit")), on, row_id, base), flag)
 
 
-def first_per_key(df: DataFrame, key: str, order: str, eligible: Column, flag: str) -> DataFrame:
-    """Add boolean `flag`: TRUE on the eligible row with the smallest `order` of its key.
+def _flagged(df: DataFrame, flag: str) -> DataFrame:
+    return df.withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def first_per_key(
+    df: DataFrame, key: str, order: str, eligible: Column, flag: str, base: DataFrame | None = None
+) -> DataFrame:
+    """Add boolean `flag`: TRUE on the eligible row with the smallest `order` (unique) of its key.
 
     A minimum is a partial aggregate, so a key with very many rows is never gathered in one task.
     """
     firsts = df.where(eligible).groupBy(key).agg(F.min(order).alias("_first"))
-    joined = df.join(firsts, key, "left")
+    joined = lookup(df, firsts, key, order, base)
     return joined.withColumn(flag, eligible & F.coalesce(F.col("_first") == F.col(order), F.lit(False))).drop("_first")

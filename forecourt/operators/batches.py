@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt import schema
-from forecourt.functions.joins import first_per_key, keys_of, mark
+from forecourt.functions.joins import first_per_key, keys_of, lookup, mark, mark_rows
 from forecourt.functions.lineage import pin
 from forecourt.functions.money import asking_price
 from forecourt.functions.numbering import number_rows
@@ -45,9 +45,12 @@ def _fine() -> Column:
     return F.size("reasons") == 0
 
 
-def _keep_first(df: DataFrame, key: str, reason: str) -> DataFrame:
+ID = "submission_id"
+
+
+def _keep_first(df: DataFrame, key: str, reason: str, base: DataFrame) -> DataFrame:
     """Of the fine submissions with one key, the first stays fine; the others are rejected for `reason`."""
-    decided = first_per_key(df, key, "submission_id", _fine(), "_first_of_key")
+    decided = first_per_key(df, key, ID, _fine(), "_first_of_key", base)
     later = _fine() & ~F.col("_first_of_key")
     return _add_reason(decided, reason, later).drop("_first_of_key")
 
@@ -55,12 +58,11 @@ def _keep_first(df: DataFrame, key: str, reason: str) -> DataFrame:
 def _one_new_per_key(df: DataFrame, key: str, existing: DataFrame, exists: str, repeated: str) -> DataFrame:
     """Reject a key that `existing` has already, and all but the first fine submission of a new key.
 
-    Both facts are gathered per key first, so the submissions are joined once; consecutive joins on one key
-    would share a partitioning that adaptive execution cannot split for a hot key.
+    Both facts are gathered per key first, so the submissions are joined once.
     """
     facts = df.groupBy(key).agg(F.min(F.when(_fine(), F.col("submission_id"))).alias("_first"))
     facts = mark(facts, existing, key, "_taken")
-    judged = df.join(facts, key, "left")
+    judged = lookup(df, facts, key, ID)
     later = _fine() & ~F.coalesce(F.col("_first") == F.col("submission_id"), F.lit(False))
     taken = F.coalesce("_taken", F.lit(False))
     judged = judged.withColumn("_later", later & ~taken)
@@ -73,9 +75,15 @@ def _split(judged: DataFrame, pinned: bool) -> tuple[DataFrame, DataFrame]:
     return judged.where(_fine()), judged.where(~_fine()).select("submission_id", "reasons")
 
 
-def _with_customer(tables: Tables, df: DataFrame, identifier: str) -> DataFrame:
+def _with_customer(tables: Tables, df: DataFrame, identifier: str, base: DataFrame) -> DataFrame:
     people = first_customer_per_identifier(tables).withColumnRenamed("identifier", identifier)
-    return df.join(people, identifier, "left")
+    return lookup(df, people, identifier, ID, base)
+
+
+def _require(df: DataFrame, keys: DataFrame, column: str, reason: str, base: DataFrame) -> DataFrame:
+    """Reject submissions whose `column` does not occur in `keys`."""
+    marked = mark_rows(df, keys, column, "_known", ID, base)
+    return _add_reason(marked, reason, ~F.col("_known")).drop("_known")
 
 
 def apply_vehicle_batch(
@@ -92,11 +100,10 @@ def apply_vehicle_batch(
         ("manufacturer", "manufacturer_name", "unknown_manufacturer"),
         ("user", "username", "unknown_user"),
     ):
-        judged = mark(judged, keys_of(tables[table], column), column, "_known")
-        judged = _add_reason(judged, reason, ~F.col("_known")).drop("_known")
-    judged = mark(judged, keys_of(tables.vehicle, "vin"), "vin", "_taken")
+        judged = _require(judged, keys_of(tables[table], column), column, reason, submissions)
+    judged = mark_rows(judged, keys_of(tables.vehicle, "vin"), "vin", "_taken", ID, submissions)
     judged = _add_reason(judged, "vin_exists", F.col("_taken")).drop("_taken")
-    judged = _with_customer(tables, judged, "seller_identifier")
+    judged = _with_customer(tables, judged, "seller_identifier", submissions)
     judged = _add_reason(judged, "unknown_seller", F.col("customer_id").isNull())
 
     wanted = submissions.select("submission_id", F.explode("colors").alias("color_name"))
@@ -104,7 +111,7 @@ def apply_vehicle_batch(
     judged = mark(judged, strange, "submission_id", "_strange")
     judged = _add_reason(judged, "unknown_color", F.col("_strange")).drop("_strange")
 
-    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch"), pinned)
+    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch", submissions), pinned)
     vehicle = accepted.select(*schema.SCHEMAS["vehicle"].names)
     color = accepted.select("vin", F.explode(F.array_distinct("colors")).alias("color_name"))
     purchase = accepted.select(*schema.SCHEMAS["purchase"].names)
@@ -166,22 +173,20 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
     trimmed = submissions.withColumns({"vin": F.trim("vin"), "vendor_name": F.trim("vendor_name")})
     judged = quality.validate_submissions(trimmed, quality.parts_order_rules())
     vendors = keys_of(tables.vendor.withColumnRenamed("name", "vendor_name"), "vendor_name")
-    judged = mark(judged, vendors, "vendor_name", "_known")
-    judged = _add_reason(judged, "unknown_vendor", ~F.col("_known")).drop("_known")
+    judged = _require(judged, vendors, "vendor_name", "unknown_vendor", trimmed)
     on_sale = keys_of(tables.vehicle, "vin").join(keys_of(tables.sale, "vin"), "vin", "left_anti")
-    judged = mark(judged, on_sale, "vin", "_on_sale")
-    judged = _add_reason(judged, "sold_or_unknown_vehicle", ~F.col("_on_sale")).drop("_on_sale")
+    judged = _require(judged, on_sale, "vin", "sold_or_unknown_vehicle", trimmed)
 
     if pinned:
         judged = pin(judged)  # numbering reads it three times
     existing = tables.parts_order.groupBy("vin").agg(F.count(F.lit(1)).alias("_existing"))
-    numbered = number_rows(judged.where(_fine()), "submission_id", ["vin"], "_n").join(existing, "vin", "left")
+    numbered = lookup(number_rows(judged.where(_fine()), ID, ["vin"], "_n"), existing, "vin", ID, trimmed)
     numbered = numbered.withColumn(
         "order_number", order_number(F.col("vin"), F.coalesce("_existing", F.lit(0)) + F.col("_n"))
     )
     numbered = mark(numbered, keys_of(tables.parts_order, "order_number"), "order_number", "_taken")
     stop = numbered.where("_taken").groupBy("vin").agg(F.min("_n").alias("_stop"))
-    numbered = numbered.join(stop, "vin", "left")
+    numbered = lookup(numbered, stop, "vin", ID, trimmed)
     numbered = _add_reason(
         numbered, "order_number_exists", F.coalesce(F.col("_n") >= F.col("_stop"), F.lit(False))
     ).select("submission_id", "vin", "vendor_name", "parts", "order_number", "reasons")
@@ -223,7 +228,7 @@ def apply_status_updates(tables: Tables, updates: DataFrame) -> DataFrame:
 def status_update_results(tables: Tables, updates: DataFrame) -> DataFrame:
     """Every update with `matched`: did it name an existing part and a valid status?"""
     known = tables.part.select(*PART_KEY).distinct()
-    marked = mark(updates, known, PART_KEY, "_known")
+    marked = mark_rows(updates, known, PART_KEY, "_known", "seq")
     matched = F.col("_known") & F.coalesce(F.col("new_status").isin(*schema.PART_STATUSES), F.lit(False))
     return marked.withColumn("matched", matched).drop("_known")
 
@@ -265,7 +270,7 @@ def status_transition_results(tables: Tables, updates: DataFrame) -> DataFrame:
     applied = ((new == "Installed") & (seq == F.col("_install_at"))) | (
         (new == "Received") & (seq == F.col("_receive_at"))
     )
-    joined = updates.join(plan, PART_KEY, "left")
+    joined = lookup(updates, plan, PART_KEY, "seq")
     return joined.withColumn("applied", F.coalesce(applied, F.lit(False))).drop("_install_at", "_receive_at")
 
 
@@ -294,16 +299,15 @@ def apply_sales(tables: Tables, submissions: DataFrame, *, pinned: bool = False)
     # One row of facts per vehicle, then a single join of the submissions.
     facts = mark(keys_of(tables.vehicle, "vin"), keys_of(tables.sale, "vin"), "vin", "_sold")
     facts = mark(facts, pending_vins(tables), "vin", "_waiting").join(sale_prices(tables), "vin", "left")
-    judged = judged.join(facts, "vin", "left")
+    judged = lookup(judged, facts, "vin", ID, submissions)
     known = F.col("_sold").isNotNull()
     judged = _add_reason(judged, "unknown_vehicle", ~known)
     judged = _add_reason(judged, "already_sold", known & F.col("_sold"))
     judged = _add_reason(judged, "parts_pending", known & F.col("_waiting"))
     judged = _add_reason(judged, "no_price", known & F.col("sale_price").isNull()).drop("_sold", "_waiting")
-    judged = mark(judged, keys_of(tables.user, "username"), "username", "_known")
-    judged = _add_reason(judged, "unknown_user", ~F.col("_known")).drop("_known")
-    judged = _with_customer(tables, judged, "buyer_identifier")
+    judged = _require(judged, keys_of(tables.user, "username"), "username", "unknown_user", submissions)
+    judged = _with_customer(tables, judged, "buyer_identifier", submissions)
     judged = _add_reason(judged, "unknown_buyer", F.col("customer_id").isNull())
-    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch"), pinned)
+    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch", submissions), pinned)
     sale = accepted.withColumn("sale_price", F.col("sale_price").cast(schema.MONEY))
     return BatchResult({"sale": sale.select(*schema.SCHEMAS["sale"].names)}, rejects)

@@ -5,13 +5,14 @@ Blank cells mean "absent".  Rows that cannot be stored whole go to a rejects fra
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt import schema
+from forecourt.functions.joins import lookup
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.text import blank_to_null, capitalised, is_blank
 from forecourt.operators.lookups import first_customer_per_identifier
@@ -101,12 +102,23 @@ def split_colors(df: DataFrame, key: Column, colors: Column) -> DataFrame:
     return exploded.where(F.col("color_name") != "").distinct()
 
 
-def resolve_customer_id(tables: Tables, df: DataFrame, identifier: str, into: str = "customer_id") -> DataFrame:
-    """Add `into`: the customer id behind an SSN or tax id, NULL when unknown."""
+def resolve_customer_id(
+    tables: Tables,
+    df: DataFrame,
+    identifier: str,
+    row_id: str | Sequence[str],
+    into: str = "customer_id",
+    base: DataFrame | None = None,
+) -> DataFrame:
+    """Add `into`: the customer id behind an SSN or tax id, NULL when unknown.
+
+    One party may be behind very many rows; `row_id` tells the rows apart, and `base` may give a shorter
+    plan of the same rows (see `functions.joins.lookup`).
+    """
     known = first_customer_per_identifier(tables).select(
         F.col("identifier").alias(identifier), F.col("customer_id").alias(into)
     )
-    return df.join(known, identifier, "left")
+    return lookup(df, known, identifier, row_id, base)
 
 
 def ingest_vehicles(tables: Tables, raw: DataFrame, *, sale_price_col: str = "price") -> Ingested:
@@ -116,8 +128,8 @@ def ingest_vehicles(tables: Tables, raw: DataFrame, *, sale_price_col: str = "pr
     an unknown seller or buyer, or a number or date that does not parse, is rejected whole.
     """
     is_sale = ~is_blank(F.col("sale_date"))
-    rows = resolve_customer_id(tables, raw, "purchased_from_customer", "seller_id")
-    rows = resolve_customer_id(tables, rows, "sold_to_customer", "buyer_id")
+    rows = resolve_customer_id(tables, raw, "purchased_from_customer", "VIN", "seller_id")
+    rows = resolve_customer_id(tables, rows, "sold_to_customer", "VIN", "buyer_id", raw)
     rows = rows.withColumns(
         {
             "_year": F.col("year").try_cast("int"),

@@ -30,9 +30,12 @@ SALE_CONTACT_LABELS = {
 }
 
 
+DEAL_KEY = ("customer_id", "username")
+
+
 def vehicle_parts(tables: Tables, vins: str | DataFrame | None = None) -> DataFrame:
     """Part lines with their order and vendor, for one, some or all vehicles."""
-    orders = restrict_to_vins(tables.parts_order, vins)
+    orders = restrict_to_vins(tables.parts_order, vins, "order_number")
     vendors = tables.vendor.select(F.col("name").alias("vendor_name"))
     return (
         tables.part.join(orders, "order_number")
@@ -86,12 +89,14 @@ def _contacts(tables: Tables, deals: DataFrame, day: str, person: str, staff: st
 
 def purchase_details(tables: Tables, vins: str | DataFrame | None = None, *, one_per_vin: bool = False) -> DataFrame:
     """Who sold us the vehicle and which clerk bought it; deals lacking either person are left out."""
-    return _contacts(tables, restrict_to_vins(tables.purchase, vins), "purchased_on", "seller", "clerk", one_per_vin)
+    deals = restrict_to_vins(tables.purchase, vins, DEAL_KEY)
+    return _contacts(tables, deals, "purchased_on", "seller", "clerk", one_per_vin)
 
 
 def sale_details(tables: Tables, vins: str | DataFrame | None = None, *, one_per_vin: bool = False) -> DataFrame:
     """Who bought the vehicle and which salesperson sold it."""
-    return _contacts(tables, restrict_to_vins(tables.sale, vins), "sold_on", "customer", "seller", one_per_vin)
+    deals = restrict_to_vins(tables.sale, vins, DEAL_KEY)
+    return _contacts(tables, deals, "sold_on", "customer", "seller", one_per_vin)
 
 
 def purchase_attributes(tables: Tables, vins: str | DataFrame | None = None) -> DataFrame:

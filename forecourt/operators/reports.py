@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt import schema
+from forecourt.functions.joins import lookup
 from forecourt.functions.money import exact_mean
 from forecourt.operators.inventory import parts_cost_per_vehicle, parts_per_order
 from forecourt.tables import Tables
@@ -45,7 +46,7 @@ def seller_history(tables: Tables) -> DataFrame:
     )
     no_cost = F.lit(Decimal("0.00"))
     sellers = (
-        bought.join(per_vin, "vin", "left")
+        lookup(bought, per_vin, "vin", "customer_id", tables.purchase)
         .groupBy("customer_id")
         .agg(
             F.sum("_n").alias("total_vehicles_sold"),

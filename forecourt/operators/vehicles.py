@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forecourt.functions.joins import attach_distinct, keys_of
+from forecourt.functions.joins import attach_distinct, keys_of, lookup
 from forecourt.functions.money import asking_price, total_parts_cost
 from forecourt.functions.reshape import attribute_rows
 from forecourt.functions.text import keyword_pattern, same_text
@@ -32,13 +34,19 @@ STAFF_ATTRIBUTES = {
 }
 
 
-def restrict_to_vins(df: DataFrame, vins: str | DataFrame | None) -> DataFrame:
-    """Keep one VIN (pushed to the scan), the VINs of a frame, or everything."""
+def restrict_to_vins(
+    df: DataFrame, vins: str | DataFrame | None, row_id: str | Sequence[str] | None = None
+) -> DataFrame:
+    """Keep one VIN (pushed to the scan), the VINs of a frame, or everything.
+
+    `row_id` tells apart the rows of one VIN, where there may be very many.
+    """
     if vins is None or (isinstance(vins, str) and not vins):
         return df
     if isinstance(vins, str):
         return df.where(F.col("vin").isin(sorted({vins, vins.upper()})))
-    return df.join(keys_of(vins, "vin"), "vin", "left_semi")
+    wanted = keys_of(vins, "vin")
+    return lookup(df, wanted, "vin", row_id, how="left_semi") if row_id else df.join(wanted, "vin", "left_semi")
 
 
 def vehicle_base(

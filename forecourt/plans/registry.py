@@ -197,7 +197,7 @@ def queries() -> dict[str, Query]:
         "ingest_parts_orders": _on_raw(lambda r: ingest.ingest_parts(r).rows["parts_order"], view.raw_parts),
         "order_total_cost": _on_tables(lambda t: ingest.order_total_cost(t.part)),
         "resolve_customer_id": _on_batch(
-            lambda t, raw: ingest.resolve_customer_id(t, raw, "purchased_from_customer").select(
+            lambda t, raw: ingest.resolve_customer_id(t, raw, "purchased_from_customer", "VIN").select(
                 "VIN", "purchased_from_customer", "customer_id"
             ),
             view.raw_vehicles,

@@ -7,7 +7,7 @@ from lot import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from forecourt.functions.joins import attach_distinct, first_per_key
+from forecourt.functions.joins import attach_distinct, first_per_key, lookup, mark_rows
 from forecourt.functions.lineage import pin
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.reshape import attribute_rows
@@ -36,6 +36,24 @@ def test_attach_distinct_spreads_a_hot_key(hot):
     assert salted.select("s").distinct().count() > 30
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+@pytest.mark.parametrize("salts", [1, 5, 1024])
+def test_lookup_equals_plain_join(spark, how, salts):
+    many = spark.createDataFrame(
+        [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 50}") for i in range(300)], "id int, key string"
+    )
+    one = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(25)], ("unused", 9)], "key string, v int")
+    found = lookup(many, one, "key", "id", many, how, salts)
+    plain = many.join(one, "key", how)
+    assert rows(found, *plain.columns) == rows(plain)
+
+
+def test_mark_rows_on_two_columns(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "x")], "id int, p string, q string")
+    keys = spark.createDataFrame([("a", "x")], "p string, q string")
+    assert rows(mark_rows(df, keys, ["p", "q"], "hit", "id"), "id", "hit") == [(1, True), (2, False), (3, False)]
+
+
 def test_number_rows_matches_a_window(spark):
     rng = random.Random(1)
     ids = rng.sample(range(300), 120) + [2**21 + i for i in range(50)] + [2**42 + 7, 2**42 + 2**21 + 1, 2**62]
