@@ -3,6 +3,8 @@
 A submission is accepted whole or rejected whole: one frame of judged submissions feeds every output.
 Existing tables are never changed in place; a result carries new rows, or the next snapshot of a table.
 Submissions carry a unique non-negative 64-bit `submission_id`; where two compete, the lower id wins.
+With `pinned=True` the judged submissions are written to reliable checkpoint storage once, so that the several
+outputs of a result do not judge them again.
 """
 
 from __future__ import annotations
@@ -70,8 +72,7 @@ def _one_new_per_key(df: DataFrame, key: str, existing: DataFrame, exists: str,
     return judged.drop("_first", "_taken", "_later")
 
 
-def _split(judged: DataFrame, pinned: bool) -> tuple[DataFrame, DataFrame]:
-    judged = pin(judged) if pinned else judged
+def _split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where(_fine()), judged.where(~_fine()).select("submission_id", "reasons")
 
 
@@ -111,7 +112,8 @@ def apply_vehicle_batch(
     judged = mark(judged, strange, "submission_id", "_strange")
     judged = _add_reason(judged, "unknown_color", F.col("_strange")).drop("_strange")
 
-    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch", submissions), pinned)
+    judged = pin(judged) if pinned else judged
+    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch", submissions))
     vehicle = accepted.select(*schema.SCHEMAS["vehicle"].names)
     color = accepted.select("vin", F.explode(F.array_distinct("colors")).alias("color_name"))
     purchase = accepted.select(*schema.SCHEMAS["purchase"].names)
@@ -136,7 +138,7 @@ def apply_customer_batch(tables: Tables, submissions: DataFrame, *, pinned: bool
     firms = tables.business_customer.select(F.concat(F.lit("B:"), "tax_identification_number").alias("_identity"))
     known = keys_of(people.unionByName(firms), "_identity")
     judged = _one_new_per_key(judged, "_identity", known, "identifier_exists", "identifier_repeated_in_batch")
-    accepted, rejects = _split(judged, pinned)
+    accepted, rejects = _split(pin(judged) if pinned else judged)
 
     highest = tables.customer.agg(F.coalesce(F.max("customer_id"), F.lit(0)).alias("highest")).scalar()
     numbered = number_rows(accepted, "submission_id", name="_n").withColumn("customer_id", F.col("_n") + highest)
@@ -158,7 +160,7 @@ def apply_vendor_batch(tables: Tables, submissions: DataFrame, *, pinned: bool =
     trimmed = submissions.withColumns({c: F.trim(c) for c in schema.SCHEMAS["vendor"].names})
     judged = quality.validate_submissions(trimmed, quality.vendor_rules())
     judged = _one_new_per_key(judged, "name", keys_of(tables.vendor, "name"), "name_exists", "name_repeated_in_batch")
-    accepted, rejects = _split(judged, pinned)
+    accepted, rejects = _split(pin(judged) if pinned else judged)
     return BatchResult({"vendor": accepted.select(*schema.SCHEMAS["vendor"].names)}, rejects)
 
 
@@ -192,7 +194,7 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
     ).select("submission_id", "vin", "vendor_name", "parts", "order_number", "reasons")
 
     refused = judged.where(~_fine()).select("submission_id", "reasons")
-    accepted, collided = _split(numbered, pinned)
+    accepted, collided = _split(pin(numbered) if pinned else numbered)
     cost = F.aggregate(
         "parts",
         F.lit(0).cast("decimal(24,2)"),
@@ -308,6 +310,7 @@ def apply_sales(tables: Tables, submissions: DataFrame, *, pinned: bool = False)
     judged = _require(judged, keys_of(tables.user, "username"), "username", "unknown_user", submissions)
     judged = _with_customer(tables, judged, "buyer_identifier", submissions)
     judged = _add_reason(judged, "unknown_buyer", F.col("customer_id").isNull())
-    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch", submissions), pinned)
+    judged = pin(judged) if pinned else judged
+    accepted, rejects = _split(_keep_first(judged, "vin", "vin_repeated_in_batch", submissions))
     sale = accepted.withColumn("sale_price", F.col("sale_price").cast(schema.MONEY))
     return BatchResult({"sale": sale.select(*schema.SCHEMAS["sale"].names)}, rejects)
