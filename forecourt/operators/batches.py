@@ -164,6 +164,20 @@ def apply_vendor_batch(tables: Tables, submissions: DataFrame, *, pinned: bool =
     return BatchResult({"vendor": accepted.select(*schema.SCHEMAS["vendor"].names)}, rejects)
 
 
+def _order_counts(tables: Tables) -> DataFrame:
+    """(vin, _existing, _taken): orders a vehicle has, and the first number beyond that count already in use."""
+    existing = tables.parts_order.groupBy("vin").agg(F.count(F.lit(1)).alias("_existing"))
+    shape = r"^(.*)-(\d+)$"
+    used = tables.parts_order.select(
+        "order_number",
+        F.regexp_extract("order_number", shape, 1).alias("vin"),
+        F.regexp_extract("order_number", shape, 2).try_cast("bigint").alias("_seq"),
+    )
+    used = used.where(F.col("order_number") == order_number(F.col("vin"), F.col("_seq"))).select("vin", "_seq")
+    beyond = lookup(used, existing, "vin", "_seq").where(F.col("_seq") > F.coalesce("_existing", F.lit(0)))
+    return existing.join(beyond.groupBy("vin").agg(F.min("_seq").alias("_taken")), "vin", "full")
+
+
 def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool = False) -> BatchResult:
     """New parts orders with their part lines; a sold or unknown vehicle is rejected.
 
@@ -177,21 +191,17 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
     vendors = keys_of(tables.vendor.withColumnRenamed("name", "vendor_name"), "vendor_name")
     judged = _require(judged, vendors, "vendor_name", "unknown_vendor", trimmed)
     on_sale = keys_of(tables.vehicle, "vin").join(keys_of(tables.sale, "vin"), "vin", "left_anti")
-    judged = _require(judged, on_sale, "vin", "sold_or_unknown_vehicle", trimmed)
-
+    facts = on_sale.withColumn("_on_sale", F.lit(True)).join(_order_counts(tables), "vin", "left")
+    judged = lookup(judged, facts, "vin", ID, trimmed)
+    judged = _add_reason(judged, "sold_or_unknown_vehicle", F.col("_on_sale").isNull())
     if pinned:
         judged = pin(judged)  # numbering reads it three times
-    existing = tables.parts_order.groupBy("vin").agg(F.count(F.lit(1)).alias("_existing"))
-    numbered = lookup(number_rows(judged.where(_fine()), ID, ["vin"], "_n"), existing, "vin", ID, trimmed)
-    numbered = numbered.withColumn(
-        "order_number", order_number(F.col("vin"), F.coalesce("_existing", F.lit(0)) + F.col("_n"))
-    )
-    numbered = mark(numbered, keys_of(tables.parts_order, "order_number"), "order_number", "_taken")
-    stop = numbered.where("_taken").groupBy("vin").agg(F.min("_n").alias("_stop"))
-    numbered = lookup(numbered, stop, "vin", ID, trimmed)
-    numbered = _add_reason(
-        numbered, "order_number_exists", F.coalesce(F.col("_n") >= F.col("_stop"), F.lit(False))
-    ).select("submission_id", "vin", "vendor_name", "parts", "order_number", "reasons")
+
+    numbered = number_rows(judged.where(_fine()), ID, ["vin"], "_n")
+    sequence = F.coalesce("_existing", F.lit(0)) + F.col("_n")
+    numbered = numbered.withColumn("order_number", order_number(F.col("vin"), sequence))
+    numbered = _add_reason(numbered, "order_number_exists", F.coalesce(sequence >= F.col("_taken"), F.lit(False)))
+    numbered = numbered.select(ID, "vin", "vendor_name", "parts", "order_number", "reasons")
 
     refused = judged.where(~_fine()).select("submission_id", "reasons")
     accepted, collided = _split(pin(numbered) if pinned else numbered)

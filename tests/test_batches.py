@@ -4,7 +4,7 @@ import random
 from datetime import date
 
 import pytest
-from lot import DAY, lot, money, rows
+from lot import DAY, frame, lot, money, rows
 
 from forecourt.operators import batches, quality
 
@@ -188,6 +188,14 @@ def test_a_taken_order_number_stops_the_rest_of_the_batch(spark, base):
     assert [r.reasons for r in result.rejects.collect()] == [["order_number_exists"]] * 2
 
 
+def test_a_number_used_by_another_vehicle_counts_as_taken(spark, base):
+    t = base.appended(parts_order=frame(spark, "parts_order", [{"vin": "BUSY", "order_number": "OLD-002"}]))
+    batch = spark.createDataFrame([(i, "OLD", "Acme", [item()]) for i in (1, 2, 3)], ORDER)
+    result = batches.apply_parts_orders(t, batch)
+    assert rows(result.new_rows["parts_order"], "order_number") == [("OLD-001",)]
+    assert rows(result.rejects, "submission_id") == [(2,), (3,)]
+
+
 def test_order_numbers_grow_past_999(spark):
     many = [{"vin": "A", "order_number": f"A-{i:03d}"} for i in range(1, 1000)]
     t = lot(spark, vehicle=[{"vin": "A"}], vendor=[{"name": "Acme"}], parts_order=many)
