@@ -23,9 +23,9 @@ def tables(spark, testdata):
 
 
 @pytest.mark.parametrize("name", list(queries()))
-def test_no_nested_loops_no_python_no_collected_windows(spark, testdata, name):
+def test_no_nested_loops_and_no_python(spark, testdata, name):
     shown = plan(queries()[name](spark, testdata))
-    for unwanted in ("NestedLoop", "CartesianProduct", "PythonUDF", "BatchEval", "ArrowEval", "SinglePartition, REPARTITION"):
+    for unwanted in ("NestedLoop", "CartesianProduct", "PythonUDF", "BatchEval", "ArrowEval", "ExistingRDD"):
         assert unwanted not in shown
 
 
