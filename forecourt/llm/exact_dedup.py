@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import col, pin, same, text_of, whole_row
+from forecourt.llm.frames import col, join_same, pin, text_of, whole_row
 
 PREFIX_CHARS = 256
 FILTER_BITS = 2**20
@@ -116,7 +116,7 @@ def drop_exact_duplicates(
         _prefix(text, prefix_chars).alias("prefix_hash"),
         F.xxhash64(text).alias("text_hash"),
     )
-    left = rows.join(stays, same(rows, stays, ["doc_id", "n_bytes", "prefix_hash"]), "left_semi")
+    left = join_same(rows, stays, ["doc_id", "n_bytes", "prefix_hash"], "left_semi")
     # Equal rows already lie in one partition, so this moves nothing.
     one = left.groupBy("doc_id", "n_bytes", "prefix_hash", "text_hash").agg(F.first("row").alias("row"))
     return one.select("row.*")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +43,14 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[col(c) for c in docs.columns])
 
 
-def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Equality on all `names`, NULL equal to NULL; an ordinary hash or merge join key for Spark."""
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & left[n].eqNullSafe(right[n])
-    return condition
+def join_same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+    """Join on equality of all `names`, NULL equal to NULL: an ordinary hash or merge join key for Spark.
+
+    The result has the columns of `left` and, unless `how` is a semi join, the other columns of `right`.
+    """
+    renamed = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
+    condition = reduce(and_, [F.col(n).eqNullSafe(F.col(f"_right_{n}")) for n in names])
+    return left.join(renamed, condition, how).drop(*[f"_right_{n}" for n in names])
 
 
 def with_text(docs: DataFrame, row: str, text: Column, text_col: str, chars_col: str = "n_chars") -> list[Column]:

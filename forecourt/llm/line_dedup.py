@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import col, same, text_of, whole_row, with_text
+from forecourt.llm.frames import col, join_same, text_of, whole_row, with_text
 from forecourt.llm.lines import line_key, lines_of, without_lines
 
 MAX_RATIO = 0.05
@@ -55,9 +55,7 @@ def remove_site_lines(
     hits = page_lines.join(frequent, ["host", "line"], "left_semi")
     removed = hits.groupBy("doc_id", "host").agg(F.collect_set("line").alias("removed"))
 
-    joined = rows.join(removed, same(rows, removed, ["doc_id", "host"]), "left").select(
-        "row", rows["doc_id"], "text", "removed"
-    )
+    joined = join_same(rows, removed, ["doc_id", "host"], "left")
     line_keys = F.array_compact(F.transform(lines_of(F.col("text")), line_key))
     gone = F.size(F.filter(line_keys, lambda k: F.array_contains("removed", k)))
     return joined.select(

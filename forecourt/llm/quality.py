@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import SPACE, WORD, col, same, text_of, whole_row, with_text
+from forecourt.llm.frames import SPACE, WORD, col, join_same, text_of, whole_row, with_text
 from forecourt.llm.lines import line_key, lines_of, without_lines
 
 SYMBOLS = "#*$%&|<>"
@@ -77,13 +77,14 @@ def word_metrics(rows: DataFrame) -> DataFrame:
         ),
     ).drop("_sorted")
     # A repeated window adds the words that the repeated window before it does not cover.
-    return repeated.withColumn(
-        "n_repeat_words",
-        F.expr(
-            "coalesce(aggregate(_at, named_struct('last', -3, 'n', 0L),"
-            " (a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n), 0L)"
-        ),
-    ).drop("_at")
+    covered = F.expr(
+        "coalesce(aggregate(_at, named_struct('last', -3, 'n', 0L),"
+        " (a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n), 0L)"
+    )
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines")
+    # A generator, so that a filter on a metric is not pushed into the steps above, each element computing them anew.
+    measured = F.struct(*[F.col(n) for n in names], covered.alias("n_repeat_words"))
+    return repeated.select(*rows.columns, F.inline(F.array(measured)))
 
 
 def _lines_by_host(rows: DataFrame) -> DataFrame:
@@ -148,15 +149,12 @@ def judge(
     measured = word_metrics(
         rows.withColumns({"host": _host(F.col("host")), "text_hash": F.xxhash64("text")})
     ).drop("text")
-    joined = measured.join(removed, same(measured, removed, key), "left").select(
-        *[measured[c] for c in measured.columns if c not in key[1:]],
-        F.coalesce("n_removed_words", F.lit(0)).alias("n_removed_words"),
-        "removed",
-    )
+    joined = join_same(measured, removed, key, "left").drop("host", "text_hash")
     base_failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
-    return joined.withColumn("base_failed", base_failed).withColumn(
+    removed_words = F.coalesce("n_removed_words", F.lit(0).cast("bigint"))
+    return joined.withColumns({"n_removed_words": removed_words, "base_failed": base_failed}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_removed_words") <= max_removed_share * F.col("n_words"))
     )
 

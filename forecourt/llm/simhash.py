@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
 from forecourt.llm.components import connected
-from forecourt.llm.frames import col, pin, same, text_of, whole_row
+from forecourt.llm.frames import col, join_same, pin, text_of, whole_row
 
 BITS = 64
 SEED = 42
@@ -159,4 +159,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col, **options)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     rows = docs.select(whole_row(docs).alias("row"), col(id_col).alias("doc_id"))
-    return rows.join(stays, same(rows, stays, ["doc_id"]), "left_semi").select("row.*")
+    return join_same(rows, stays, ["doc_id"], "left_semi").select("row.*")
