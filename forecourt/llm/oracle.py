@@ -109,18 +109,18 @@ hosts AS (SELECT DISTINCT host FROM captures WHERE host <> ''),
 entries AS (
   SELECT entry, n FROM (
     SELECT entry, ('0x' || substr(md5(entry), 1, 8))::BIGINT AS n
-    FROM (SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), -3, NULL), '.') AS entry FROM hosts)
+    FROM (SELECT DISTINCT regexp_extract(host, '(?:[^.]*\.){0,2}[^.]*$') AS entry FROM hosts)
   ) WHERE n % 4 = 0
   UNION ALL
   SELECT entry, n FROM (
     SELECT host || '/de/' AS entry, ('0x' || substr(md5(host || '/de/'), 1, 8))::BIGINT AS n FROM hosts
   ) WHERE n % 5 = 0
 ),
-dated AS (SELECT entry, n, DATE '2024-01-01' + (n // 16 % 200)::INTEGER AS day FROM entries),
+dated AS (SELECT entry, n, DATE '2024-01-01' + ((n // 16) % 200)::INTEGER AS day FROM entries),
 active AS (
-  SELECT entry, day AS active_from, CASE WHEN n // 4 % 3 = 0 THEN day + 40 END AS active_to FROM dated
+  SELECT entry, day AS active_from, CASE WHEN (n // 4) % 3 = 0 THEN day + 40 END AS active_to FROM dated
   UNION ALL
-  SELECT entry, day + 100, NULL FROM dated WHERE n // 4 % 3 = 0 AND n // 12 % 2 = 0
+  SELECT entry, day + 100, NULL FROM dated WHERE (n // 4) % 3 = 0 AND (n // 12) % 2 = 0
 ),
 hits AS (
   SELECT DISTINCT c.page_id, a.entry

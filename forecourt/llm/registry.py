@@ -72,10 +72,10 @@ def change_log(pages: DataFrame) -> DataFrame:
     prefixes = hosts.select(F.concat("host", F.lit("/de/")).alias("entry"))
     prefixes = prefixes.select("entry", number.alias("n")).where("n % 5 = 0")
     added = domains.unionByName(prefixes).withColumn(
-        "day", F.expr("date_add(date'2024-01-01', cast(n div 16 % 200 as int))")
+        "day", F.expr("date_add(date'2024-01-01', cast((n div 16) % 200 as int))")
     )
-    removed = added.where("n div 4 % 3 = 0").withColumn("day", F.date_add("day", 40))
-    again = removed.where("n div 12 % 2 = 0").withColumn("day", F.date_add("day", 60))
+    removed = added.where("(n div 4) % 3 = 0").withColumn("day", F.date_add("day", 40))
+    again = removed.where("(n div 12) % 2 = 0").withColumn("day", F.date_add("day", 60))
     parts = [(added, "add"), (removed, "remove"), (again, "add")]
     logs = [part.select("entry", F.lit(action).alias("action"), "day") for part, action in parts]
     return logs[0].unionByName(logs[1]).unionByName(logs[2])
