@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 # The white space that separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]"
 
 
 def col(name: str) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import col, join_same, text_of, whole_row, with_text
-from forecourt.llm.lines import line_key, lines_of, without_lines
+from forecourt.llm.frames import col, join_same, pin, text_of, whole_row, with_text
+from forecourt.llm.lines import clean_lines, line_keys, without_lines
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -42,10 +42,11 @@ def remove_site_lines(
         text_of(text_col).alias("text"),
     )
     # Each page gives a line once, so pages are counted without a distinct; counts combine before the shuffle.
-    keys = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), line_key)))
+    keys = F.array_distinct(line_keys(F.col("text")))
     page_lines = rows.select("doc_id", "host", F.explode(keys).alias("line"))
     pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    counts = page_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    # Stored, because the join below reads it twice.
+    counts = pin(page_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
     frequent = (
         lookup(counts, pages, "host", "line", how="inner")
         .where(F.col("n") > max_ratio * F.col("host_pages"))
@@ -55,14 +56,15 @@ def remove_site_lines(
     hits = page_lines.join(frequent, ["host", "line"], "left_semi")
     removed = hits.groupBy("doc_id", "host").agg(F.collect_set("line").alias("removed"))
 
-    joined = join_same(rows, removed, ["doc_id", "host"], "left")
-    line_keys = F.array_compact(F.transform(lines_of(F.col("text")), line_key))
-    gone = F.size(F.filter(line_keys, lambda k: F.array_contains("removed", k)))
+    # Counted in the scan; only the removed lines, where there are any, are looked for again after the join.
+    counted = rows.withColumn("n_lines", F.size(F.filter(clean_lines(F.col("text")), lambda x: x != "")).cast("bigint"))
+    joined = join_same(counted, removed, ["doc_id", "host"], "left")
+    gone = F.size(F.filter(line_keys(F.col("text")), lambda k: F.array_contains("removed", k)))
     return joined.select(
         "row",
         "doc_id",
         without_lines(F.col("text"), F.col("removed")).alias("text"),
-        F.size(line_keys).cast("bigint").alias("n_lines"),
+        "n_lines",
         F.when(F.col("removed").isNull(), 0).otherwise(gone).cast("bigint").alias("n_removed_lines"),
     )
 

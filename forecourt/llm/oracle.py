@@ -18,8 +18,7 @@ lined AS (
   FROM documents
 ),
 keyed AS (
-  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                 '{_SPACE}', ' ', 'g'), ' ') AS key
+  SELECT *, trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g'), ' ') AS key
   FROM lined
 )"""
 

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import SPACE, WORD, col, join_same, text_of, whole_row, with_text
-from forecourt.llm.lines import line_key, lines_of, without_lines
+from forecourt.llm.frames import SPACE, col, join_same, pin, text_of, whole_row, with_text
+from forecourt.llm.lines import clean_lines, line_keys, lines_of, without_lines
 
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -26,10 +26,6 @@ LINE_SHARE = 0.1
 MAX_REMOVED_SHARE = 0.5
 
 
-def _n_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != "")).cast("bigint")
-
-
 def _host(host: Column) -> Column:
     """A non-NULL name; a NULL host differs from every named one."""
     return F.coalesce(F.concat(F.lit("h"), host), F.lit(""))
@@ -42,18 +38,19 @@ def word_metrics(rows: DataFrame) -> DataFrame:
     sort of its windows where one of them repeats.
     """
     text = F.col("text")
-    lines = F.filter(lines_of(text), lambda x: x.rlike(WORD))
+    trimmed = F.btrim(text, F.lit(SPACES))
+    lines = F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     listed = rows.withColumns(
         {
-            "word_chars": F.char_length(F.translate(text, SPACES, "")).cast("bigint"),
-            "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
+            "n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOL, ""))).cast("bigint"),
             "_lines": F.transform(lines, lambda x: F.xxhash64(x)),
-            "_words": F.filter(F.split(text, SPACE + "+"), lambda w: w != ""),
+            "_words": F.when(trimmed != "", F.split(trimmed, SPACE + "+")).otherwise(F.array().cast("array<string>")),
         }
     )
     counted = listed.withColumns(
         {
             "n_words": F.size("_words").cast("bigint"),
+            "word_chars": F.char_length(F.array_join("_words", "")).cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
             "_windows": F.expr(
                 "IF(size(_words) < 3, array(), transform(sequence(0, size(_words) - 3),"
@@ -90,19 +87,28 @@ def word_metrics(rows: DataFrame) -> DataFrame:
 def _lines_by_host(rows: DataFrame) -> DataFrame:
     """doc_id, host, text_hash, pos, line, words: one row per line with a word."""
     listed = F.transform(
-        lines_of(F.col("text")),
-        lambda x, i: F.struct(i.alias("pos"), line_key(x).alias("line"), _n_words(x).alias("words")),
+        F.filter(clean_lines(F.col("text")), lambda x: x != ""),
+        # Single spaces separate the words of a normalised line.
+        lambda x, i: F.struct(
+            i.alias("pos"),
+            F.xxhash64(x).alias("line"),
+            (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("words"),
+        ),
     )
-    each = rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.inline(listed))
-    return each.where("line IS NOT NULL")
+    return rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.inline(listed))
 
 
 def boilerplate_lines(rows: DataFrame, min_docs: int, line_share: float) -> DataFrame:
     """host, line: the lines above the limits.  `rows` has doc_id, host and text."""
-    spread = _lines_by_host(rows).select("host", "line", "text_hash").distinct()
-    per_line = spread.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    text_hash = F.xxhash64("text").alias("text_hash")
+    keys = F.array_distinct(line_keys(F.col("text")))
+    spread = rows.select("host", text_hash, F.explode(keys).alias("line")).distinct()
+    # Stored, because the join below reads it twice.
+    per_line = pin(
+        spread.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    )
     hosts = (
-        rows.select("host", F.xxhash64("text").alias("text_hash"))
+        rows.select("host", text_hash)
         .distinct()
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("host_docs"))
