@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable checkpoint storage and return the stored copy.
+def pin(df: DataFrame, staging: str | None = None) -> DataFrame:
+    """Write `df` to shared storage as Parquet and return the stored copy.
 
-    The folder comes from the session (`spark.checkpoint.dir`).  Only a local-mode session without one gets
-    a temporary folder; on a cluster a missing setting is an error, because a machine-local folder would be
-    lost with its machine.
+    The folder is `staging`, else the session's `spark.checkpoint.dir`, else one in the warehouse: all of them are
+    shared by driver and executors.  Each call writes a folder of its own, which the caller may delete when done.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="forecourt-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    folder = staging or conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/pinned"
+    path = f"{folder}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

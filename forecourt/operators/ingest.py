@@ -35,6 +35,10 @@ RAW_COLUMNS: dict[str, tuple[str, ...]] = {
 }
 
 
+# A raw row's place in its file, where it is known; never part of what identifies a row.
+LINE_NO = "line_no"
+
+
 @dataclass(frozen=True)
 class Ingested:
     """Rows per target table, and the raw rows that were not loaded, with reasons."""
@@ -46,13 +50,15 @@ class Ingested:
 def assign_customer_ids(raw: DataFrame, *, order_by: str | None = None, start: int | Column = 0) -> DataFrame:
     """Add dense `customer_id` = start + 1, start + 2, ...
 
-    In ascending `order_by` (unique non-negative integers, such as a line number) if given, else in a
-    repeatable order fixed by a hash of the row.  Neither form sorts all rows in one task.
+    In ascending `order_by` (unique non-negative integers stored with the rows) if given, else in an order fixed by a
+    hash of the row's contents, `line_no` left out.  So ids do not depend on how Spark split the files, and frames
+    computed apart agree; rows equal in all columns share their ids among themselves in any order, which no table shows.
+    Neither form sorts all rows in one task.
     """
     if order_by:
         numbered = number_rows(raw, order_by, name="_n")
     else:
-        numbered = number_rows_by_hash(raw, [c for c in raw.columns], "_n")
+        numbered = number_rows_by_hash(raw, [c for c in raw.columns if c != LINE_NO], "_n")
     return numbered.withColumn("customer_id", (F.col("_n") + start).cast("bigint")).drop("_n")
 
 
@@ -175,12 +181,17 @@ def order_total_cost(parts: DataFrame) -> DataFrame:
     return parts.groupBy("order_number").agg(F.sum(F.col("unit_price") * F.col("quantity")).alias("total_cost"))
 
 
-def ingest_parts(raw: DataFrame, *, line_no: str = "line_no") -> Ingested:
-    """Wide part rows to orders and part lines; the first line of an order (by `line_no`) names its vendor."""
+def ingest_parts(raw: DataFrame, *, line_no: str = LINE_NO) -> Ingested:
+    """Wide part rows to orders and part lines; the first line of an order names its vendor.
+
+    First by `line_no`, else, where the rows have none, by their contents.  An order is stored whole or not at all: an
+    unreadable number, a part number that repeats in the order, or a total that does not fit rejects all its lines.
+    """
+    place = F.col(line_no) if line_no in raw.columns else F.struct(*raw.columns)
     lines = raw.select(
         F.col("VIN").alias("vin"),
         "vendor_name",
-        line_no,
+        place.alias("_place"),
         F.concat_ws("-", "VIN", "order_num").alias("order_number"),
         F.col("part_number").alias("vendor_parts_number"),
         "description",
@@ -189,13 +200,28 @@ def ingest_parts(raw: DataFrame, *, line_no: str = "line_no") -> Ingested:
         F.col("price").try_cast(schema.MONEY).alias("unit_price"),
     )
     unreadable = F.col("quantity").isNull() | F.col("unit_price").isNull()
-    fine = lines.where(~unreadable)
-    orders = fine.groupBy("order_number").agg(
-        F.min_by("vin", line_no).alias("vin"),
-        F.min_by("vendor_name", line_no).alias("vendor_name"),
-        F.sum(F.col("unit_price") * F.col("quantity")).cast(schema.MONEY).alias("total_cost"),
+    amount = F.col("unit_price") * F.col("quantity")
+    # Two levels of counts, so that an order of any size combines before the shuffle.
+    by_part = lines.groupBy("order_number", "vendor_parts_number").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max(unreadable).alias("_unreadable"),
+        F.sum(amount.cast("decimal(38,2)")).alias("_amount"),
+        F.min(F.struct("_place", "vin", "vendor_name")).alias("_first"),
     )
-    rejects = lines.where(unreadable).select(
-        "order_number", "vendor_parts_number", F.array(F.lit("bad_number")).alias("reasons")
+    total = F.sum("_amount").try_cast(schema.MONEY)
+    facts = by_part.groupBy("order_number").agg(
+        F.min("_first").alias("_first"),
+        total.alias("total_cost"),
+        F.array_compact(
+            F.array(
+                F.when(F.max("_unreadable"), F.lit("bad_number")),
+                F.when(F.max("_n") > 1, F.lit("repeated_part_number")),
+                F.when(~F.max("_unreadable") & total.isNull(), F.lit("total_out_of_range")),
+            )
+        ).alias("reasons"),
     )
-    return Ingested({"parts_order": conform(orders, "parts_order"), "part": conform(fine, "part")}, rejects)
+    judged = lookup(lines, facts.select("order_number", "reasons"), "order_number", ["vendor_parts_number", "_place"])
+    orders = facts.where(F.size("reasons") == 0).select("order_number", "_first.vin", "_first.vendor_name", "total_cost")
+    parts = judged.where(F.size("reasons") == 0)
+    rejects = judged.where(F.size("reasons") > 0).select("order_number", "vendor_parts_number", "reasons")
+    return Ingested({"parts_order": conform(orders, "parts_order"), "part": conform(parts, "part")}, rejects)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from forecourt import schema
 from forecourt.tables import Tables, conform
@@ -26,30 +25,24 @@ BUCKET_KEYS = {
 }
 
 
-# A bucket is read by one task, so a table whose largest bucket exceeds this many average ones stays unbucketed.
-MAX_BUCKET_SHARE = 4
-
-
-def is_balanced(rows: DataFrame, key: str, buckets: int) -> bool:
-    """Would the largest bucket stay near the average?  Reads the key column once, counting before the shuffle."""
-    sizes = rows.groupBy(F.pmod(F.hash(key), F.lit(buckets))).count()
-    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
-    return largest is None or largest <= MAX_BUCKET_SHARE * max(total / buckets, 1)
-
-
 def write_bucketed(
-    frames: Mapping[str, DataFrame], database: str, buckets: int, *, location: str | None = None
+    frames: Mapping[str, DataFrame],
+    database: str,
+    buckets: int,
+    *,
+    plain: Collection[str] = (),
+    location: str | None = None,
 ) -> None:
-    """Replace the named tables of a catalog database; one with a hot key is stored without buckets.
+    """Replace the named tables of a catalog database, bucketed by BUCKET_KEYS but for the tables named in `plain`.
 
-    Choose `buckets` so that one bucket fits a task comfortably (a few hundred MB) and use the same number
-    for all tables.  `location` is a shared folder for the files; the warehouse is used without it.
+    A bucket is read by one task: name tables with a very hot key in `plain`.  Choose `buckets` so that one bucket fits
+    a task comfortably (a few hundred MB) and use the same number for all tables.  `location` is a shared folder for
+    the files; the warehouse is used without it.
     """
     for name, rows in frames.items():
-        rows = conform(rows, name)
-        writer = rows.write.mode("overwrite").format("parquet")
+        writer = conform(rows, name).write.mode("overwrite").format("parquet")
         key = BUCKET_KEYS.get(name)
-        if key and is_balanced(rows, key, buckets):
+        if key and name not in plain:
             writer = writer.bucketBy(buckets, key).sortBy(key)
         if location:
             writer = writer.option("path", f"{location}/{name}")

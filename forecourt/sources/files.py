@@ -10,22 +10,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt import schema
-from forecourt.operators.ingest import RAW_COLUMNS
+from forecourt.functions.lineage import pin
+from forecourt.operators.ingest import LINE_NO, RAW_COLUMNS
 from forecourt.tables import Tables, conform
 
 # Columns that hold secrets are never kept.
 DROPPED = {"users": ("password",)}
 
 
-def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One kind of raw file with every column as text, plus `line_no`, ascending within a file.
+_BROKEN = "_broken_line"
 
-    The schema is declared: inferring it would read identifiers with leading zeros as numbers.
+
+def _read_lines(spark: SparkSession, path: str, kind: str, multi_line: bool) -> DataFrame:
+    text = T.StructType([T.StructField(c, T.StringType()) for c in (*RAW_COLUMNS[kind], _BROKEN)])
+    reader = spark.read.options(sep="\t", header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
+    return reader.option("columnNameOfCorruptRecord", _BROKEN).schema(text).csv(path)
+
+
+def read_raw(
+    spark: SparkSession, path: str, kind: str, *, staging: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """One kind of raw file with every column as text.
+
+    The schema is declared: inferring it would read identifiers with leading zeros as numbers.  Quoted cells and doubled
+    quotes are understood; `multi_line` also reads line breaks inside quotes, at the price that a file is not split.
+    Lines with another number of cells are left out; `read_broken` gives them.
+
+    With `staging` (a shared folder) the rows are stored there once and come with `line_no`, their place in file order.
+    How Spark splits files can change from run to run, so a place is only given to a stored copy.
     """
-    columns = RAW_COLUMNS[kind]
-    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.csv(path, sep="\t", header=True, schema=text, enforceSchema=False)
-    return rows.drop(*DROPPED.get(kind, ())).withColumn("line_no", F.monotonically_increasing_id())
+    lines = _read_lines(spark, path, kind, multi_line).where(F.col(_BROKEN).isNull()).drop(_BROKEN)
+    rows = lines.drop(*DROPPED.get(kind, ()))
+    if staging is None:
+        return rows
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return pin(rows.select("*", place.alias(LINE_NO)), staging)
+
+
+def read_broken(spark: SparkSession, path: str, kind: str, *, multi_line: bool = False) -> DataFrame:
+    """(file, line): the lines that `read_raw` leaves out because their number of cells is wrong."""
+    lines = _read_lines(spark, path, kind, multi_line).select(
+        F.col("_metadata.file_path").alias("file"), F.col(_BROKEN).alias("line"), *RAW_COLUMNS[kind]
+    )
+    # The second condition is always true; it makes Spark parse the cells, without which it cannot count them.
+    parsed = F.length(F.concat_ws("", *RAW_COLUMNS[kind])) >= 0
+    return lines.where(F.col("line").isNotNull() & parsed).select("file", "line")
 
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:

@@ -105,7 +105,7 @@ def test_text_rules(spark):
     assert rows(made) == [("Inventory clerk", "V-007"), ("X", "V-1000")]
 
 
-def test_pin_uses_the_session_folder(spark):
-    pinned = pin(spark.range(5))
-    assert pinned.count() == 5
-    assert spark.sparkContext.getCheckpointDir() is not None
+def test_pin_writes_parquet_to_the_given_folder(spark, tmp_path):
+    pinned = pin(spark.range(5), str(tmp_path))
+    assert pinned.count() == 5 and pinned.columns == ["id"]
+    assert len(list(tmp_path.glob("pinned-*/*.parquet"))) > 0

@@ -1,16 +1,20 @@
 """Raw files and wide rows to normalized tables, and storage round trips."""
 
+import csv
+import io
 from datetime import date
 
 import pytest
 from lot import lot, money, rows
+from pyspark.sql import functions as F
 
 from forecourt.operators import ingest
-from forecourt.sources.files import read_raw, read_tables, write_tables
+from forecourt.sources.files import read_broken, read_raw, read_tables, write_tables
 from forecourt.tables import empty_tables, seed_rows
 
 
 def _tsv(path, header, lines):
+    path.parent.mkdir(exist_ok=True)
     path.write_text("\n".join("\t".join(cells) for cells in [header, *lines]) + "\n")
     return str(path)
 
@@ -28,9 +32,9 @@ def customer_file(tmp_path):
     return _tsv(tmp_path / "customers.tsv", ingest.RAW_COLUMNS["customers"], lines)
 
 
-@pytest.mark.parametrize("order_by", [None, "line_no"])
+@pytest.mark.parametrize("order_by", [None, "number"])
 def test_customers_file(spark, customer_file, order_by):
-    raw = read_raw(spark, customer_file, "customers")
+    raw = read_raw(spark, customer_file, "customers").withColumn("number", F.col("phone").cast("bigint"))
     result = ingest.ingest_customers(raw, order_by=order_by, start=100)
     customer, person, firm = (result.rows[t] for t in ("customer", "individual_customer", "business_customer"))
     assert (customer.count(), person.count(), firm.count()) == (200, 158, 42)
@@ -116,13 +120,63 @@ def test_parts_file_first_line_names_the_vendor(spark, tmp_path):
             ["B", "001", "Acme", "P1", "free", "1", "ordered", "z"],
         ],
     )
-    result = ingest.ingest_parts(read_raw(spark, path, "parts"))
+    result = ingest.ingest_parts(read_raw(spark, path, "parts", staging=str(tmp_path / "staging")))
     assert rows(result.rows["parts_order"]) == [("A", "Zed", "A-001", money(5))]
     assert rows(result.rows["part"], "vendor_parts_number", "status") == [("P1", "Installed"), ("P2", "Ordered")]
     assert rows(ingest.order_total_cost(result.rows["part"])) == [("A-001", money(5))]
     assert rows(result.rejects, "order_number") == [("B-001",)]
 
 
+def test_an_order_is_stored_whole_or_not_at_all(spark):
+    lines = [
+        ("V1", "1", "Ven1", "P1", "no price", "1", "ordered", "x"),
+        ("V1", "1", "Ven2", "P2", "5", "1", "ordered", "x"),
+        ("V2", "1", "Ven2", "P1", "5", "1", "ordered", "x"),
+        ("V2", "1", "Ven2", "P1", "6", "1", "ordered", "x"),
+        ("V3", "1", "Ven2", "P1", "9999999999.00", "2", "ordered", "x"),
+        ("V4", "1", "Ven2", "P1", "1", "2", "ordered", "x"),
+    ]
+    raw = spark.createDataFrame(lines, ingest.RAW_COLUMNS["parts"])
+    result = ingest.ingest_parts(raw)
+    assert rows(result.rows["part"], "order_number") == [("V4-1",)]
+    assert rows(result.rows["parts_order"], "order_number", "total_cost") == [("V4-1", money(2))]
+    assert sorted((r.order_number, r.reasons[0]) for r in result.rejects.collect()) == [
+        ("V1-1", "bad_number"), ("V1-1", "bad_number"), ("V2-1", "repeated_part_number"),
+        ("V2-1", "repeated_part_number"), ("V3-1", "total_out_of_range"),
+    ]
+
+
+def test_customer_ids_do_not_depend_on_file_splits(spark, tmp_path):
+    columns = ingest.RAW_COLUMNS["customers"]
+    people = [["person", f"m{i}@x", *["1"] * 5, *[""] * 5, f"{i:09d}", f"F{i}", f"L{i}"] for i in range(900)]
+    for part in range(3):
+        _tsv(tmp_path / f"raw/{part}.tsv", columns, people[part * 300 : part * 300 + 300])
+    key, old = "spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None)
+    seen = []
+    try:
+        for splits, limit in (("1", "128m"), ("7", "4096")):
+            spark.conf.set(key, splits)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            done = ingest.ingest_customers(read_raw(spark, str(tmp_path / "raw"), "customers")).rows
+            both = done["customer"].join(done["individual_customer"], "customer_id")
+            seen.append({(r.customer_id, r.email, r.last_name) for r in both.collect()})
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert seen[0] == seen[1] and len(seen[0]) == 900
+    assert all(email[1:-2] == last[1:] for _, email, last in seen[0])
+
+
+def test_cells_as_the_csv_module_reads_them(spark, tmp_path):
+    text = 'vendor_name\tphone\tstreet\tcity\tstate\tpostal_code\n"Bob ""The"" Parts"\t1\t"a\nb"\tc\ts\t01\nshort\t1\n'
+    path = tmp_path / "vendors.tsv"
+    path.write_text(text)
+    expected = [r for r in csv.reader(io.StringIO(text), delimiter="\t")][1:]
+    read = read_raw(spark, str(path), "vendors", multi_line=True).collect()
+    assert [list(r) for r in read] == [expected[0]]
+    assert read_broken(spark, str(path), "vendors", multi_line=True).count() == 1
+
+
 def test_store_and_read_back(spark, tmp_path):
     folder = str(tmp_path / "store")
     t = lot(spark, vehicle=[{"vin": "A"}], purchase=[{"vin": "A"}])

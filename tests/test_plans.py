@@ -9,7 +9,7 @@ from forecourt.operators import batches, inventory, reports, vehicles
 from forecourt.operators.inventory import parts_per_order
 from forecourt.plans import dealership_view as view
 from forecourt.plans.registry import queries
-from forecourt.sources.bucketed import is_balanced, read_catalog, write_bucketed
+from forecourt.sources.bucketed import read_catalog, write_bucketed
 from forecourt.sources.files import read_tables, write_tables
 
 
@@ -130,8 +130,13 @@ def test_bucketed_tables_join_without_shuffling_the_vehicles(spark, tables, tmp_
             spark.sql(f"DROP TABLE IF EXISTS lot_test.{name}")
 
 
-def test_a_hot_key_is_not_bucketed(spark):
-    even = spark.range(4000).selectExpr("concat('V', id) AS vin")
-    hot = even.unionByName(spark.range(4000).selectExpr("'V1' AS vin"))
-    assert is_balanced(even, "vin", 16) and not is_balanced(hot, "vin", 16)
-    assert is_balanced(even.limit(0), "vin", 16)
+def test_the_caller_says_which_tables_stay_plain(spark, tables, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS plain_test")
+    try:
+        frames = {name: tables[name] for name in ("sale", "purchase")}
+        write_bucketed(frames, "plain_test", 4, plain=["sale"], location=str(tmp_path))
+        described = {n: spark.sql(f"DESCRIBE EXTENDED plain_test.{n}").collect() for n in frames}
+        assert {n: any(r[0] == "Num Buckets" for r in d) for n, d in described.items()} == {"sale": False, "purchase": True}
+    finally:
+        for name in ("sale", "purchase"):
+            spark.sql(f"DROP TABLE IF EXISTS plain_test.{name}")
