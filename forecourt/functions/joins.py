@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on the pieces one hot key is cut into.  Keys with few rows are unaffected by its size.
+# Session setting: upper bound on the pieces one hot key is cut into.  Keys with few rows are unaffected by its size, so
+# raise it with the data: rows of the hottest key / rows that fit one task.
+SALTS_SETTING = "spark.forecourt.salts"
 DEFAULT_SALTS = 1024
 
 
+def salts_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(SALTS_SETTING, str(DEFAULT_SALTS)))
+
+
 def _salt(columns: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
@@ -28,7 +34,7 @@ def lookup(
     row_id: str | Sequence[str],
     base: DataFrame | None = None,
     how: str = "left",
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """`many JOIN one USING (key)` where `one` has one row per key and `many` may have a very hot key.
 
@@ -36,8 +42,9 @@ def lookup(
     aggregated by the join key never does.  So the rows of `many` are cut by a hash of `row_id`, and each
     row of `one` is repeated once per salt that really occurs for its key: same result as the plain join.
     `base` is the frame the keys and row ids come from, if that is shorter to compute than `many`.
-    `how` is "left", "inner" or "left_semi".
+    `how` is "left", "inner" or "left_semi".  Without `salts` the session's SALTS_SETTING holds.
     """
+    salts = salts or salts_of(many)
     key = [key] if isinstance(key, str) else list(key)
     row_id = [row_id] if isinstance(row_id, str) else list(row_id)
     source = many if base is None else base
@@ -47,7 +54,7 @@ def lookup(
 
 
 def attach_distinct(
-    one: DataFrame, many: DataFrame, key: str, how: str = "left", salts: int = DEFAULT_SALTS
+    one: DataFrame, many: DataFrame, key: str, how: str = "left", salts: int | None = None
 ) -> DataFrame:
     """`one LEFT JOIN (SELECT DISTINCT * FROM many) USING (key)`, with hot keys of `many` spread over tasks.
 
@@ -58,6 +65,7 @@ def attach_distinct(
     side first, so copies never travel.  The result equals the plain join.
     """
     payload = [c for c in many.columns if c != key]
+    salts = salts or salts_of(many)
     salted = many.withColumn("_salt", _salt(payload, salts))
     return _spread(one, salted, [key], how).join(salted.distinct(), [key, "_salt"], how).drop("_salt")
 

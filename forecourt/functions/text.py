@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def same_text(column: Column, value: str) -> Column:
-    """Equality that ignores case."""
+def same_text(column: Column, value: str, domain: Sequence[str] = ()) -> Column:
+    """Equality that ignores case.
+
+    A value of a closed `domain` is compared in its declared spelling, which a scan can filter by.
+    """
+    for declared in domain:
+        if declared.lower() == value.lower():
+            return column == declared
     return F.lower(column) == F.lower(F.lit(value))
 
 

@@ -2,14 +2,15 @@
 
 A submission is accepted whole or rejected whole: one frame of judged submissions feeds every output.
 Existing tables are never changed in place; a result carries new rows, or the next snapshot of a table.
-Submissions carry a unique non-negative 64-bit `submission_id`; where two compete, the lower id wins.
+Submissions carry a 64-bit `submission_id`; one without an id, or with an id that another one has too, is rejected, so
+accepted and rejected submissions always add up.  Where two compete, the lower id wins.
 With `pinned=True` the judged submissions are written to reliable checkpoint storage once, so that the several
 outputs of a result do not judge them again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ from forecourt.functions.text import order_number
 from forecourt.operators import quality
 from forecourt.operators.inventory import pending_vins
 from forecourt.operators.lookups import first_customer_per_identifier
+from forecourt.operators.roles import resolve_role
 from forecourt.tables import Tables
 
 
@@ -50,6 +52,14 @@ def _fine() -> Column:
 ID = "submission_id"
 
 
+def _judge_ids(df: DataFrame) -> DataFrame:
+    """Reject submissions without an id and those that share one."""
+    shared = df.where(F.col(ID).isNotNull()).groupBy(ID).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marked = df.join(shared.select(ID, F.lit(True).alias("_shared")), ID, "left")
+    marked = _add_reason(marked, "missing_submission_id", F.col(ID).isNull())
+    return _add_reason(marked, "repeated_submission_id", F.col("_shared").isNotNull()).drop("_shared")
+
+
 def _keep_first(df: DataFrame, key: str, reason: str, base: DataFrame) -> DataFrame:
     """Of the fine submissions with one key, the first stays fine; the others are rejected for `reason`."""
     decided = first_per_key(df, key, ID, _fine(), "_first_of_key", base)
@@ -95,7 +105,7 @@ def apply_vehicle_batch(
     Columns: submission_id, the vehicle columns, colors (text array), username, seller_identifier,
     purchase_price, purchased_on.
     """
-    judged = quality.validate_submissions(submissions, quality.vehicle_rules(as_of_year))
+    judged = _judge_ids(quality.validate_submissions(submissions, quality.vehicle_rules(as_of_year)))
     for table, column, reason in (
         ("vehicle_type", "vehicle_type", "unknown_vehicle_type"),
         ("manufacturer", "manufacturer_name", "unknown_manufacturer"),
@@ -126,7 +136,7 @@ def apply_customer_batch(tables: Tables, submissions: DataFrame, *, pinned: bool
     Columns: submission_id, customer_type ("Individual" or "Business"), email, phone_number, address,
     and the columns of the individual or business kind.
     """
-    judged = quality.validate_submissions(submissions, quality.customer_rules())
+    judged = _judge_ids(quality.validate_submissions(submissions, quality.customer_rules()))
     business = F.col("customer_type") == "Business"
     judged = judged.withColumn(
         "_identity",
@@ -158,7 +168,7 @@ def apply_vendor_batch(tables: Tables, submissions: DataFrame, *, pinned: bool =
     Columns: submission_id and the vendor columns.
     """
     trimmed = submissions.withColumns({c: F.trim(c) for c in schema.SCHEMAS["vendor"].names})
-    judged = quality.validate_submissions(trimmed, quality.vendor_rules())
+    judged = _judge_ids(quality.validate_submissions(trimmed, quality.vendor_rules()))
     judged = _one_new_per_key(judged, "name", keys_of(tables.vendor, "name"), "name_exists", "name_repeated_in_batch")
     accepted, rejects = _split(pin(judged) if pinned else judged)
     return BatchResult({"vendor": accepted.select(*schema.SCHEMAS["vendor"].names)}, rejects)
@@ -178,6 +188,15 @@ def _order_counts(tables: Tables) -> DataFrame:
     return existing.join(beyond.groupBy("vin").agg(F.min("_seq").alias("_taken")), "vin", "full")
 
 
+def _order_cost() -> Column:
+    """Sum over the parts; NULL if it does not even fit 24 digits."""
+    return F.aggregate(
+        "parts",
+        F.lit(0).cast("decimal(24,2)"),
+        lambda total, p: F.try_add(total, F.try_multiply(p["unit_price"], p["quantity"])).try_cast("decimal(24,2)"),
+    )
+
+
 def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool = False) -> BatchResult:
     """New parts orders with their part lines; a sold or unknown vehicle is rejected.
 
@@ -187,7 +206,11 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
     the vehicle in this batch.
     """
     trimmed = submissions.withColumns({"vin": F.trim("vin"), "vendor_name": F.trim("vendor_name")})
-    judged = quality.validate_submissions(trimmed, quality.parts_order_rules())
+    judged = _judge_ids(quality.validate_submissions(trimmed, quality.parts_order_rules()))
+    judged = judged.withColumn("_total", F.round(_order_cost(), 2).try_cast(schema.MONEY))
+    uncountable = F.exists("parts", lambda p: p["quantity"].try_cast("int").isNull())
+    judged = _add_reason(judged, "quantity_out_of_range", _fine() & uncountable)
+    judged = _add_reason(judged, "total_out_of_range", _fine() & F.col("_total").isNull())
     vendors = keys_of(tables.vendor.withColumnRenamed("name", "vendor_name"), "vendor_name")
     judged = _require(judged, vendors, "vendor_name", "unknown_vendor", trimmed)
     on_sale = keys_of(tables.vehicle, "vin").join(keys_of(tables.sale, "vin"), "vin", "left_anti")
@@ -201,16 +224,11 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
     sequence = F.coalesce("_existing", F.lit(0)) + F.col("_n")
     numbered = numbered.withColumn("order_number", order_number(F.col("vin"), sequence))
     numbered = _add_reason(numbered, "order_number_exists", F.coalesce(sequence >= F.col("_taken"), F.lit(False)))
-    numbered = numbered.select(ID, "vin", "vendor_name", "parts", "order_number", "reasons")
+    numbered = numbered.select(ID, "vin", "vendor_name", "parts", "_total", "order_number", "reasons")
 
     refused = judged.where(~_fine()).select("submission_id", "reasons")
     accepted, collided = _split(pin(numbered) if pinned else numbered)
-    cost = F.aggregate(
-        "parts",
-        F.lit(0).cast("decimal(24,2)"),
-        lambda total, p: (total + p["unit_price"] * p["quantity"]).cast("decimal(24,2)"),
-    )
-    orders = accepted.select("vin", "vendor_name", "order_number", F.round(cost, 2).cast(schema.MONEY).alias("total_cost"))
+    orders = accepted.select("vin", "vendor_name", "order_number", F.col("_total").alias("total_cost"))
     parts = accepted.select("order_number", F.explode("parts").alias("_p")).select(
         "order_number",
         F.coalesce(F.trim("_p.vendor_part_number"), F.lit("")).alias("vendor_parts_number"),
@@ -294,20 +312,19 @@ def sale_prices(tables: Tables) -> DataFrame:
     return bought.join(cost, "vin", "left").select("vin", asking_price(F.col("_paid"), F.col("_parts")).alias("sale_price"))
 
 
-def apply_sales(tables: Tables, submissions: DataFrame, *, pinned: bool = False) -> BatchResult:
+def apply_sales(
+    tables: Tables, submissions: DataFrame, *, seller_roles: Sequence[str] | None = None, pinned: bool = False
+) -> BatchResult:
     """New sales at the asking price: the vehicle is unsold, nothing is pending, buyer and seller are known.
 
-    Columns: submission_id, vin, buyer_identifier, username, sold_on.  One sale per vehicle and batch.
+    Columns: submission_id, vin, buyer_identifier, username, sold_on.  One sale per vehicle and batch.  With
+    `seller_roles`, such as ["Owner"], a user of another role may not sell.
     """
-    judged = submissions.withColumn(
-        "reasons",
-        quality.reasons(
-            [
-                *quality.required("vin", "buyer_identifier", "username"),
-                ("missing_sold_on", F.col("sold_on").isNull()),
-            ]
-        ),
-    )
+    rules = [
+        *quality.required("vin", "buyer_identifier", "username"),
+        ("missing_sold_on", F.col("sold_on").isNull()),
+    ]
+    judged = _judge_ids(submissions.withColumn("reasons", quality.reasons(rules)))
     # One row of facts per vehicle, then a single join of the submissions.
     facts = mark(keys_of(tables.vehicle, "vin"), keys_of(tables.sale, "vin"), "vin", "_sold")
     facts = mark(facts, pending_vins(tables), "vin", "_waiting").join(sale_prices(tables), "vin", "left")
@@ -317,7 +334,12 @@ def apply_sales(tables: Tables, submissions: DataFrame, *, pinned: bool = False)
     judged = _add_reason(judged, "already_sold", known & F.col("_sold"))
     judged = _add_reason(judged, "parts_pending", known & F.col("_waiting"))
     judged = _add_reason(judged, "no_price", known & F.col("sale_price").isNull()).drop("_sold", "_waiting")
+    too_high = F.col("sale_price").isNotNull() & F.col("sale_price").try_cast(schema.MONEY).isNull()
+    judged = _add_reason(judged, "price_out_of_range", too_high)
     judged = _require(judged, keys_of(tables.user, "username"), "username", "unknown_user", submissions)
+    if seller_roles is not None:
+        sellers = tables.user.where(F.col("role").isin(*[resolve_role(r) for r in seller_roles]))
+        judged = _require(judged, keys_of(sellers, "username"), "username", "user_may_not_sell", submissions)
     judged = _with_customer(tables, judged, "buyer_identifier", submissions)
     judged = _add_reason(judged, "unknown_buyer", F.col("customer_id").isNull())
     judged = pin(judged) if pinned else judged

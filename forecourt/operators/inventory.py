@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forecourt import schema
 from forecourt.functions.joins import keys_of, mark
+from forecourt.functions.text import same_text
 from forecourt.operators.roles import resolve_role
 from forecourt.tables import Tables
 
@@ -22,7 +24,7 @@ def vehicle_colors(tables: Tables, color: str | None = None) -> DataFrame:
     """
     rows = tables.vehicle_color
     if color:
-        rows = rows.where(F.lower("color_name") == color.lower())
+        rows = rows.where(same_text(F.col("color_name"), color, schema.COLORS))
     names = F.array_sort(F.collect_set("color_name"))
     return rows.groupBy("vin").agg(F.array_join(names, ", ").alias("colors"))
 

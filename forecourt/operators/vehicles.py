@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forecourt import schema
 from forecourt.functions.joins import attach_distinct, keys_of, lookup
 from forecourt.functions.money import asking_price, total_parts_cost
 from forecourt.functions.reshape import attribute_rows
 from forecourt.functions.text import keyword_pattern, same_text
 from forecourt.operators.inventory import parts_cost_per_vehicle, pending_vins, vehicle_colors
-from forecourt.operators.roles import may_filter_by_status, resolve_role, sees_only_sellable
+from forecourt.operators.roles import may_filter_by_status, may_filter_by_vin, resolve_role, sees_only_sellable
 from forecourt.tables import Tables
 
 PUBLIC_COLUMNS = (
@@ -44,7 +45,7 @@ def restrict_to_vins(
     if vins is None or (isinstance(vins, str) and not vins):
         return df
     if isinstance(vins, str):
-        return df.where(F.col("vin").isin(sorted({vins, vins.upper()})))
+        return df.where(F.col("vin").isin(sorted({vins, vins.upper(), vins.lower()})))
     wanted = keys_of(vins, "vin")
     return lookup(df, wanted, "vin", row_id, how="left_semi") if row_id else df.join(wanted, "vin", "left_semi")
 
@@ -131,10 +132,16 @@ def matching_vehicles(
 ) -> DataFrame:
     """Vehicle rows passing the optional filters; None, "" and "Any" mean "do not filter"."""
     found = restrict_to_vins(tables.vehicle, vins)
-    for column, value in (("vehicle_type", vehicle_type), ("manufacturer_name", manufacturer), ("fuel_type", fuel_type)):
+    for column, value, domain in (
+        ("vehicle_type", vehicle_type, schema.VEHICLE_TYPES),
+        ("manufacturer_name", manufacturer, schema.MANUFACTURERS),
+        ("fuel_type", fuel_type, schema.FUEL_TYPES),
+    ):
         if _given(value):
-            found = found.where(same_text(F.col(column), value))
+            found = found.where(same_text(F.col(column), value, domain))
     if _given(year):
+        if not str(year).strip().isdigit():
+            raise ValueError(f"year must be a whole number, not {year!r}")
         found = found.where(F.col("year") == int(year))
     if keyword:
         texts = [F.col("manufacturer_name"), F.col("model_name"), F.col("year").cast("string"), F.col("description")]
@@ -166,8 +173,10 @@ def search_vehicles(
     all_colors: bool = False,
     accent_insensitive: bool = False,
 ) -> DataFrame:
-    """Inventory search as the given role sees it."""
+    """Inventory search as the given role sees it; a VIN filter by a role that may not use it is an error."""
     role = resolve_role(role)
+    if not (vin is None or isinstance(vin, str) and not vin) and not may_filter_by_vin(role):
+        raise ValueError(f"{role} may not filter by VIN")
     vehicles = matching_vehicles(
         tables,
         vehicle_type=vehicle_type,

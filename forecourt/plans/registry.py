@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forecourt import schema
 from forecourt.operators import batches, ingest, inventory, lookups, quality, reports, vehicles
 from forecourt.plans import dealership_view as view
 from forecourt.tables import Tables
@@ -24,6 +25,10 @@ KEYWORD = "harbor 3"
 ONE_VIN = "VIN00000000000042"
 MONTH = (1997, 5)
 
+# The entry forms' limits, for the queries that check forms.
+VEHICLE_LIMITS = {"max_vin_length": schema.MAX_VIN_LENGTH, "max_description_length": schema.MAX_DESCRIPTION_LENGTH}
+ORDER_LIMITS = {"max_vin_length": schema.MAX_VIN_LENGTH, "max_parts": schema.MAX_PARTS_PER_ORDER}
+
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as DOUBLE, text arrays joined with "|"."""
@@ -231,7 +236,7 @@ def queries() -> dict[str, Query]:
         "check_foreign_keys": _on_tables(lambda t: quality.check_foreign_keys(_with_faults(t))),
         "check_domains": _on_tables(lambda t: quality.check_domains(_with_faults(t))),
         "validate_submissions": _on_raw(
-            lambda r: _invalid(quality.validate_submissions(r, quality.vehicle_rules(AS_OF_YEAR))),
+            lambda r: _invalid(quality.validate_submissions(r, quality.vehicle_rules(AS_OF_YEAR, **VEHICLE_LIMITS))),
             view.vehicle_submissions,
         ),
         "validate_customer_submissions": _on_raw(
@@ -241,7 +246,7 @@ def queries() -> dict[str, Query]:
             lambda r: _invalid(quality.validate_submissions(r, quality.vendor_rules())), view.vendor_submissions
         ),
         "validate_parts_order_submissions": _on_raw(
-            lambda r: _invalid(quality.validate_submissions(r, quality.parts_order_rules())),
+            lambda r: _invalid(quality.validate_submissions(r, quality.parts_order_rules(**ORDER_LIMITS))),
             view.parts_order_submissions,
         ),
     }
