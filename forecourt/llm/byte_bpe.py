@@ -145,21 +145,25 @@ def encode_documents(
     text_col: str = "text",
     path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
+    decoded: bool = False,
 ) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers); one row per row of `docs`.
 
-    `path` names a rank file that every executor has.  NULL text counts as empty and has no ids.  Whole texts are
+    With `decoded` also what the ids decode to, as binary, without a second pass.  `path` names a rank file that every executor has.  NULL text counts as empty and has no ids.  Whole texts are
     encoded, of any length.  Repeated rows give equal rows, an empty table none; other columns are not read.
     """
     file = path or vocabulary_path()
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = encoder(file, pattern).encode
+    @F.pandas_udf("ids binary, decoded binary" if decoded else "ids binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run = encoder(file, pattern)
         for texts in batches:
-            yield pd.Series([run(t) for t in texts], dtype=object)
+            ids = [run.encode(t) for t in texts]
+            out = {"ids": ids} | ({"decoded": [run.decode(i) for i in ids]} if decoded else {})
+            yield pd.DataFrame(out, dtype=object)
 
-    return docs.select(col(id_col).alias("doc_id"), encode(text_of(text_col)).alias("ids"))
+    rows = docs.select(col(id_col).alias("doc_id"), encode(text_of(text_col)).alias("e"))
+    return rows.select("doc_id", "e.*")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -115,8 +115,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = byte_bpe.encode_documents(documents(spark, folder))
-    return byte_bpe.digests(byte_bpe.decode_documents(encoded))
+    return byte_bpe.digests(byte_bpe.encode_documents(documents(spark, folder), decoded=True))
 
 
 def queries() -> dict[str, Query]:

@@ -179,7 +179,10 @@ def test_components_of_a_long_path(spark):
 def test_bpe_equals_the_library(documents, reference_encoding, odd_documents):
     frame, _ = documents
     for table in (frame, odd_documents):
-        done = byte_bpe.decode_documents(byte_bpe.encode_documents(table.where("doc_id IS NOT NULL"))).collect()
+        known = table.where("doc_id IS NOT NULL")
+        done = byte_bpe.decode_documents(byte_bpe.encode_documents(known)).collect()
+        both = byte_bpe.encode_documents(known, decoded=True).collect()
+        assert sorted(map(tuple, both)) == sorted(map(tuple, done))
         texts = {r.doc_id: r.text or "" for r in table.collect()}
         for r in done:
             assert np.frombuffer(r.ids, "<u4").tolist() == reference_encoding.encode_ordinary(texts[r.doc_id])
