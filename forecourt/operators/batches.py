@@ -4,8 +4,9 @@ A submission is accepted whole or rejected whole: one frame of judged submission
 Existing tables are never changed in place; a result carries new rows, or the next snapshot of a table.
 Submissions carry a 64-bit `submission_id`; one without an id, or with an id that another one has too, is rejected, so
 accepted and rejected submissions always add up.  Where two compete, the lower id wins.
-With `pinned=True` the judged submissions are written to reliable checkpoint storage once, so that the several
-outputs of a result do not judge them again.
+The judged submissions are stored once (`functions.lineage.pin`), so that the several outputs of a result do not judge
+them again; with `pinned=False` everything stays lazy and each output judges anew.  Tables are reduced to the vehicles of
+the batch before anything is aggregated or joined, so the work follows the batch.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def _require(df: DataFrame, keys: DataFrame, column: str, reason: str, base: Dat
 
 
 def apply_vehicle_batch(
-    tables: Tables, submissions: DataFrame, as_of_year: int, *, pinned: bool = False
+    tables: Tables, submissions: DataFrame, as_of_year: int, *, pinned: bool = True
 ) -> BatchResult:
     """New vehicles with their colors and purchase.
 
@@ -112,7 +113,8 @@ def apply_vehicle_batch(
         ("user", "username", "unknown_user"),
     ):
         judged = _require(judged, keys_of(tables[table], column), column, reason, submissions)
-    judged = mark_rows(judged, keys_of(tables.vehicle, "vin"), "vin", "_taken", ID, submissions)
+    taken = keys_of(_of_batch(tables.vehicle, keys_of(submissions, "vin")), "vin")
+    judged = mark_rows(judged, taken, "vin", "_taken", ID, submissions)
     judged = _add_reason(judged, "vin_exists", F.col("_taken")).drop("_taken")
     judged = _with_customer(tables, judged, "seller_identifier", submissions)
     judged = _add_reason(judged, "unknown_seller", F.col("customer_id").isNull())
@@ -130,7 +132,7 @@ def apply_vehicle_batch(
     return BatchResult({"vehicle": vehicle, "vehicle_color": color, "purchase": purchase}, rejects)
 
 
-def apply_customer_batch(tables: Tables, submissions: DataFrame, *, pinned: bool = False) -> BatchResult:
+def apply_customer_batch(tables: Tables, submissions: DataFrame, *, pinned: bool = True) -> BatchResult:
     """New customers of both kinds, with ids continuing after the highest existing one.
 
     Columns: submission_id, customer_type ("Individual" or "Business"), email, phone_number, address,
@@ -162,7 +164,7 @@ def apply_customer_batch(tables: Tables, submissions: DataFrame, *, pinned: bool
     )
 
 
-def apply_vendor_batch(tables: Tables, submissions: DataFrame, *, pinned: bool = False) -> BatchResult:
+def apply_vendor_batch(tables: Tables, submissions: DataFrame, *, pinned: bool = True) -> BatchResult:
     """New vendors; a name that exists, or repeats in the batch, is rejected.
 
     Columns: submission_id and the vendor columns.
@@ -174,9 +176,14 @@ def apply_vendor_batch(tables: Tables, submissions: DataFrame, *, pinned: bool =
     return BatchResult({"vendor": accepted.select(*schema.SCHEMAS["vendor"].names)}, rejects)
 
 
-def _order_counts(tables: Tables) -> DataFrame:
+def _of_batch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose vehicle occurs in the batch."""
+    return rows.join(wanted, "vin", "left_semi")
+
+
+def _order_counts(tables: Tables, wanted: DataFrame) -> DataFrame:
     """(vin, _existing, _taken): orders a vehicle has, and the first number beyond that count already in use."""
-    existing = tables.parts_order.groupBy("vin").agg(F.count(F.lit(1)).alias("_existing"))
+    existing = _of_batch(tables.parts_order, wanted).groupBy("vin").agg(F.count(F.lit(1)).alias("_existing"))
     shape = r"^(.*)-(\d+)$"
     used = tables.parts_order.select(
         "order_number",
@@ -184,6 +191,7 @@ def _order_counts(tables: Tables) -> DataFrame:
         F.regexp_extract("order_number", shape, 2).try_cast("bigint").alias("_seq"),
     )
     used = used.where(F.col("order_number") == order_number(F.col("vin"), F.col("_seq"))).select("vin", "_seq")
+    used = _of_batch(used, wanted)
     beyond = lookup(used, existing, "vin", "_seq").where(F.col("_seq") > F.coalesce("_existing", F.lit(0)))
     return existing.join(beyond.groupBy("vin").agg(F.min("_seq").alias("_taken")), "vin", "full")
 
@@ -197,7 +205,7 @@ def _order_cost() -> Column:
     )
 
 
-def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool = False) -> BatchResult:
+def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool = True) -> BatchResult:
     """New parts orders with their part lines; a sold or unknown vehicle is rejected.
 
     Columns: submission_id, vin, vendor_name, parts (array of part_description, vendor_part_number,
@@ -213,21 +221,21 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
     judged = _add_reason(judged, "total_out_of_range", _fine() & F.col("_total").isNull())
     vendors = keys_of(tables.vendor.withColumnRenamed("name", "vendor_name"), "vendor_name")
     judged = _require(judged, vendors, "vendor_name", "unknown_vendor", trimmed)
-    on_sale = keys_of(tables.vehicle, "vin").join(keys_of(tables.sale, "vin"), "vin", "left_anti")
-    facts = on_sale.withColumn("_on_sale", F.lit(True)).join(_order_counts(tables), "vin", "left")
+    wanted = keys_of(trimmed, "vin")
+    sold = keys_of(_of_batch(tables.sale, wanted), "vin")
+    on_sale = keys_of(_of_batch(tables.vehicle, wanted), "vin").join(sold, "vin", "left_anti")
+    facts = on_sale.withColumn("_on_sale", F.lit(True)).join(_order_counts(tables, wanted), "vin", "left")
     judged = lookup(judged, facts, "vin", ID, trimmed)
     judged = _add_reason(judged, "sold_or_unknown_vehicle", F.col("_on_sale").isNull())
-    if pinned:
-        judged = pin(judged)  # numbering reads it three times
+    judged = pin(judged) if pinned else judged
 
-    numbered = number_rows(judged.where(_fine()), ID, ["vin"], "_n")
+    # Only ids and VINs are numbered; refused rows have no number.
+    numbers = number_rows(judged.where(_fine()).select(ID, "vin"), ID, ["vin"], "_n").select(ID, "_n")
+    numbered = judged.join(numbers, ID, "left")
     sequence = F.coalesce("_existing", F.lit(0)) + F.col("_n")
     numbered = numbered.withColumn("order_number", order_number(F.col("vin"), sequence))
     numbered = _add_reason(numbered, "order_number_exists", F.coalesce(sequence >= F.col("_taken"), F.lit(False)))
-    numbered = numbered.select(ID, "vin", "vendor_name", "parts", "_total", "order_number", "reasons")
-
-    refused = judged.where(~_fine()).select("submission_id", "reasons")
-    accepted, collided = _split(pin(numbered) if pinned else numbered)
+    accepted, rejects = _split(numbered)
     orders = accepted.select("vin", "vendor_name", "order_number", F.col("_total").alias("total_cost"))
     parts = accepted.select("order_number", F.explode("parts").alias("_p")).select(
         "order_number",
@@ -237,7 +245,7 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
         F.col("_p.part_status").alias("status"),
         F.col("_p.unit_price").cast(schema.MONEY).alias("unit_price"),
     )
-    return BatchResult({"parts_order": orders, "part": parts}, refused.unionByName(collided))
+    return BatchResult({"parts_order": orders, "part": parts}, rejects)
 
 
 PART_KEY = ["order_number", "vendor_parts_number"]
@@ -313,7 +321,7 @@ def sale_prices(tables: Tables) -> DataFrame:
 
 
 def apply_sales(
-    tables: Tables, submissions: DataFrame, *, seller_roles: Sequence[str] | None = None, pinned: bool = False
+    tables: Tables, submissions: DataFrame, *, seller_roles: Sequence[str] | None = None, pinned: bool = True
 ) -> BatchResult:
     """New sales at the asking price: the vehicle is unsold, nothing is pending, buyer and seller are known.
 
@@ -325,9 +333,13 @@ def apply_sales(
         ("missing_sold_on", F.col("sold_on").isNull()),
     ]
     judged = _judge_ids(submissions.withColumn("reasons", quality.reasons(rules)))
-    # One row of facts per vehicle, then a single join of the submissions.
-    facts = mark(keys_of(tables.vehicle, "vin"), keys_of(tables.sale, "vin"), "vin", "_sold")
-    facts = mark(facts, pending_vins(tables), "vin", "_waiting").join(sale_prices(tables), "vin", "left")
+    # One row of facts per vehicle of the batch, then a single join of the submissions.
+    wanted = keys_of(submissions, "vin")
+    current = tables.with_tables(
+        **{name: _of_batch(tables[name], wanted) for name in ("vehicle", "sale", "purchase", "parts_order")}
+    )
+    facts = mark(keys_of(current.vehicle, "vin"), keys_of(current.sale, "vin"), "vin", "_sold")
+    facts = mark(facts, pending_vins(current), "vin", "_waiting").join(sale_prices(current), "vin", "left")
     judged = lookup(judged, facts, "vin", ID, submissions)
     known = F.col("_sold").isNotNull()
     judged = _add_reason(judged, "unknown_vehicle", ~known)
