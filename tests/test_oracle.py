@@ -4,14 +4,19 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from forecourt.plans import oracle, registry
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
+
+
 @pytest.fixture(scope="module")
 def connection(testdata):
     return compare.connect(testdata)
