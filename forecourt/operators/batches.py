@@ -92,10 +92,13 @@ def _with_customer(tables: Tables, df: DataFrame, identifier: str, base: DataFra
     return lookup(df, people, identifier, ID, base)
 
 
-def _require(df: DataFrame, keys: DataFrame, column: str, reason: str, base: DataFrame) -> DataFrame:
-    """Reject submissions whose `column` does not occur in `keys`."""
-    marked = mark_rows(df, keys, column, "_known", ID, base)
-    return _add_reason(marked, reason, ~F.col("_known")).drop("_known")
+def _require(df: DataFrame, keys: DataFrame, column: str, reason: str) -> DataFrame:
+    """Reject submissions whose `column` does not occur in `keys`, the distinct keys of a dimension table.
+
+    A plain join: Spark's own size check broadcasts a small dimension, and then a hot value costs nothing.
+    """
+    marked = df.join(keys.withColumn("_known", F.lit(True)), column, "left")
+    return _add_reason(marked, reason, F.col("_known").isNull()).drop("_known")
 
 
 def apply_vehicle_batch(
@@ -112,7 +115,7 @@ def apply_vehicle_batch(
         ("manufacturer", "manufacturer_name", "unknown_manufacturer"),
         ("user", "username", "unknown_user"),
     ):
-        judged = _require(judged, keys_of(tables[table], column), column, reason, submissions)
+        judged = _require(judged, keys_of(tables[table], column), column, reason)
     taken = keys_of(_of_batch(tables.vehicle, keys_of(submissions, "vin")), "vin")
     judged = mark_rows(judged, taken, "vin", "_taken", ID, submissions)
     judged = _add_reason(judged, "vin_exists", F.col("_taken")).drop("_taken")
@@ -220,7 +223,7 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
     judged = _add_reason(judged, "quantity_out_of_range", _fine() & uncountable)
     judged = _add_reason(judged, "total_out_of_range", _fine() & F.col("_total").isNull())
     vendors = keys_of(tables.vendor.withColumnRenamed("name", "vendor_name"), "vendor_name")
-    judged = _require(judged, vendors, "vendor_name", "unknown_vendor", trimmed)
+    judged = _require(judged, vendors, "vendor_name", "unknown_vendor")
     wanted = keys_of(trimmed, "vin")
     sold = keys_of(_of_batch(tables.sale, wanted), "vin")
     on_sale = keys_of(_of_batch(tables.vehicle, wanted), "vin").join(sold, "vin", "left_anti")
@@ -348,10 +351,10 @@ def apply_sales(
     judged = _add_reason(judged, "no_price", known & F.col("sale_price").isNull()).drop("_sold", "_waiting")
     too_high = F.col("sale_price").isNotNull() & F.col("sale_price").try_cast(schema.MONEY).isNull()
     judged = _add_reason(judged, "price_out_of_range", too_high)
-    judged = _require(judged, keys_of(tables.user, "username"), "username", "unknown_user", submissions)
+    judged = _require(judged, keys_of(tables.user, "username"), "username", "unknown_user")
     if seller_roles is not None:
         sellers = tables.user.where(F.col("role").isin(*[resolve_role(r) for r in seller_roles]))
-        judged = _require(judged, keys_of(sellers, "username"), "username", "user_may_not_sell", submissions)
+        judged = _require(judged, keys_of(sellers, "username"), "username", "user_may_not_sell")
     judged = _with_customer(tables, judged, "buyer_identifier", submissions)
     judged = _add_reason(judged, "unknown_buyer", F.col("customer_id").isNull())
     judged = pin(judged) if pinned else judged
