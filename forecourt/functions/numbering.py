@@ -7,42 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ids are read as 21-bit digits: three digits cover the non-negative 64-bit range, and no window below ever
-# sees more than 2**21 distinct ids (or digit values), however many rows the group has.
-DIGIT_BITS = 21
+# Ids are read as digits of these widths, the lowest first; what is left on top has 16 bits.  No window below ever sees
+# more than 2**13 distinct ids or 2**17 counts, however many rows the group has.
+DIGIT_BITS = (13, 17, 17)
 HASH_BUCKETS = 65536
 
 
 def number_rows(df: DataFrame, order: str, group: Sequence[str] = (), name: str = "row_no") -> DataFrame:
     """Add `name` = 1, 2, 3, ... in ascending `order` within `group`.
 
-    `order` must hold unique non-negative 64-bit integers.  Row number = rows in lower top-digit blocks
-    + rows in lower blocks of the same top digit + position inside the block; the first two come from
-    counts, which combine before the shuffle, so even a single group of any size is numbered in parallel.
+    `order` must hold unique non-negative 64-bit integers.  Row number = position inside the block of ids with the
+    same upper digits + rows in lower blocks, digit by digit; those come from counts, which combine before the
+    shuffle, so even a single group of any size is numbered in parallel.
     """
     group = list(group)
-    id_ = F.col(order)
-    tagged = df.withColumn("_block", F.shiftright(id_, DIGIT_BITS))
+    tagged = df.withColumn("_block", F.shiftright(F.col(order), DIGIT_BITS[0]))
     inside = Window.partitionBy(*group, "_block").orderBy(order)
     ranked = tagged.withColumn("_inside", F.row_number().over(inside))
-
-    blocks = (
-        tagged.groupBy(*group, "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_top", F.shiftright("_block", DIGIT_BITS))
-    )
-    before_block = _running_total(blocks, [*group, "_top"], "_block", "_before_block")
-    tops = blocks.groupBy(*group, "_top").agg(F.sum("_n").alias("_n"))
-    before_top = _running_total(tops, group, "_top", "_before_top")
-    offsets = before_block.drop("_n").join(before_top.drop("_n"), [*group, "_top"])
-    total = F.col("_inside") + F.col("_before_block") + F.col("_before_top")
+    counts = tagged.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     return (
-        ranked.join(offsets, [*group, "_block"])
-        .withColumn(name, total.cast("bigint"))
-        .drop("_block", "_top", "_inside", "_before_block", "_before_top")
+        ranked.join(_rows_before(counts, group, DIGIT_BITS[1:]), [*group, "_block"])
+        .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
+        .drop("_block", "_inside", "_before")
     )
 
 
+def _rows_before(counts: DataFrame, group: list[str], digits: Sequence[int]) -> DataFrame:
+    """(group, _block, _before): the rows in lower blocks, from `_n` per block."""
+    if not digits:
+        return _running_total(counts, group, "_block", "_before").drop("_n")
+    within = counts.withColumn("_upper", F.shiftright("_block", digits[0]))
+    lower = _running_total(within, [*group, "_upper"], "_block", "_lower").drop("_n")
+    uppers = within.groupBy(*group, F.col("_upper").alias("_block")).agg(F.sum("_n").alias("_n"))
+    higher = _rows_before(uppers, group, digits[1:]).withColumnRenamed("_block", "_upper")
+    total = (F.col("_lower") + F.col("_before")).alias("_before")
+    return lower.join(higher, [*group, "_upper"]).select(*group, "_block", total)
+
+
 def number_rows_by_hash(df: DataFrame, keys: Sequence[str], name: str = "row_no") -> DataFrame:
     """Add dense `name` = 1, 2, 3, ... in an arbitrary but repeatable order fixed by the values of `keys`.
 

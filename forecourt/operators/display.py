@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt.functions.money import currency
+from forecourt.operators.lookups import PURCHASE_CONTACT_LABELS, SALE_CONTACT_LABELS
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,12 @@ SEARCH_TITLES = {
     "purchase_price": "PurchasePrice", "purchase_date": "PurchaseDate", "total_parts_cost": "TotalPartsCost",
     "description": "Description",
 }
+SELLABLE_TITLES = {
+    "vin": "VIN", "vehicle_type": "VehicleType", "manufacturer": "Manufacturer", "model": "Model", "year": "Year",
+    "fuel_type": "FuelType", "horsepower": "Horsepower", "colors": "Colors", "condition": "Condition",
+    "description": "Description", "purchase_price": "PurchasePrice", "purchase_date": "PurchaseDate",
+    "sale_price": "SalePrice",
+}
 
 VIEWS: dict[str, View] = {
     "search": View(SEARCH_TITLES, order=("vin",)),
@@ -43,6 +50,9 @@ VIEWS: dict[str, View] = {
             "vendor_name": "VendorName",
         }
     ),
+    "sellable_vehicle": View(SELLABLE_TITLES, order=("vin",)),
+    "purchase_details": View({"vin": "VIN", **PURCHASE_CONTACT_LABELS}, order=("vin",)),
+    "sale_details": View({"vin": "VIN", **SALE_CONTACT_LABELS}, order=("vin",)),
     "seller_history": View(
         {
             "seller_name": "Seller Name",
@@ -103,14 +113,23 @@ VIEWS: dict[str, View] = {
 }
 
 
-def display(df: DataFrame, view: str, limit: int | None = None) -> DataFrame:
-    """Sort, title and format an operator's result for people; `limit` shows only the first rows of the sort."""
+def display(df: DataFrame, view: str, limit: int | None = None, place: str | None = None) -> DataFrame:
+    """Sort, title and format an operator's result for people; `limit` shows only the first rows of the sort.
+
+    `place` names a first column with each row's place in the sort.  It is meant for reports of few rows: one task
+    numbers them.
+    """
     spec = VIEWS[view]
-    if spec.order:
-        df = df.orderBy(*[F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in spec.order])
+    order = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in spec.order]
+    shown = []
+    if place:
+        df = df.withColumn("_place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+        shown.append(F.col("_place").alias(place))
+        order = [F.col("_place")]
+    if order:
+        df = df.orderBy(*order)
     if limit is not None:
         df = df.limit(limit)
-    shown = []
     for column, title in spec.titles.items():
         if column not in df.columns:
             continue

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt import schema
-from forecourt.functions.joins import keys_of
+from forecourt.functions.joins import keys_of, mark
 from forecourt.functions.text import is_blank
 from forecourt.tables import Tables
 
@@ -26,20 +26,29 @@ def check_primary_keys(tables: Tables, constraints: Iterable[str] | None = None)
 
 
 def check_foreign_keys(tables: Tables) -> DataFrame:
-    """(constraint_name, value, n): referenced values that do not exist, with the rows that use them."""
-    found = []
+    """(constraint_name, value, n): referenced values that do not exist, with the rows that use them.
+
+    All references to one parent are counted together and meet its keys in one join.  It is a marking join, because an
+    anti join would be pushed below the count and the union, and read the parent once per reference.
+    """
+    by_parent: dict[tuple[str, str], list[schema.Reference]] = {}
     for ref in schema.FOREIGN_KEYS:
-        used = (
-            tables[ref.table]
-            .where(F.col(ref.column).isNotNull())
-            .groupBy(F.col(ref.column).alias("_value"))
+        by_parent.setdefault((ref.parent, ref.parent_column), []).append(ref)
+    found = []
+    for (parent, column), refs in by_parent.items():
+        used = [
+            tables[ref.table].select(F.lit(ref.name).alias("constraint_name"), F.col(ref.column).alias("_value"))
+            for ref in refs
+        ]
+        counts = (
+            reduce(DataFrame.unionByName, used)
+            .where(F.col("_value").isNotNull())
+            .groupBy("constraint_name", "_value")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        parents = keys_of(tables[ref.parent], ref.parent_column).select(F.col(ref.parent_column).alias("_value"))
-        orphans = used.join(parents, "_value", "left_anti")
-        found.append(
-            orphans.select(F.lit(ref.name).alias("constraint_name"), F.col("_value").cast("string").alias("value"), "n")
-        )
+        known = keys_of(tables[parent], column).withColumnRenamed(column, "_value")
+        orphans = mark(counts, known, "_value", "_known").where(~F.col("_known"))
+        found.append(orphans.select("constraint_name", F.col("_value").cast("string").alias("value"), "n"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -246,6 +246,113 @@ def dealership(source: Source) -> Tables:
     return Tables(**seeds, **frames)
 
 
+# A second dealership with several deals per vehicle.  Multiples of 6 were bought twice, multiples of 12 have the first
+# purchase once more; multiples of 4 were sold twice, multiples of 8 have the first sale once more.  A thirteenth of the
+# vehicles was never purchased, one vehicle type never sold, and some customers are neither a person nor a firm.
+
+HAS_PURCHASE = "o_orderkey % 13 <> 5"
+HAS_SALE = f"{IS_SOLD} AND o_orderkey % 9 <> 4"
+HAS_KIND = "customer_id % 29 <> 3"
+
+
+def _repeated(rows: DataFrame, twice: str, thrice: str) -> DataFrame:
+    """Rows with a column `deal`: 0, then 1 where `twice`, then 2 where `thrice`."""
+    last = f"CASE WHEN {thrice} THEN 2 WHEN {twice} THEN 1 ELSE 0 END"
+    return rows.selectExpr("*", f"explode(sequence(0, {last})) AS deal")
+
+
+def several_purchases(source: Source) -> DataFrame:
+    rows = _repeated(source.read("orders").where(HAS_PURCHASE), "o_orderkey % 6 = 0", "o_orderkey % 12 = 0")
+    return rows.selectExpr(
+        *columns(
+            vin=VIN,
+            customer_id=f"if(deal = 1, {BUYER}, o_custkey)",
+            username=CLERK,
+            purchase_price=f"if(deal = 1, cast(round(0.8 * {PAID}, 2) AS decimal(12,2)), {PAID})",
+            purchased_on=f"if(deal = 1, date_add({BOUGHT_ON}, 20), {BOUGHT_ON})",
+        )
+    )
+
+
+def several_sales(source: Source) -> DataFrame:
+    rows = _repeated(source.read("orders").where(HAS_SALE), "o_orderkey % 4 = 0", "o_orderkey % 8 = 0")
+    return rows.selectExpr(
+        *columns(
+            vin=VIN,
+            customer_id=f"if(deal = 1, o_custkey, {BUYER})",
+            username=f"if(deal = 1, {username_of('((o_orderkey + 1) % 8 * 3 + 1)')}, {SALESPERSON})",
+            sale_price=f"if(deal = 1, cast(round(1.1 * {PAID}, 2) AS decimal(12,2)), {SOLD_FOR})",
+            sold_on=f"if(deal = 1, date_add({SOLD_ON}, 45), {SOLD_ON})",
+        )
+    )
+
+
+def several_deals(source: Source) -> Tables:
+    builders = {
+        "purchase": several_purchases,
+        "sale": several_sales,
+        "individual_customer": lambda s: customers(s).where(f"NOT is_business AND {HAS_KIND}"),
+        "business_customer": lambda s: customers(s).where(f"is_business AND {HAS_KIND}"),
+    }
+    frames = {name: partial(_built, source, name, build) for name, build in builders.items()}
+    return dealership(source).with_tables(**frames)
+
+
+# Faults, one for every declared key and reference: the rows entered twice, and the rows whose reference is lost.
+
+ROWS_TWICE = {
+    "color": "color_name = 'Red'",
+    "vehicle_type": "vehicle_type = 'SUV'",
+    "manufacturer": "manufacturer_name = 'Kia'",
+    "vehicle": "year = 1999",
+    "vehicle_color": "color_name = 'Red'",
+    "vendor": "state = 'State 1'",
+    "parts_order": "vendor_name LIKE '%7'",
+    "part": "status = 'Received'",
+    "customer": "state = 'State 2'",
+    "individual_customer": "first_name = 'First7'",
+    "business_customer": "business_name LIKE '%5'",
+    "user": "role = 'Manager'",
+    "purchase": "username = 'user3'",
+    "sale": "username = 'user4'",
+}
+LOST_REFERENCES = {
+    ("vehicle", "vehicle_type"): "year = 2001",
+    ("vehicle", "manufacturer_name"): "year = 2002",
+    ("vehicle_color", "color_name"): "color_name = 'Red'",
+    ("vehicle_color", "vin"): "color_name = 'Blue'",
+    ("parts_order", "vin"): "vendor_name LIKE '%7'",
+    ("parts_order", "vendor_name"): "vendor_name LIKE '%8'",
+    ("part", "order_number"): "status = 'Received'",
+    ("individual_customer", "customer_id"): "first_name = 'First7'",
+    ("business_customer", "customer_id"): "business_name LIKE '%5'",
+    ("purchase", "vin"): "username = 'user3'",
+    ("purchase", "customer_id"): "username = 'user6'",
+    ("purchase", "username"): "username = 'user9'",
+    ("sale", "vin"): "username = 'user4'",
+    ("sale", "customer_id"): "username = 'user7'",
+    ("sale", "username"): "username = 'user10'",
+}
+
+
+def with_rows_twice(tables: Tables) -> Tables:
+    return tables.with_tables(
+        **{name: tables[name].unionByName(tables[name].where(some)) for name, some in ROWS_TWICE.items()}
+    )
+
+
+def with_lost_references(tables: Tables) -> Tables:
+    changed = {}
+    for table in {table for table, _ in LOST_REFERENCES}:
+        frame, values = tables[table], {}
+        for column in frame.columns:
+            some = LOST_REFERENCES.get((table, column))
+            lost = f"-{column}" if column == "customer_id" else f"concat({column}, '-lost')"
+            values[column] = f"CASE WHEN {some} THEN {lost} ELSE {column} END" if some else column
+        changed[table] = frame.selectExpr(*columns(**values))
+    return tables.with_tables(**changed)
+
+
 def _built(source: Source, name: str, build: Callable[[Source], DataFrame]) -> DataFrame:
     return conform(build(source), name)
 
@@ -390,6 +497,33 @@ def parts_order_submissions(source: Source) -> DataFrame:
     )
 
 
+def faulty_parts_orders(source: Source) -> DataFrame:
+    """The same orders; by the remainder of their id, ten of eleven break a rule each."""
+    part_b = "parts[1]"
+    first = {
+        5: "'part_description', ' '",
+        6: "'unit_price', cast(0 AS decimal(12,2))",
+        7: "'quantity', 0",
+        8: "'part_status', 'Lost'",
+        9: "'vendor_part_number', parts[1].vendor_part_number",
+    }
+    names = ("part_description", "vendor_part_number", "unit_price", "quantity", "part_status")
+
+    def part_a(change: str) -> str:
+        changed, value = change.split(", ", 1)
+        fields = [f"'{n}', {value if changed == repr(n) else f'parts[0].{n}'}" for n in names]
+        return f"array(named_struct({', '.join(fields)}), {part_b})"
+
+    faults = " ".join(f"WHEN {n} THEN {part_a(change)}" for n, change in first.items())
+    return parts_order_submissions(source).selectExpr(
+        "submission_id",
+        "CASE submission_id % 11 WHEN 1 THEN ' ' WHEN 3 THEN concat(vin, 'X') ELSE vin END AS vin",
+        "if(submission_id % 11 = 2, NULL, vendor_name) AS vendor_name",
+        f"CASE submission_id % 11 WHEN 4 THEN slice(parts, 1, 0) WHEN 10 THEN array_repeat(parts[0], 101) {faults} "
+        "ELSE parts END AS parts",
+    )
+
+
 def status_updates(source: Source) -> DataFrame:
     """Two updates for every part line; those with part key divisible by 50 name an order that does not exist."""
     twice = part_lines(source).selectExpr("*", "explode(array(1, 2)) AS seq")

@@ -193,7 +193,7 @@ _SELLERS = f"""
     FROM d_purchase p LEFT JOIN per_vin v ON v.vin = p.vin LEFT JOIN d_customer c ON c.customer_id = p.customer_id
     GROUP BY p.customer_id, c.customer_id, c.is_business, c.business_name, c.first_name, c.last_name"""
 
-_AVT_CENTS = _cents("sum(s.sold_on - p.purchased_on + 1) * 100", "count(s.sold_on)")
+_AVT_CENTS = _cents("sum(s.sold_on - p.purchased_on + 1) * 100", "count(s.sold_on - p.purchased_on)")
 _INVENTORY_TIME = f"""
     SELECT v.vehicle_type,
            CASE WHEN count(s.sold_on) > 0 THEN CAST({_AVT_CENTS} AS DOUBLE) / 100 END AS avg_days,
@@ -366,6 +366,125 @@ def _domain_rows() -> str:
     return " UNION ALL ".join(rows)
 
 
+# The dealership with several deals per vehicle; `_several` puts its tables in place of the others.
+_SEVERAL = """
+s_purchase AS (
+    SELECT p.* FROM d_purchase p JOIN o ON o.vin = p.vin WHERE k % 13 <> 5
+    UNION ALL
+    SELECT vin, buyer, 'user' || CAST(k % 9 * 3 AS VARCHAR), CAST(round(0.8 * paid, 2) AS DECIMAL(12,2)), bought + 20
+    FROM o WHERE k % 13 <> 5 AND k % 6 = 0
+    UNION ALL
+    SELECT p.* FROM d_purchase p JOIN o ON o.vin = p.vin WHERE k % 13 <> 5 AND k % 12 = 0),
+s_sale AS (
+    SELECT s.* FROM d_sale s JOIN o ON o.vin = s.vin WHERE k % 9 <> 4
+    UNION ALL
+    SELECT vin, c, 'user' || CAST((k + 1) % 8 * 3 + 1 AS VARCHAR), CAST(round(1.1 * paid, 2) AS DECIMAL(12,2)),
+           bought + CAST(k % 90 AS INTEGER) + 45
+    FROM o WHERE is_sold AND k % 9 <> 4 AND k % 4 = 0
+    UNION ALL
+    SELECT s.* FROM d_sale s JOIN o ON o.vin = s.vin WHERE k % 9 <> 4 AND k % 8 = 0),
+s_customer AS (SELECT * FROM d_customer WHERE customer_id % 29 <> 3),
+s_listing AS (
+    SELECT DISTINCT v.vin, v.vehicle_type, v.manufacturer_name AS manufacturer, v.model_name AS model, v.year,
+           v.fuel_type, h.colors, v.horsepower, v.condition, v.description,
+           CAST(coalesce(s.sale_price, round(1.25 * p.purchase_price + 1.1 * coalesce(t.cost, 0), 2)) AS DOUBLE)
+               AS sale_price,
+           s.sold_on AS sale_date, CAST(p.purchase_price AS DOUBLE) AS purchase_price, p.purchased_on AS purchase_date,
+           CAST(coalesce(t.cost, 0) AS DOUBLE) AS total_parts_cost,
+           s.vin IS NOT NULL AS is_sold, v.vin IN (SELECT vin FROM pending) AS is_pending
+    FROM d_vehicle v
+    LEFT JOIN shades h ON h.vin = v.vin
+    LEFT JOIN spent t ON t.vin = v.vin
+    LEFT JOIN s_purchase p ON p.vin = v.vin
+    LEFT JOIN s_sale s ON s.vin = v.vin)"""
+
+
+def _several(text: str) -> str:
+    for table in ("d_purchase", "d_sale", "listing"):
+        text = text.replace(table, f"s_{table.removeprefix('d_')}")
+    return _with(_SEVERAL, text)
+
+
+def _dollars(column: str) -> str:
+    return f"'$' || format('{{:,.2f}}', CAST({column} AS DOUBLE))"
+
+
+def _titled(rows: str, titles: list[tuple[str, str]]) -> str:
+    return f"SELECT {', '.join(f'{value} AS "{title}"' for title, value in titles)} FROM ({rows})"
+
+
+# One fault of every kind: table, rows entered twice, and the columns of each declared key.
+_TWICE = (
+    (f"(SELECT unnest({list(schema.COLORS)}) AS color_name)", "color_name = 'Red'", {"color_pk": "color_name"}),
+    (f"(SELECT unnest({list(schema.VEHICLE_TYPES)}) AS t)", "t = 'SUV'", {"vehicle_type_pk": "t"}),
+    (f"(SELECT unnest({list(schema.MANUFACTURERS)}) AS m)", "m = 'Kia'", {"manufacturer_pk": "m"}),
+    ("d_vehicle", "year = 1999", {"vehicle_pk": "vin"}),
+    ("d_color", "color_name = 'Red'", {"vehicle_color_pk": "color_name, vin"}),
+    ("d_vendor", "state = 'State 1'", {"vendor_pk": "name"}),
+    (
+        "d_order",
+        "vendor_name LIKE '%7'",
+        {"parts_order_pk": "order_number, vendor_name, vin", "parts_order_number_uq": "order_number"},
+    ),
+    ("d_part", "status = 'Received'", {"part_pk": "vendor_parts_number, order_number"}),
+    ("d_customer", "state = 'State 2'", {"customer_pk": "CAST(customer_id AS VARCHAR)"}),
+    (
+        "d_customer",
+        "NOT is_business AND first_name = 'First7'",
+        {"individual_customer_pk": "identifier", "individual_customer_id_uq": "CAST(customer_id AS VARCHAR)"},
+    ),
+    (
+        "d_customer",
+        "is_business AND business_name LIKE '%5'",
+        {"business_customer_pk": "identifier", "business_customer_id_uq": "CAST(customer_id AS VARCHAR)"},
+    ),
+    ("d_user", "role = 'Manager'", {"user_pk": "username"}),
+    ("d_purchase", "username = 'user3'", {"purchase_pk": "vin, username, customer_id"}),
+    ("d_sale", "username = 'user4'", {"sale_pk": "vin, username, customer_id"}),
+)
+_LOST = (
+    ("vehicle.vehicle_type", "d_vehicle", "vehicle_type", "year = 2001"),
+    ("vehicle.manufacturer_name", "d_vehicle", "manufacturer_name", "year = 2002"),
+    ("vehicle_color.color_name", "d_color", "color_name", "color_name = 'Red'"),
+    ("vehicle_color.vin", "d_color", "vin", "color_name = 'Blue'"),
+    ("parts_order.vin", "d_order", "vin", "vendor_name LIKE '%7'"),
+    ("parts_order.vendor_name", "d_order", "vendor_name", "vendor_name LIKE '%8'"),
+    ("part.order_number", "d_part", "order_number", "status = 'Received'"),
+    ("individual_customer.customer_id", "d_customer", "customer_id", "NOT is_business AND first_name = 'First7'"),
+    ("business_customer.customer_id", "d_customer", "customer_id", "is_business AND business_name LIKE '%5'"),
+    ("purchase.vin", "d_purchase", "vin", "username = 'user3'"),
+    ("purchase.customer_id", "d_purchase", "customer_id", "username = 'user6'"),
+    ("purchase.username", "d_purchase", "username", "username = 'user9'"),
+    ("sale.vin", "d_sale", "vin", "username = 'user4'"),
+    ("sale.customer_id", "d_sale", "customer_id", "username = 'user7'"),
+    ("sale.username", "d_sale", "username", "username = 'user10'"),
+)
+
+
+def _repeated_keys() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS constraint_name, concat_ws('|', {key}) AS key, CAST(2 AS BIGINT) AS n FROM {table} WHERE {some}"
+        for table, some, keys in _TWICE
+        for name, key in keys.items()
+    )
+
+
+def _lost_values() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS constraint_name, "
+        + (f"CAST(-{column} AS VARCHAR)" if column == "customer_id" else f"{column} || '-lost'")
+        + f" AS value, count(*) AS n FROM {table} WHERE {some} GROUP BY ALL"
+        for name, table, column, some in _LOST
+    )
+
+
+# The rule that orders break by the remainder of their id.
+_BROKEN_RULES = (
+    "missing_vin", "missing_vendor_name", "vin_too_long", "part_count", "missing_part_description", "bad_unit_price",
+    "bad_quantity", "bad_status", "repeated_part_number", "part_count|repeated_part_number",
+)
+
+
 _WANTED_PART = "order_number, vendor_parts_number, description, quantity, status, CAST(unit_price AS DOUBLE) AS unit_price"
 _CONTACT_COLUMNS = "email, phone_number, street, city, state, postal_code"
 _VEHICLE_COLUMNS = (
@@ -582,5 +701,102 @@ def _queries() -> dict[str, str]:
     }
 
 
+def _later_queries() -> dict[str, str]:
+    plain = _queries()
+    same = (
+        "seller_history", "avg_inventory_time", "price_per_condition", "monthly_sales", "monthly_sales_drilldown",
+        "sellable_vehicle", "purchase_details", "sale_details",
+    )
+    found = {f"several_deals_{name}": _several(plain[name]) for name in same}
+    # Of customers that are neither a person nor a firm, there is no name and no identifier.
+    unnamed = _SELLERS.replace("WHEN c.customer_id IS NULL", "WHEN c.customer_id % 29 = 3")
+    firsts = (
+        "(SELECT * FROM d_sale QUALIFY row_number() OVER (PARTITION BY vin ORDER BY sold_on, username, customer_id) = 1)"
+    )
+    monthly = plain["monthly_sales"]
+    listed = [("VIN", "vin"), ("VehicleType", "vehicle_type"), ("Manufacturer", "manufacturer"), ("Model", "model")]
+    listed += [("Year", "year"), ("FuelType", "fuel_type"), ("Horsepower", "horsepower"), ("Colors", "colors")]
+    listed += [("Condition", "condition"), ("Description", "description"), ("PurchasePrice", "purchase_price")]
+    listed += [("PurchaseDate", "purchase_date"), ("SalePrice", "sale_price")]
+    conditions = [c.lower().replace(" ", "_") for c in schema.CONDITIONS]
+
+    def contacts(person: str, staff: str, titles: tuple[str, str]) -> list[tuple[str, str]]:
+        return [("VIN", "vin"), *_contact_labels(person, staff, titles)]
+
+    return found | {
+        "several_deals_seller_history": _several(f"SELECT * FROM ({unnamed})"),
+        "several_deals_search_public": _several(_listing(_PUBLIC, _SELLABLE)),
+        "several_deals_search_clerk": _several(_listing(_CLERK, "NOT is_sold")),
+        "several_deals_search_manager_all": _several(_listing(_MANAGER)),
+        "several_deals_search_manager_sold": _several(_listing(_MANAGER, "is_sold")),
+        "several_deals_vehicle_counts": _several(
+            f"SELECT count(DISTINCT vin) FILTER (WHERE {_SELLABLE}) AS available_count, "
+            "count(DISTINCT vin) FILTER (WHERE NOT is_sold AND is_pending) AS pending_parts_count FROM listing"
+        ),
+        "several_deals_sale_details_one_per_vin": _several(_contacts(firsts, "customer", "seller")),
+        "several_deals_customer_identifiers": _with(_SEVERAL, "SELECT DISTINCT identifier FROM s_customer"),
+        "display_seller_history": _titled(
+            _SELLERS,
+            [
+                ("Seller Name", "seller_name"),
+                ("Total Vehicles Sold", "total_vehicles_sold"),
+                ("Avg Purchase Price", _dollars("avg_purchase_price")),
+                ("Avg Parts Quantity Per Vehicle", "avg_parts_quantity"),
+                ("Avg Parts Cost Per Vehicle", _dollars("avg_parts_cost")),
+                ("Flagged", "flagged"),
+            ],
+        ),
+        "display_sellable_vehicle": _titled(plain["sellable_vehicle"], listed),
+        "display_purchase_details": _titled(
+            plain["purchase_details"], contacts("seller", "clerk", ("External Seller", "Inventory Clerk"))
+        ),
+        "display_sale_details": _titled(plain["sale_details"], contacts("customer", "seller", ("Customer", "Seller"))),
+        "display_parts_statistics": _titled(
+            plain["parts_statistics"],
+            [
+                ("Vendor Name", "vendor_name"),
+                ("Total Parts Quantity", "total_parts_quantity"),
+                ("Total Amount Spent", _dollars("total_amount_spent")),
+            ],
+        ),
+        "display_monthly_sales": _titled(
+            monthly,
+            [
+                ("place", "row_number() OVER (ORDER BY year DESC, month DESC)"),
+                ("Year", "CAST(year AS VARCHAR)"),
+                ("Month", "month"),
+                ("Vehicles Sold", "vehicles_sold"),
+                ("Gross Sales Income", _dollars("gross_sales_income")),
+                ("Net Income", _dollars("net_income")),
+            ],
+        ),
+        "display_price_per_condition": _titled(
+            plain["price_per_condition"],
+            [
+                ("place", "row_number() OVER (ORDER BY vehicle_type)"),
+                ("Vehicle Type", "vehicle_type"),
+                *[(c, _dollars(column)) for c, column in zip(schema.CONDITIONS, conditions)],
+            ],
+        ),
+        "display_avg_inventory_time": _several(
+            _titled(
+                _INVENTORY_TIME,
+                [
+                    ("place", "row_number() OVER (ORDER BY vehicle_type)"),
+                    ("Vehicle Type", "vehicle_type"),
+                    ("Avg Inventory Time", "avg_inventory_time"),
+                ],
+            )
+        ),
+        "check_primary_keys_all": _repeated_keys(),
+        "check_foreign_keys_all": _lost_values(),
+        "validate_parts_order_submissions_faulty": _with(
+            _REORDERS,
+            f"SELECT submission_id, coalesce({list(_BROKEN_RULES)}[CAST(submission_id % 11 AS INTEGER)], '') AS reasons "
+            "FROM reorders",
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{MODEL} {text}" for name, text in _queries().items()}
+    return {name: f"{MODEL} {text}" for name, text in (_queries() | _later_queries()).items()}

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from forecourt import schema
 from forecourt.operators import batches, ingest, inventory, lookups, quality, reports, vehicles
+from forecourt.operators.display import display
 from forecourt.plans import dealership_view as view
 from forecourt.tables import Tables
 
@@ -47,6 +48,10 @@ def _on_tables(operator: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, folder: plain(operator(view.dealership(view.Source(spark, folder))))
 
 
+def _on_several_deals(operator: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, folder: plain(operator(view.several_deals(view.Source(spark, folder))))
+
+
 def _on_raw(operator: Callable[[DataFrame], DataFrame], raw: Rows) -> Query:
     return lambda spark, folder: plain(operator(raw(view.Source(spark, folder))))
 
@@ -250,4 +255,49 @@ def queries() -> dict[str, Query]:
             view.parts_order_submissions,
         ),
     }
+    # The same operators where vehicles have several purchases and sales
+    several: dict[str, Callable[[Tables], DataFrame]] = {
+        "search_public": lambda t: vehicles.search_vehicles(t, "Public"),
+        "search_clerk": lambda t: vehicles.search_vehicles(t, "Inventory clerk"),
+        "search_manager_all": lambda t: vehicles.search_vehicles(t, "Manager"),
+        "search_manager_sold": lambda t: vehicles.search_vehicles(t, "Manager", vehicle_status="Sold"),
+        "sellable_vehicle": vehicles.sellable_vehicle,
+        "vehicle_counts": inventory.vehicle_counts,
+        "seller_history": reports.seller_history,
+        "avg_inventory_time": reports.avg_inventory_time,
+        "price_per_condition": reports.price_per_condition,
+        "monthly_sales": reports.monthly_sales,
+        "monthly_sales_drilldown": reports.sales_by_salesperson,
+        "purchase_details": lookups.purchase_details,
+        "sale_details": lookups.sale_details,
+        "sale_details_one_per_vin": lambda t: lookups.sale_details(t, one_per_vin=True),
+        "customer_identifiers": lookups.customer_identifiers,
+    }
+    found |= {f"several_deals_{name}": _on_several_deals(operator) for name, operator in several.items()}
+    # What people see: titles, currency text and, for reports of a bounded number of rows, the order
+    found |= {
+        "display_seller_history": _on_tables(lambda t: display(reports.seller_history(t), "seller_history")),
+        "display_sellable_vehicle": _on_tables(lambda t: display(vehicles.sellable_vehicle(t), "sellable_vehicle")),
+        "display_purchase_details": _on_tables(lambda t: display(lookups.purchase_details(t), "purchase_details")),
+        "display_sale_details": _on_tables(lambda t: display(lookups.sale_details(t), "sale_details")),
+        "display_parts_statistics": _on_tables(lambda t: display(reports.parts_statistics(t), "parts_statistics")),
+        "display_monthly_sales": _on_tables(
+            lambda t: display(reports.monthly_sales(t), "monthly_sales", place="place")
+        ),
+        "display_price_per_condition": _on_tables(
+            lambda t: display(reports.price_per_condition(t), "price_per_condition", place="place")
+        ),
+        "display_avg_inventory_time": _on_several_deals(
+            lambda t: display(reports.avg_inventory_time(t), "avg_inventory_time", place="place")
+        ),
+    }
+    # A fault for every declared key and reference, and for every rule of a parts order
+    found |= {
+        "check_primary_keys_all": _on_tables(lambda t: quality.check_primary_keys(view.with_rows_twice(t))),
+        "check_foreign_keys_all": _on_tables(lambda t: quality.check_foreign_keys(view.with_lost_references(t))),
+        "validate_parts_order_submissions_faulty": _on_raw(
+            lambda r: _invalid(quality.validate_submissions(r, quality.parts_order_rules(**ORDER_LIMITS))),
+            view.faulty_parts_orders,
+        ),
+    }
     return found

@@ -64,6 +64,22 @@ def test_number_rows_matches_a_window(spark):
     assert rows(number_rows(data, "id", name="n"), "id", "g", "n") == rows(whole)
 
 
+def test_dense_ids_are_numbered_by_many_tasks(spark):
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        numbered = number_rows(spark.range(1_000_000).withColumn("wide", F.lit("x")), "id", name="n")
+        shares = numbered.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if(F.expr("n <> id + 1")).alias("wrong"))
+        found = shares.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in found) == 1_000_000 and not any(r.wrong for r in found)
+    assert max(r.n for r in found) <= 2 * 1_000_000 / 16
+
+
 def test_number_rows_by_hash_is_dense_and_repeatable(spark):
     data = spark.range(500).select(F.concat(F.lit("id"), "id").alias("key"))
     once, again = number_rows_by_hash(data, ["key"]), number_rows_by_hash(data.repartition(7), ["key"])

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.operators import batches, inventory, reports, vehicles
+from forecourt import schema
+from forecourt.operators import batches, inventory, quality, reports, vehicles
 from forecourt.operators.inventory import parts_per_order
 from forecourt.plans import dealership_view as view
 from forecourt.plans.registry import queries
@@ -65,6 +66,19 @@ def test_pending_reads_two_columns_of_parts(stored):
     assert "struct<order_number:string,status:string>" in shown
 
 
+def test_references_meet_each_parent_in_one_join(tables):
+    parents = {(ref.parent, ref.parent_column) for ref in schema.FOREIGN_KEYS}
+    assert len(re.findall(r"(?:BroadcastHash|SortMerge|ShuffledHash)Join", plan(quality.check_foreign_keys(tables)))) == len(parents)
+
+
+def test_vehicles_with_several_deals_have_every_case(spark, testdata):
+    several = view.several_deals(view.Source(spark, testdata))
+    per_vin = several.sale.groupBy("vin").count().join(several.purchase.groupBy("vin").count().toDF("vin", "p"), "vin", "left")
+    assert {(1, 1), (1, 2), (2, 3), (3, 3), (1, None), (2, None)} <= {(r["count"], r.p) for r in per_vin.collect()}
+    assert "N/A" in {r.avg_inventory_time for r in reports.avg_inventory_time(several).collect()}
+    assert reports.seller_history(several).where("seller_name IS NULL").count() > 0
+
+
 def test_available_and_pending_make_up_the_unsold(tables):
     counts = inventory.vehicle_counts(tables).first()
     assert counts.available_count + counts.pending_parts_count == inventory.unsold_vehicles(tables).count()
