@@ -58,7 +58,7 @@ def attach_distinct(
 ) -> DataFrame:
     """`one LEFT JOIN (SELECT DISTINCT * FROM many) USING (key)`, with hot keys of `many` spread over tasks.
 
-    With `how="inner"`, rows of `one` without a match are left out.
+    With `how="inner"`, rows of `one` without a match are left out.  `one` has one row per key; see `attach_many`.
 
     Adaptive execution can split a skewed partition on the left of a left outer join but never on the right,
     so the right side is cut here, by a hash of its other columns.  Equal rows of `many` collapse on the map
@@ -70,6 +70,37 @@ def attach_distinct(
     return _spread(one, salted, [key], how).join(salted.distinct(), [key, "_salt"], how).drop("_salt")
 
 
+def attach_many(
+    left: DataFrame, many: DataFrame, key: str, row_id: Sequence[str], base: DataFrame, salts: int | None = None
+) -> DataFrame:
+    """`left LEFT JOIN (SELECT DISTINCT * FROM many) USING (key)` where a key may be hot on both sides.
+
+    `left` is cut by a hash of `row_id` into parts, `many` by a hash of its other columns into salts.  Per key, the
+    parts and the salts that occur are known; each row of `left` is repeated once per salt and each row of `many` once
+    per part, so every (key, part, salt) meets in one place.  The result equals the plain join.
+
+    `base` has `key` and `row_id` of all rows of `left`, and may have more; it is shorter to compute than `left`.
+    """
+    salts = salts or salts_of(many)
+    cut = left.withColumn("_part", _salt(row_id, salts))
+    parts = base.select(key, _salt(row_id, salts).alias("_part")).groupBy(key).agg(F.collect_set("_part").alias("_parts"))
+    salted = many.withColumn("_salt", _salt([c for c in many.columns if c != key], salts))
+    occurring = salted.groupBy(key).agg(F.collect_set("_salt").alias("_salts"))
+    grid = parts.join(occurring, key)
+    repeated_left = (
+        cut.join(grid.select(key, F.explode("_parts").alias("_part"), "_salts"), [key, "_part"], "left")
+        .withColumn("_salt", F.explode_outer("_salts"))
+        .drop("_salts")
+    )
+    repeated_many = (
+        salted.distinct()
+        .join(grid.select(key, F.explode("_salts").alias("_salt"), "_parts"), [key, "_salt"])
+        .withColumn("_part", F.explode("_parts"))
+        .drop("_parts")
+    )
+    return repeated_left.join(repeated_many, [key, "_part", "_salt"], "left").drop("_part", "_salt")
+
+
 def keys_of(df: DataFrame, key: str, flag: str | None = None) -> DataFrame:
     """Distinct non-null keys, de-duplicated before the shuffle; optionally with a constant TRUE marker column."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()

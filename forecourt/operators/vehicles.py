@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt import schema
-from forecourt.functions.joins import attach_distinct, keys_of, lookup
+from forecourt.functions.joins import attach_distinct, attach_many, keys_of, lookup
 from forecourt.functions.money import asking_price, total_parts_cost
 from forecourt.functions.reshape import attribute_rows
 from forecourt.functions.text import keyword_pattern, same_text
@@ -50,6 +50,15 @@ def restrict_to_vins(
     return lookup(df, wanted, "vin", row_id, how="left_semi") if row_id else df.join(wanted, "vin", "left_semi")
 
 
+def _deals_of(tables: Tables, vins: str | DataFrame | None) -> Tables:
+    """One VIN reaches the scans of the deals as a pushed filter; Spark infers it only through some of the joins."""
+    if not isinstance(vins, str):
+        return tables
+    return tables.with_tables(
+        sale=restrict_to_vins(tables.sale, vins), purchase=restrict_to_vins(tables.purchase, vins)
+    )
+
+
 def vehicle_base(
     tables: Tables,
     vehicles: DataFrame | None = None,
@@ -66,7 +75,8 @@ def vehicle_base(
     is joined; the one-row-per-VIN parts share one partitioning by VIN.  A `color` keeps vehicles of that
     color and lists only the matching color, unless `all_colors` is set.
     """
-    base = (tables.vehicle if vehicles is None else vehicles).where(F.col("vin").isNotNull())
+    wanted = tables.vehicle if vehicles is None else vehicles
+    base = wanted.where(F.col("vin").isNotNull())
     if status == "unsold":
         base = base.join(keys_of(tables.sale, "vin"), "vin", "left_anti")
     if sellable_only:
@@ -79,15 +89,16 @@ def vehicle_base(
         base = base.join(vehicle_colors(tables), "vin", "left")
     base = base.join(parts_cost_per_vehicle(tables), "vin", "left")
 
+    purchases = tables.purchase.select("vin", "purchase_price", F.col("purchased_on").alias("purchase_date"))
+    unsold = {"_sold_for": F.lit(None).cast("decimal(12,2)"), "sale_date": F.lit(None).cast("date")}
     if status == "unsold":
-        base = base.withColumns(
-            {"_sold_for": F.lit(None).cast("decimal(12,2)"), "sale_date": F.lit(None).cast("date")}
-        )
+        base = attach_distinct(base.withColumns(unsold), purchases, "vin")
     else:
         sales = tables.sale.select("vin", F.col("sale_price").alias("_sold_for"), F.col("sold_on").alias("sale_date"))
         base = attach_distinct(base, sales, "vin", "inner" if status == "sold" else "left")
-    purchases = tables.purchase.select("vin", "purchase_price", F.col("purchased_on").alias("purchase_date"))
-    base = attach_distinct(base, purchases, "vin")
+        # From here on a VIN has a row per sale, so both sides of the next join may be hot.
+        every = sales.unionByName(wanted.select("vin").withColumns(unsold))
+        base = attach_many(base, purchases, "vin", ["_sold_for", "sale_date"], every)
 
     parts_cost = F.col("parts_cost")
     price = F.coalesce("_sold_for", asking_price(F.col("purchase_price"), parts_cost))
@@ -192,9 +203,10 @@ def search_vehicles(
         status, columns = {"sold": "sold", "unsold": "unsold"}.get((vehicle_status or "").lower(), "all"), MANAGER_COLUMNS
     elif not sees_only_sellable(role):
         columns = CLERK_COLUMNS
+    dealt = _deals_of(tables, vin)
     found = vehicle_base(
         # The search view has no sale date: sales at one price on several days are one row.
-        tables.with_tables(sale=tables.sale.withColumn("sold_on", F.lit(None).cast("date"))),
+        dealt.with_tables(sale=dealt.sale.withColumn("sold_on", F.lit(None).cast("date"))),
         vehicles,
         status=status,
         sellable_only=sees_only_sellable(role),
@@ -215,7 +227,7 @@ def vehicle_details(
     role = resolve_role(role)
     everything = may_filter_by_status(role) and not unsold_only
     base = vehicle_base(
-        tables,
+        _deals_of(tables, vins),
         restrict_to_vins(tables.vehicle, vins),
         status="all" if everything else "unsold",
         sellable_only=sees_only_sellable(role),

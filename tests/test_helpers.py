@@ -7,7 +7,7 @@ from lot import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from forecourt.functions.joins import attach_distinct, first_per_key, lookup, mark_rows
+from forecourt.functions.joins import attach_distinct, attach_many, first_per_key, lookup, mark_rows
 from forecourt.functions.lineage import pin
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.reshape import attribute_rows
@@ -30,6 +30,15 @@ def test_attach_distinct_equals_plain_join(hot, how, salts):
     assert rows(attached, "key", "l", "m", "t") == rows(one.join(many.distinct(), "key", how), "key", "l", "m", "t")
 
 
+@pytest.mark.parametrize("salts", [1, 3, 4096])
+def test_attach_many_equals_plain_join(hot, salts):
+    one, many = hot
+    left = one.join(many.select("key", F.col("m").alias("n")).where("m < 20"), "key", "left")
+    base = left.select("key", "n").unionByName(one.select("key", F.lit(99).alias("n")))
+    attached = attach_many(left, many, "key", ["n"], base, salts)
+    assert rows(attached, "key", "l", "n", "m", "t") == rows(left.join(many.distinct(), "key", "left"), "key", "l", "n", "m", "t")
+
+
 def test_attach_distinct_spreads_a_hot_key(hot):
     one, many = hot
     salted = many.where("key = 'a'").withColumn("s", F.pmod(F.xxhash64("m", "t"), F.lit(4096)))

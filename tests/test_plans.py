@@ -79,6 +79,43 @@ def test_vehicles_with_several_deals_have_every_case(spark, testdata):
     assert reports.seller_history(several).where("seller_name IS NULL").count() > 0
 
 
+@pytest.mark.parametrize("hot_purchases", [1, 30])
+def test_a_vehicle_with_a_third_of_the_deals_is_spread(spark, tables, hot_purchases):
+    vins = spark.range(6000).selectExpr("concat('V', id) AS vin")
+    vehicle = vins.selectExpr(
+        "vin", "'SUV' AS vehicle_type", "'Kia' AS manufacturer_name", "'Good' AS condition", "'m' AS model_name",
+        "2001 AS year", "'Gas' AS fuel_type", "100 AS horsepower", "'' AS description",
+    )
+    deal = "1L AS customer_id", "'u' AS username"
+    sale = vins.selectExpr("vin", *deal, "cast(5 AS decimal(12,2)) AS sale_price", "date'2024-01-02' AS sold_on").unionByName(
+        spark.range(3000).selectExpr("'V7' AS vin", *deal, "cast(id AS decimal(12,2)) AS sale_price", "date'2024-01-03' AS sold_on")
+    )
+    purchase = vins.selectExpr(
+        "vin", *deal, "cast(5 AS decimal(12,2)) AS purchase_price", "date'2024-01-01' AS purchased_on"
+    ).unionByName(
+        spark.range(hot_purchases - 1).selectExpr(
+            "'V7' AS vin", *deal, "cast(id + 9 AS decimal(12,2)) AS purchase_price", "date'2023-01-03' AS purchased_on"
+        )
+    )
+    lot = tables.with_tables(vehicle=vehicle, sale=sale, purchase=purchase)
+    settings = {
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        shares = vehicles.vehicle_base(lot).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    total = sum(r["count"] for r in shares)
+    assert total == 5999 + 3001 * hot_purchases
+    assert max(r["count"] for r in shares) <= 2 * total / 16
+
+
 def test_available_and_pending_make_up_the_unsold(tables):
     counts = inventory.vehicle_counts(tables).first()
     assert counts.available_count + counts.pending_parts_count == inventory.unsold_vehicles(tables).count()
