@@ -15,12 +15,16 @@ from forecourt.tables import Tables
 
 
 def check_primary_keys(tables: Tables, constraints: Iterable[str] | None = None) -> DataFrame:
-    """(constraint_name, key, n): every key value that occurs more than once."""
+    """(constraint_name, key, n): every key value that occurs more than once.
+
+    Parts of a key are joined by "|"; inside a part "|" and the backslash get a backslash, and NULL reads as \\N.
+    """
     found = []
     for name in constraints or schema.UNIQUE_KEYS:
         table, columns = schema.UNIQUE_KEYS[name]
         counts = tables[table].groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+        parts = [F.regexp_replace(F.col(c).cast("string"), r"([|\\])", r"\\$1") for c in columns]
+        key = F.concat_ws("|", *[F.coalesce(part, F.lit("\\N")) for part in parts])
         found.append(counts.select(F.lit(name).alias("constraint_name"), key.alias("key"), "n"))
     return reduce(DataFrame.unionByName, found)
 

@@ -35,8 +35,8 @@ class Source:
 
 
 def pick(values: Sequence[str], index: str) -> str:
-    """The value at a zero-based index; the split of a constant is folded to a constant array."""
-    return f"element_at(split('{'|'.join(values)}', '[|]'), cast({index} + 1 AS int))"
+    """The value at a zero-based index."""
+    return f"element_at(array({', '.join(repr(v) for v in values)}), cast({index} + 1 AS int))"
 
 
 def padded(number: str, width: int) -> str:

@@ -59,7 +59,7 @@ def seed_rows(spark: SparkSession, table: str) -> DataFrame:
 
 def constant_rows(spark: SparkSession, columns: Mapping[str, Sequence[str]]) -> DataFrame:
     """A small constant text table, planned inside the JVM with a known small size."""
-    lists = [F.split(F.lit("|".join(values)), "[|]").alias(name) for name, values in columns.items()]
+    lists = [F.array(*[F.lit(v) for v in values]).alias(name) for name, values in columns.items()]
     rows = spark.range(1).select(F.inline(F.arrays_zip(*lists)))
     return rows.select(*[F.col(c).alias(name) for c, name in zip(rows.columns, columns, strict=True)])
 

@@ -21,6 +21,13 @@ def test_primary_keys(spark):
     assert rows(quality.check_primary_keys(t, ["purchase_pk"])) == []
 
 
+def test_keys_never_read_alike(spark):
+    keys = [("a|b", "c"), ("a", "b|c"), ("a\\", "c"), ("", "c")]
+    t = lot(spark, vehicle_color=[{"color_name": c, "vin": v} for c, v in keys for _ in range(2)])
+    found = [r.key for r in quality.check_primary_keys(t, ["vehicle_color_pk"]).collect()]
+    assert set(found) == {"a\\|b|c", "a|b\\|c", "a\\\\|c", "|c"}
+
+
 def test_foreign_keys(spark):
     t = lot(
         spark,
