@@ -1,11 +1,17 @@
 """Lexical retrieval packing: windows of tokens filled with documents that are lexically close.
 
-Documents are encoded and cut into whole windows and a tail shorter than a window.  Tails are spread over shards of
-bounded size by a hash of the document.  Each shard builds a BM25 inverted index over the token ids of its tails; every
-unused tail in turn is a seed, its best-scoring unused neighbours fill the rest of the window, and the last one is cut
-where the window ends.  So only a shard's last window can be short.
+Documents are encoded and cut into whole windows and a tail shorter than a window.  Tails are put into a lexical order
+and cut by rank into shards of exactly bounded size, so that lexically close tails share a shard.  Each shard builds a
+BM25 inverted index over the token ids of its tails, with the document frequencies and mean length of the whole corpus;
+every unused tail in turn is a seed, its best-scoring unused neighbours fill the rest of the window, and the last one
+is cut where the window ends.  So only a shard's last window can be short.
 
-The number of shards grows with the corpus and a shard with nothing: what a task holds is one shard.
+The order: a tail's BM25 weights are projected on `DIMS` fixed random directions.  A tree of splits along principal
+directions, learned from a bounded sample of these vectors, gives each tail a leaf; inside a leaf, tails are ordered by
+the signs of their offsets from its mean, then by row.  The sample decides only where the splits lie.
+
+A seed queries its own shard, not the others: that would be work in the square of the corpus.  The number of shards
+grows with the corpus and a shard with nothing: what a task holds is one shard.
 """
 
 from __future__ import annotations
@@ -13,7 +19,9 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +32,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forecourt.llm.frames import col, text_of
+from forecourt.llm.frames import col, pin, text_of
 
 # The rank file with the same ids as the tokenizers file byte_bpe_50k.json.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,6 +40,11 @@ WINDOW = 1024
 SEPARATOR = 0
 DOCS_PER_SHARD = 1024
 K1, B = 1.2, 0.75
+# Of the lexical order: directions, rows of the table of directions, vectors the tree is learned from, and of a leaf.
+DIMS = 128
+DIRECTIONS = 1 << 16
+SAMPLE = 8192
+LEAF = 16
 
 
 @lru_cache(maxsize=2)
@@ -42,10 +55,28 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs to know of all documents; `df` is indexed by token id."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[terms]
+        return np.log1p((self.docs - df + 0.5) / (df + 0.5))
+
+
 class InvertedIndex:
-    """BM25 over token ids: for each term, the documents that hold it and their weights."""
+    """BM25 over token ids: for each term, the documents that hold it and their weights.
 
-    def __init__(self, docs: list[np.ndarray], k1: float = K1, b: float = B) -> None:
+    Without `corpus` the given documents are the whole corpus.
+    """
+
+    def __init__(
+        self, docs: list[np.ndarray], k1: float = K1, b: float = B, corpus: Corpus | None = None
+    ) -> None:
         self.size = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         terms = np.concatenate([t for t, _ in found])
@@ -53,8 +84,8 @@ class InvertedIndex:
         owner = np.repeat(np.arange(self.size), [len(t) for t, _ in found])
         vocabulary, code, df = np.unique(terms, return_inverse=True, return_counts=True)
         lengths = np.array([len(d) for d in docs], dtype=np.float64)
-        norm = k1 * (1 - b + b * lengths / lengths.mean())
-        idf = np.log1p((self.size - df + 0.5) / (df + 0.5))
+        norm = k1 * (1 - b + b * lengths / (corpus.mean if corpus else lengths.mean()))
+        idf = corpus.idf(vocabulary) if corpus else np.log1p((self.size - df + 0.5) / (df + 0.5))
         weight = idf[code] * tf * (k1 + 1) / (tf + norm[owner])
         order = np.argsort(code, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
@@ -70,11 +101,64 @@ class InvertedIndex:
         return np.bincount(owner, weights=weight, minlength=self.size)
 
 
-def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+@lru_cache(maxsize=1)
+def _directions() -> np.ndarray:
+    """One per Python worker: the direction of each token id."""
+    return np.random.default_rng(0).standard_normal((DIRECTIONS, DIMS), dtype=np.float32)
+
+
+def vectors(tails: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """The projected BM25 weights of each tail, of length 1."""
+    table = _directions()
+    out = np.zeros((len(tails), DIMS), dtype=np.float32)
+    for i, tail in enumerate(tails):
+        terms, tf = np.unique(tail, return_counts=True)
+        weights = corpus.idf(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tail) / corpus.mean))
+        out[i] = weights.astype(np.float32) @ table[terms % DIRECTIONS]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class LexicalOrder:
+    """A complete binary tree of splits at the median along the principal direction of each node's vectors."""
+
+    def __init__(self, sample: np.ndarray, leaf: int = LEAF) -> None:
+        self.depth = max(0, int(math.log2(max(1, len(sample) / leaf))))
+        inner = (1 << self.depth) - 1
+        self.direction = np.zeros((inner, DIMS), dtype=np.float32)
+        self.threshold = np.zeros(inner, dtype=np.float32)
+        self.center = np.zeros((inner + 1, DIMS), dtype=np.float32)
+        held = {0: sample}
+        for node in range(2 * inner + 1):
+            mine = held.pop(node)
+            mean = mine.mean(axis=0) if len(mine) else np.zeros(DIMS, dtype=np.float32)
+            if node >= inner:
+                self.center[node - inner] = mean
+                continue
+            if len(mine) > 1:
+                offsets = mine - mean
+                self.direction[node] = np.linalg.eigh(offsets.T @ offsets)[1][:, -1]
+                self.threshold[node] = np.median(mine @ self.direction[node])
+            right = mine @ self.direction[node] > self.threshold[node]
+            held[2 * node + 1], held[2 * node + 2] = mine[~right], mine[right]
+
+    def keys(self, found: np.ndarray) -> list[bytes]:
+        """Sort keys of equal length: the leaf and the signs of the offsets from its mean."""
+        node = np.zeros(len(found), dtype=np.int64)
+        for _ in range(self.depth):
+            right = np.einsum("ij,ij->i", found, self.direction[node]) > self.threshold[node]
+            node = 2 * node + 1 + right
+        leaf = node - ((1 << self.depth) - 1)
+        signs = np.packbits(found[:, :64] > self.center[leaf][:, :64], axis=1)
+        return [int(n).to_bytes(4, "big") + bits.tobytes() for n, bits in zip(leaf, signs)]
+
+
+def fill_windows(
+    docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None
+) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, first token, tokens); every token of every document in exactly one."""
     if not docs:
         return
-    index = InvertedIndex(docs)
+    index = InvertedIndex(docs, corpus=corpus)
     left = np.array([len(d) for d in docs])
     start = np.zeros(len(docs), dtype=np.int64)
 
@@ -119,27 +203,19 @@ _PACKED = pa.schema(
 )
 
 
-def _pack_shard(shard: pa.Table, window: int) -> pa.Table:
-    """All pieces of one shard: whole windows keep to themselves, tails are packed."""
-    shard = shard.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("start", "ascending")])
-    first = shard["shard"][0].as_py() << 32 if len(shard) else 0
-    columns = {n: shard[n].to_pylist() for n in ("start", "length", "ids_crc32", "doc_tokens")}
-    tails = [i for i, valid in enumerate(shard["tail"].is_valid().to_pylist()) if valid]
-    tail_ids = [np.frombuffer(shard["tail"][i].as_py(), dtype="<u4") for i in tails]
+def _pack_shard(shard: pa.Table, window: int, corpus: Corpus) -> pa.Table:
+    """The tails of one shard, packed."""
+    shard = shard.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("row", "ascending")])
+    sequence = shard["shard"][0].as_py() << 32 if len(shard) else 0
+    columns = {n: shard[n].to_pylist() for n in ("start", "doc_tokens")}
+    tails = _token_ids(shard["tail"].to_pylist())
     rows, sources = [], []
-    is_tail = set(tails)
-    sequence = first
-    for i in range(len(shard)):
-        if i not in is_tail:
-            rows.append(tuple(columns[n][i] for n in ("start", "length", "ids_crc32", "doc_tokens")) + (sequence, 0))
-            sources.append(i)
-            sequence += 1
-    for filled in fill_windows(tail_ids, window):
+    for filled in fill_windows(tails, window, corpus):
         offset = 0
-        for doc, begin, n in filled:
-            i = tails[doc]
-            crc = zlib.crc32(tail_ids[doc][begin : begin + n])
-            rows.append((columns["start"][i] + begin, n, crc, columns["doc_tokens"][i], sequence, offset))
+        for i, begin, n in filled:
+            crc = zlib.crc32(tails[i][begin : begin + n])
+            # Even numbers; whole windows have odd ones.
+            rows.append((columns["start"][i] + begin, n, crc, columns["doc_tokens"][i], 2 * sequence, offset))
             sources.append(i)
             offset += n
         sequence += 1
@@ -147,6 +223,77 @@ def _pack_shard(shard: pa.Table, window: int) -> pa.Table:
     return packed.add_column(0, "doc_id", shard["doc_id"].take(pa.array(sources, pa.int64())))
 
 
+def _token_ids(tails: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, dtype="<u4") for t in tails]
+
+
+def _corpus(tails: DataFrame) -> Corpus:
+    """Counted in the partitions; the driver gets one number per token id."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, tokens = np.zeros(0, dtype=np.int64), 0, 0
+        for batch in batches:
+            for tail in _token_ids(batch.column(0).to_pylist()):
+                terms = np.unique(tail)
+                if terms[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), dtype=np.int64)])
+                df[terms] += 1
+                docs, tokens = docs + 1, tokens + len(tail)
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([[-1, -2], seen])), pa.array(np.concatenate([[docs, tokens], df[seen]]))],
+            names=["term", "n"],
+        )
+
+    counted = tails.select("tail").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n"))
+    found = {int(t): int(n) for t, n in counted.collect()}
+    docs, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, dtype=np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(docs, tokens / max(1, docs), df)
+
+
+def _placed(tails: DataFrame, corpus: Corpus, docs_per_shard: int) -> DataFrame:
+    """`tails` with its shard: the rank in the lexical order by `docs_per_shard`, so that none is larger."""
+    if corpus.docs <= docs_per_shard:
+        return tails.withColumn("shard", F.lit(0).cast("bigint"))
+
+    @F.pandas_udf("binary")
+    def vector(found: pd.Series) -> pd.Series:
+        return pd.Series([v.tobytes() for v in vectors(_token_ids(found.tolist()), corpus)], dtype=object)
+
+    every = F.lit(math.ceil(corpus.docs / SAMPLE))
+    sample = tails.where(F.pmod(F.xxhash64("row"), every) == 0).select("row", vector("tail").alias("vector")).collect()
+    known = [np.frombuffer(r["vector"], dtype=np.float32) for r in sorted(sample, key=lambda r: r["row"])]
+    order = LexicalOrder(np.stack(known) if known else np.zeros((0, DIMS), dtype=np.float32))
+
+    @F.pandas_udf("binary")
+    def key(found: pd.Series, rows: pd.Series) -> pd.Series:
+        keys = order.keys(vectors(_token_ids(found.tolist()), corpus))
+        return pd.Series([k + int(r).to_bytes(8, "big") for k, r in zip(keys, rows)], dtype=object)
+
+    keyed = pin(tails.withColumn("key", key("tail", "row")))
+    # Keys are unique, so ranges can be cut anywhere; the number has the partition above bit 33 and the place below.
+    ordered = pin(
+        keyed.select("key").repartitionByRange("key").sortWithinPartitions("key").select(
+            "key", F.monotonically_increasing_id().alias("at")
+        )
+    )
+    partition, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(map(tuple, ordered.groupBy(partition).count().collect()))
+    before = [0, *np.cumsum([n for _, n in sizes]).tolist()]
+    firsts = {p: n for (p, _), n in zip(sizes, before)}
+    first = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in firsts.items() for x in pair]), partition)
+    # One key per shard.
+    bounds = sorted(bytes(r[0]) for r in ordered.where((first + place) % docs_per_shard == 0).select("key").collect())
+
+    @F.pandas_udf("bigint")
+    def shard(keys: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, bytes(k)) - 1 for k in keys], dtype="int64")
+
+    return keyed.withColumn("shard", shard("key")).drop("key")
+
+
 def pack_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -160,11 +307,10 @@ def pack_documents(
 
     A document's ids are those of its text and one `separator`; NULL text counts as empty and has only the separator.
     Pieces lie gapless in their sequence from offset 0.  `path` names a rank file that every executor has;
-    `docs_per_shard` is the expected number of documents of a shard.  Rows equal in id and text are separate documents
-    of one shard.  An empty table gives no rows.  Other columns are not read.
+    `docs_per_shard` is the largest number of tails of a shard.  Rows equal in id and text are separate documents, and
+    many of them fill several shards.  An empty table gives no rows.  Other columns are not read.
     """
     file = path or public_tokenizers.path(VOCABULARY)
-    shards = max(1, math.ceil(docs.count() / docs_per_shard))
     piece = "start bigint, length bigint, ids_crc32 bigint, tail binary, doc_tokens bigint"
 
     @F.pandas_udf(f"array<struct<{piece.replace(' bigint', ': bigint').replace(' binary', ': binary')}>>")
@@ -173,18 +319,30 @@ def pack_documents(
         for texts in batches:
             yield pd.Series([_cut(encode(t), window, separator) for t in texts], dtype=object)
 
-    def pack(shard: pa.Table) -> pa.Table:
-        return _pack_shard(shard, window)
-
-    text = text_of(text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    pieces = docs.select(
-        F.pmod(F.xxhash64(col(id_col), text), F.lit(shards)).alias("shard"),
-        col(id_col).alias("doc_id"),
-        F.inline(cut(text)),
+    # Stored, so that a text is encoded once and a piece keeps its row number.
+    pieces = pin(
+        docs.select(col(id_col).alias("doc_id"), F.inline(cut(text_of(text_col)))).withColumn(
+            "row", F.monotonically_increasing_id()
+        )
     )
-    return pieces.groupBy("shard").applyInArrow(
-        pack,
-        f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
-        " sequence_id bigint, offset bigint",
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    whole = pieces.where("tail IS NULL").select(
+        *names, (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+    )
+    tails = pieces.where("tail IS NOT NULL")
+    corpus = _corpus(tails)
+
+    def pack(shard: pa.Table) -> pa.Table:
+        return _pack_shard(shard, window, corpus)
+
+    packed = (
+        _placed(tails, corpus, docs_per_shard)
+        .groupBy("shard")
+        .applyInArrow(
+            pack,
+            f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
+            " sequence_id bigint, offset bigint",
+        )
     )
+    return whole.unionByName(packed)

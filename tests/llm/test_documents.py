@@ -263,6 +263,27 @@ def test_window_is_filled_with_the_closest():
     assert [[doc for doc, _, _ in w] for w in windows] == [[0, 2], [1, 3]]
 
 
+def test_neighbours_are_close_in_the_whole_corpus(spark):
+    rng = np.random.default_rng(6)
+    rare = [[f"{chr(97 + t % 26)}{rng.integers(10**6)}x" for _ in range(30)] for t in range(40)]
+    common = [f"word{i}" for i in range(60)]
+    # Every document has half its words from its topic; topics are dealt over the rows.
+    texts = [" ".join([*rng.choice(rare[i % 40], 15), *rng.choice(common, 15)]) for i in range(960)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(7)
+    windows = defaultdict(list)
+    for r in packing.pack_documents(frame, window=512, docs_per_shard=48).collect():
+        windows[r.sequence_id].append((r.offset, r.doc_id))
+    encode = packing.encoding(RANKS).encode_ordinary
+    index = packing.InvertedIndex([np.array(encode(t) + [0]) for t in texts])
+    close = total = 0
+    for pieces in windows.values():
+        seed, *others = [doc for _, doc in sorted(pieces)]
+        best = set(np.argsort(-index.scores(seed))[:24].tolist())
+        close += len(best & set(others))
+        total += len(others)
+    assert total > 500 and close > 0.6 * total
+
+
 def _greedy(word, pieces):
     text, count, at = "▁" + word, 0, 0
     while at < len(text):
