@@ -4,6 +4,10 @@ A line is boilerplate on its host if it occurs in at least `min_docs` distinct d
 `line_share` of them; documents with identical text count once.  Boilerplate lines are removed, and a document that
 loses more than `max_removed_share` of its words is depleted and rejected.
 
+Near copies share most of their lines without being boilerplate, so the evidence must come from other documents: of a
+line's documents on a host, all that the lines counted so would deplete count as one, as they do among the host's
+documents, and lines that then miss the limits stay.  A group of near copies is left to the dedup stages.
+
 Built-in functions only.  Statistics are computed inside the scan, row by row; what is shuffled is one narrow row per
 distinct line of a document and one per document.
 """
@@ -85,7 +89,7 @@ def word_metrics(rows: DataFrame) -> DataFrame:
 
 
 def _lines_by_host(rows: DataFrame) -> DataFrame:
-    """doc_id, host, text_hash, pos, line, words: one row per line with a word."""
+    """doc_id, host, text_hash, text_words, pos, line, words: one row per line with a word."""
     listed = F.transform(
         F.filter(clean_lines(F.col("text")), lambda x: x != ""),
         # Single spaces separate the words of a normalised line.
@@ -95,11 +99,13 @@ def _lines_by_host(rows: DataFrame) -> DataFrame:
             (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("words"),
         ),
     )
-    return rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), F.inline(listed))
+    every = rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), listed.alias("listed"))
+    text_words = F.aggregate("listed.words", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("text_words")
+    return every.select("doc_id", "host", "text_hash", text_words, F.inline("listed"))
 
 
 def boilerplate_lines(rows: DataFrame, min_docs: int, line_share: float) -> DataFrame:
-    """host, line: the lines above the limits.  `rows` has doc_id, host and text."""
+    """host, line, n_docs, host_docs: the lines above the limits.  `rows` has doc_id, host and text."""
     text_hash = F.xxhash64("text").alias("text_hash")
     keys = F.array_distinct(line_keys(F.col("text")))
     spread = rows.select("host", text_hash, F.explode(keys).alias("line")).distinct()
@@ -114,7 +120,32 @@ def boilerplate_lines(rows: DataFrame, min_docs: int, line_share: float) -> Data
         .agg(F.count(F.lit(1)).alias("host_docs"))
     )
     both = lookup(per_line, hosts, "host", "line", how="inner")
-    return both.where(F.col("n_docs") >= line_share * F.col("host_docs")).select("host", "line")
+    above = both.where(F.col("n_docs") >= line_share * F.col("host_docs"))
+    return above.select("host", "line", "n_docs", "host_docs")
+
+
+def _words_of(hit: str) -> Column:
+    return F.aggregate(f"{hit}.words", F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _proven(
+    lines: DataFrame, found: DataFrame, min_docs: int, line_share: float, max_removed_share: float
+) -> DataFrame:
+    """host, line: those of `lines` that hold the limits if all the texts they deplete count as one.
+
+    `found` has host, text_hash, text_words and `hit`, the lines of each text that are among `lines`.
+    """
+    depleted = (
+        found.where(_words_of("hit") > max_removed_share * F.col("text_words"))
+        .select("host", "text_hash", F.array_distinct("hit.line").alias("lines"))
+    )
+    of_line = depleted.select("host", "text_hash", F.explode("lines").alias("line")).distinct()
+    of_line = of_line.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    of_host = depleted.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_n"))
+    counted = lines.join(of_line, ["host", "line"], "left").join(of_host, "host", "left")
+    n_docs = F.col("n_docs") - F.coalesce(F.col("n") - 1, F.lit(0))
+    host_docs = F.col("host_docs") - F.coalesce(F.col("host_n") - 1, F.lit(0))
+    return counted.where((n_docs >= min_docs) & (n_docs >= line_share * host_docs)).select("host", "line")
 
 
 def judge(
@@ -140,18 +171,20 @@ def judge(
         whole_row(docs).alias("row"), col(id_col).alias("doc_id"), col(host_col).alias("host"), text_of(text_col).alias("text")
     )
     narrow = rows.select("doc_id", _host(F.col("host")).alias("host"), "text")
-    bad = boilerplate_lines(narrow, min_docs, line_share)
+    lines = pin(boilerplate_lines(narrow, min_docs, line_share))
     # Both sides come straight from a shuffle, so adaptive execution can cut a hot line into pieces.
-    hits = _lines_by_host(narrow).join(bad, ["host", "line"], "left_semi")
-    # A set, because repeated rows give each of their lines again.
-    found = hits.groupBy("doc_id", "host", "text_hash").agg(F.collect_set(F.struct("pos", "line", "words")).alias("hit"))
-    removed = found.select(
-        *["doc_id", "host", "text_hash"],
-        F.array_distinct("hit.line").alias("removed"),
-        F.aggregate("hit.words", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_removed_words"),
+    hits = _lines_by_host(narrow).join(lines.select("host", "line"), ["host", "line"], "left_semi")
+    key = ["doc_id", "host", "text_hash"]
+    # A set, because repeated rows give each of their lines again.  Stored, because it is read twice.
+    found = pin(
+        hits.groupBy(*key, "text_words").agg(F.collect_set(F.struct("pos", "line", "words")).alias("hit"))
+    )
+    bad = pin(_proven(lines, found, min_docs, line_share, max_removed_share))
+    proven = found.select(*key, F.inline("hit")).join(bad, ["host", "line"], "left_semi")
+    removed = proven.groupBy(*key).agg(
+        F.collect_set("line").alias("removed"), F.sum("words").alias("n_removed_words")
     )
 
-    key = ["doc_id", "host", "text_hash"]
     measured = word_metrics(
         rows.withColumns({"host": _host(F.col("host")), "text_hash": F.xxhash64("text")})
     ).drop("text")

@@ -75,6 +75,26 @@ def test_quality_rejects_and_keeps(odd_documents):
     assert kept[20].text.startswith("text number 0") and kept[20].n_chars == len(kept[20].text)
 
 
+def test_near_copies_are_not_boilerplate(spark):
+    def own(doc, n):
+        return [" ".join(f"d{doc}l{i}w{w}" for w in range(12)) for i in range(n)]
+
+    menu = "home about us contact imprint privacy"
+    body = [" ".join(f"b{i}w{w}" for w in range(12)) for i in range(10)]
+    # Copies with one line changed each, and documents of their own, on a host with a menu; five copies on a small host.
+    copies = [(i, [menu, *body[: i % 10], *own(i, 1), *body[i % 10 + 1 :]], "large") for i in range(60)]
+    others = [(100 + i, [menu, *own(100 + i, 10)], "large") for i in range(60)]
+    small = [(200 + i, [*body, *own(200 + i, 1)], "small") for i in range(5)]
+    # A page with little beside the menu of its host is still rejected.
+    bare = [(300, [menu] * 10 + own(300, 2), "large")]
+    rows = [(i, "\n".join(lines), host) for i, lines, host in copies + others + small + bare]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert all(found[i].kept for i, *_ in copies + others + small)
+    assert {found[i].n_removed_words for i, *_ in copies + others} == {6}
+    assert {found[i].n_removed_words for i, *_ in small} == {0}
+    assert found[300].n_removed_words == 60 and not found[300].kept
+
+
 def test_repeated_windows(spark):
     texts = ["a b c a b c d", "a a a a a", "a b", "x y z w x y z", ""]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
