@@ -1,18 +1,20 @@
 """Main text of a web page by line-block distribution.
 
-Markup is stripped into blocks, one per line; what lies in menus, headers, footers, sidebars, notices, adverts, forms
-and comments leaves an empty line, so that boilerplate is a gap in the distribution.  Text lengths are summed over
-windows of `WINDOW_LINES` lines.  Where the sum surges over the threshold the text begins, where it dives to nothing it
-ends, and every line between is kept, short ones too.
-
-If the page marks its text (`article`, else `main`), only lines inside count and any text there is a surge.  Otherwise
-text outside links counts, and of several regions those that hold a fair share of the largest are kept.
+Markup is stripped into blocks, one per line, without what lies in menus, headers, footers, sidebars, notices, adverts,
+forms and comments: these may interrupt a text and are no gap in the distribution.  Text lengths are summed over
+windows of `WINDOW_LINES` lines.  A text is what lies between two dives of the sum to nothing, if it surges over the
+threshold there; every line of it is kept, short ones too.
+
+If the page marks its text (`article` or `main`), only lines inside count and any text there is a surge; beside an
+`article`, lines of `main` that are nothing but links do not count.  Otherwise text outside links counts, and every
+region is kept in which it is a fair share of all text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from forecourt.llm.frames import col, text_of
 
 WINDOW_LINES = 3
-# Without a marked text: least sum of a window that begins a region, and least share of the largest region.
+# Without a marked text: least sum of a window that begins a region, and least share of text outside links in a region.
 SURGE_CHARS = 80
-REGION_SHARE = 0.2
+TEXT_DENSITY = 0.5
 
 # Element names of the HTML standard, by the part they play here.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -209,27 +211,23 @@ def regions(weights: list[int], threshold: int, window: int) -> list[tuple[int,
     return found
 
 
-def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS, share: float = REGION_SHARE) -> str:
+def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS, density: float = TEXT_DENSITY) -> str:
     """The kept blocks in page order, joined by an empty line; empty if there is no text."""
-    lines = lines_of(page)
-    marked = next(
-        (n for n in ("article", "main") if any(n in x.inside and not x.dropped for x in lines)), None
-    )
-    if marked:
-        weights = [0 if x.dropped or marked not in x.inside else len(x.text) for x in lines]
-        kept = regions(weights, 0, window)
+    lines = [x for x in lines_of(page) if not x.dropped]
+    if any(x.inside for x in lines):
+        articles = any("article" in x.inside for x in lines)
+        lines = [x for x in lines if "article" in x.inside or x.inside and not (articles and x.linked >= len(x.text))]
+        kept = regions([len(x.text) for x in lines], 0, window)
     else:
-        weights = [0 if x.dropped else max(0, len(x.text) - x.linked) for x in lines]
-        kept = regions(weights, surge, window) or regions(weights, 0, window)
-        total = {r: sum(weights[slice(*r)]) for r in kept}
-        most = max(total.values(), default=0)
-        kept = [r for r in kept if total[r] >= share * most]
+        weights = [max(0, len(x.text) - x.linked) for x in lines]
+        # Short lines right before a surge belong to its text.
+        starts = [i for i, _ in regions(weights, surge, window)]
+        whole = regions(weights, 0, window)
+        kept = [(i, j) for i, j in whole if bisect_left(starts, i) < bisect_left(starts, j)] or whole
+        dense = [(i, j) for i, j in kept if sum(weights[i:j]) >= density * sum(len(x.text) for x in lines[i:j])]
         # A heading right before a region belongs to it.
-        kept = [(i - 1 if i and lines[i - 1].heading and not lines[i - 1].dropped else i, j) for i, j in kept]
-    blocks = []
-    for i, j in kept:
-        blocks += [x.text for x in lines[i:j] if not x.dropped and (not marked or marked in x.inside)]
-    return "\n\n".join(blocks)
+        kept = [(i - 1 if i and lines[i - 1].heading else i, j) for i, j in dense or kept]
+    return "\n\n".join(x.text for i, j in kept for x in lines[i:j])
 
 
 def extract_pages(

@@ -2,6 +2,7 @@
 
 import datetime
 import html
+import random
 import re
 
 import duckdb
@@ -53,6 +54,36 @@ def test_page_shapes(spark):
     assert html_text.extract_pages(frame.where("false")).collect() == []
 
 
+def test_interrupted_text_without_markers():
+    rng = random.Random(7)
+    for _ in range(200):
+        page, expected = "<nav><ul><li><a href=1>Home</a><li><a href=2>About</a></ul></nav>", []
+        for part in range(rng.randrange(1, 6)):
+            # The first part is by far the longest, the others pass the surge or follow a text.
+            block = [f"p{part}x{i} " + "word " * rng.randrange(1, 30) + "end." for i in range(rng.randrange(3, 9))]
+            block += ["long " * 600] * (part == 0)
+            expected += [" ".join(b.split()) for b in block]
+            page += "".join(f"<p>{b}" for b in block)
+            name = rng.choice(["div class='advert'", "form", "div id='newsletter'"])
+            page += f"<{name}>" + "<p>buy this now</p>" * rng.randrange(1, 7) + f"</{name.split()[0]}>"
+        ending = "A last line."
+        assert html_text.main_text(page + f"<p>{ending}") == "\n\n".join([*expected, ending])
+
+
+def test_regions_are_kept_by_density():
+    body, links = "<p>" + "word " * 600, "<ul>" + "<li><a href=1>more of this</a>" * 4 + "</ul>"
+    ending = "<p>" + "end " * 75
+    listing = "".join(f"<li><a href=1>{'a title of something else ' * 3}</a> seen {i} times by all our readers" for i in range(4))
+    found = html_text.main_text(body + links + ending + links + f"<ul>{listing}</ul>")
+    assert found == " ".join(["word"] * 600) + "\n\n" + " ".join(["end"] * 75)
+
+
+def test_main_with_a_teaser_in_an_article():
+    teaser = "<article><p>A teaser card</article>"
+    page = f"<p>around<main><h1>T</h1><p>the body<p>goes on{teaser}<p><a href=1>next</a></main>{teaser}"
+    assert html_text.main_text(page) == "T\n\nthe body\n\ngoes on\n\nA teaser card\n\nA teaser card"
+
+
 def test_broken_markup_takes_linear_time():
     for page in ('<a "' * 50_000, "<p>" * 50_000, "<!--" * 50_000, "<b>" * 50_000 + "</i>" * 50_000):
         assert html_text.main_text(page) == ""
