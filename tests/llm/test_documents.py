@@ -304,6 +304,18 @@ def test_neighbours_are_close_in_the_whole_corpus(spark):
     assert total > 500 and close > 0.6 * total
 
 
+def test_equal_rows_fill_several_shards(spark):
+    rows = [(1, "one and the same text")] * 300 + [(None, None)] * 100 + [(i, f"text {i}") for i in range(2, 50)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    shards, tokens = defaultdict(int), 0
+    for r in packing.pack_documents(frame, docs_per_shard=32).collect():
+        shards[r.sequence_id >> 33] += r.start + r.length == r.doc_tokens
+        tokens += r.length
+    assert sum(shards.values()) == len(rows) and max(shards.values()) <= 32
+    encode = packing.encoding(RANKS).encode_ordinary
+    assert tokens == sum(len(encode(t or "")) + 1 for _, t in rows)
+
+
 def _greedy(word, pieces):
     text, count, at = "▁" + word, 0, 0
     while at < len(text):
