@@ -134,5 +134,36 @@ FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id
 GROUP BY c.page_id, c.url, c.fetched_on"""
 
 
+_OP13 = r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+corpus AS (SELECT count(*) AS docs, sum(len(terms)) AS total FROM worded WHERE len(terms) > 0),
+measured AS (SELECT doc_id, terms, 100 - 90 + (90 * len(terms) * docs) // total AS m FROM worded, corpus),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+postings AS (
+  SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM measured)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus
+),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS "rank", doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_lists": _OP6, "op7_line_dedup": _OP7, "op8_quality": _OP8, "op9_exact_dedup": _OP9}
+    return {"op6_url_lists": _OP6, "op7_line_dedup": _OP7, "op8_quality": _OP8, "op9_exact_dedup": _OP9, "op13_ranked_search": _OP13}

@@ -11,6 +11,7 @@ from forecourt.llm import (
     byte_bpe,
     exact_dedup,
     html_text,
+    lexical_search,
     line_dedup,
     packing,
     pii,
@@ -118,6 +119,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_documents(documents(spark, folder), decoded=True))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return lexical_search.search_documents(documents(spark, folder), items, k=10)
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_packing,
@@ -130,5 +136,6 @@ def queries() -> dict[str, Query]:
         op8_quality,
         op9_exact_dedup,
         op10_byte_bpe,
+        op13_ranked_search,
     )
     return {f.__name__: f for f in every}
