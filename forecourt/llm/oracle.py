@@ -134,6 +134,62 @@ FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id
 GROUP BY c.page_id, c.url, c.fetched_on"""
 
 
+# CRC-32 of the decimal id: bytes folded in one by one, eight shifts each, with the reversed polynomial.
+_OP12 = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (
+  SELECT c, xor(list_reduce(
+           list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                      lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+         ), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM turns)
+),
+rebuilt AS (
+  SELECT c, 0 AS part, pos, role, text FROM ids JOIN turns ON conv_id = c - c % 5 AND pos < h
+  UNION ALL
+  SELECT c, 1, pos, role, text FROM ids JOIN turns ON conv_id = c AND pos >= h
+),
+numbered AS (
+  SELECT c, octet_length(encode(text)) AS bytes, length(role)::VARCHAR || ':' || role || text AS turn,
+         row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth
+  FROM rebuilt
+),
+ending AS (SELECT c, max(depth) AS last FROM numbered GROUP BY c),
+prefixes AS (
+  SELECT c, depth, bytes, sha256(string_agg(sha256(turn), ' ') OVER (PARTITION BY c ORDER BY depth)) AS node FROM numbered
+  UNION ALL
+  SELECT c, 0, 0, '' FROM ids
+),
+linked AS (
+  SELECT p.*, lag(node) OVER (PARTITION BY p.c ORDER BY depth) AS above, depth = coalesce(last, 0) AS ends
+  FROM prefixes p LEFT JOIN ending e ON e.c = p.c
+),
+nodes AS (
+  SELECT node, min(c) AS conv_id, any_value(depth) AS depth, any_value(above) AS above, count(*) AS n_convs,
+         any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM linked GROUP BY node
+),
+children AS (SELECT above AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+below AS (
+  SELECT a.node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((d.n_convs - 1) * d.bytes) AS saved
+  FROM nodes d
+  LEFT JOIN children k ON k.node = d.node
+  JOIN prefixes a ON a.c = d.conv_id AND a.depth <= d.depth
+  GROUP BY a.node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n
+JOIN below b ON b.node = n.node
+LEFT JOIN children k ON k.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.above"""
+
 _OP13 = r"""
 WITH worded AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -166,4 +222,4 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_lists": _OP6, "op7_line_dedup": _OP7, "op8_quality": _OP8, "op9_exact_dedup": _OP9, "op13_ranked_search": _OP13}
+    return {"op6_url_lists": _OP6, "op7_line_dedup": _OP7, "op8_quality": _OP8, "op9_exact_dedup": _OP9, "op12_conversation_trie": _OP12, "op13_ranked_search": _OP13}

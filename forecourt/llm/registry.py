@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forecourt.llm import (
     byte_bpe,
+    conversation_trie,
     exact_dedup,
     html_text,
     lexical_search,
@@ -119,6 +120,10 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_documents(documents(spark, folder), decoded=True))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.conversation_trie(spark.read.parquet(f"{folder}/conversations.parquet"), branch=True)
+
+
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     return lexical_search.search_documents(documents(spark, folder), items, k=10)
@@ -136,6 +141,7 @@ def queries() -> dict[str, Query]:
         op8_quality,
         op9_exact_dedup,
         op10_byte_bpe,
+        op12_conversation_trie,
         op13_ranked_search,
     )
     return {f.__name__: f for f in every}
