@@ -134,6 +134,36 @@ FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id
 GROUP BY c.page_id, c.url, c.fetched_on"""
 
 
+# Pairs are counted once per distinct set, and components spread the smallest number along links.
+_OP11 = rf"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words
+  FROM documents
+),
+shingled AS (
+  SELECT id, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+           ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 1),
+                          lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) END AS shingles
+  FROM worded
+),
+classed AS (SELECT id, doc_id, shingles, dense_rank() OVER (ORDER BY shingles) AS class FROM shingled),
+sets AS (SELECT class, any_value(shingles) AS shingles, min(doc_id) AS lowest FROM classed GROUP BY class),
+tokens AS MATERIALIZED (SELECT class, len(shingles) AS n, unnest(shingles) AS token FROM sets),
+links AS MATERIALIZED (
+  SELECT a.class AS x, b.class AS y FROM tokens a JOIN tokens b ON a.token = b.token AND a.class <> b.class
+  GROUP BY a.class, a.n, b.class, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+reached AS (
+  SELECT class AS x, class AS y FROM sets
+  UNION
+  SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y
+),
+components AS (SELECT x AS class, min(lowest) AS component_id FROM reached JOIN sets ON sets.class = reached.y GROUP BY x)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles,
+       CASE WHEN len(shingles) = 0 THEN doc_id ELSE component_id END AS component_id
+FROM classed JOIN components USING (class)"""
+
 # CRC-32 of the decimal id: bytes folded in one by one, eight shifts each, with the reversed polynomial.
 _OP12 = """
 WITH turns AS (
@@ -222,4 +252,4 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_lists": _OP6, "op7_line_dedup": _OP7, "op8_quality": _OP8, "op9_exact_dedup": _OP9, "op12_conversation_trie": _OP12, "op13_ranked_search": _OP13}
+    return {"op6_url_lists": _OP6, "op7_line_dedup": _OP7, "op8_quality": _OP8, "op9_exact_dedup": _OP9, "op11_jaccard_join": _OP11, "op12_conversation_trie": _OP12, "op13_ranked_search": _OP13}

@@ -12,6 +12,7 @@ from forecourt.llm import (
     conversation_trie,
     exact_dedup,
     html_text,
+    jaccard_join,
     lexical_search,
     line_dedup,
     packing,
@@ -120,6 +121,10 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_documents(documents(spark, folder), decoded=True))
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked_documents(documents(spark, folder), shingle_words=3, percent=90)
+
+
 def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.conversation_trie(spark.read.parquet(f"{folder}/conversations.parquet"), branch=True)
 
@@ -141,6 +146,7 @@ def queries() -> dict[str, Query]:
         op8_quality,
         op9_exact_dedup,
         op10_byte_bpe,
+        op11_jaccard_join,
         op12_conversation_trie,
         op13_ranked_search,
     )
