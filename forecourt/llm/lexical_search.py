@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from forecourt.llm.frames import col, pin, text_of
 
 DOCS_PER_BLOCK = 4096
-POSTINGS_PER_BLOCK = 1 << 20
+POSTINGS_PER_BLOCK = 1 << 19
 # Of queries that pass over the index together: how many, and terms of all of them.
 ITEMS_PER_PASS = 1024
 TERMS_PER_PASS = 1 << 18
-# Ranges of one query that are halved in the first step; each step takes twice as many.
+# Terms of the queries that descend together, and ranges of one query that are halved in a step.  A step takes twice as
+# many as the one before once the first ranges have become single documents.
+TERMS_AT_ONCE = 128
 FIRST_RANGES = 16
 K1_SHARE, LENGTH_SHARE = 8, 90
 _KEPT = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -128,6 +130,18 @@ class Treap:
 
         Item i has rows[starts[i]:starts[i + 1]] and their weights.  Scores below least[i] need not be found.
         """
+        parts, i = [], 0
+        while i < len(starts) - 1:
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + TERMS_AT_ONCE, "right")) - 1)
+            cells = slice(starts[i], starts[j])
+            found = self._search(starts[i : j + 1] - starts[i], rows[cells], weights[cells], k, least[i:j])
+            parts.append((found[0] + i, *found[1:]))
+            i = j
+        return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+    def _search(
+        self, starts: np.ndarray, rows: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         items = len(starts) - 1
         sizes = np.diff(starts)
         # Ranges of documents: item, level, column prefix and bound; the cells of a range lie together.
@@ -137,7 +151,7 @@ class Treap:
         least = least.astype(np.int64).copy()
         found: list[tuple[np.ndarray, ...]] = []
         top: list[list[int]] = [[] for _ in range(items)]
-        batch = FIRST_RANGES
+        batch, step = FIRST_RANGES, 0
 
         def keep(mask: np.ndarray) -> None:
             nonlocal item, level, prefix, bound, count, node, row, weight
@@ -152,7 +166,8 @@ class Treap:
             begin = np.searchsorted(item[order], item[order])
             chosen = np.zeros(len(item), dtype=bool)
             chosen[order[np.arange(len(order)) - begin < batch]] = True
-            batch *= 2
+            step += 1
+            batch *= 2 if step > self.height else 1
             cells = np.repeat(chosen, count)
             owner = np.repeat(np.arange(int(chosen.sum())), count[chosen])
             s_item, s_level, s_prefix = item[chosen], level[chosen], prefix[chosen]
@@ -240,7 +255,7 @@ class _Block:
         order = np.argsort(-df, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        height = max(len(order) - 1, len(self.sizes) - 1).bit_length()
+        height = max(1, len(order) - 1, len(self.sizes) - 1).bit_length()
         terms = list(self.vocabulary)
         treap = Treap.pack(place[rows], cols, impacts, height)
         return pa.RecordBatch.from_arrays(
