@@ -15,6 +15,7 @@ from forecourt import schema
 from forecourt.functions.joins import lookup
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.text import blank_to_null, capitalised, is_blank
+from forecourt.operators.arbitration import mark_unknown, reject_later_claims, with_row
 from forecourt.operators.lookups import first_customer_per_identifier
 from forecourt.tables import Tables, conform
 
@@ -62,9 +63,31 @@ def assign_customer_ids(raw: DataFrame, *, order_by: str | None = None, start: i
     return numbered.withColumn("customer_id", (F.col("_n") + start).cast("bigint")).drop("_n")
 
 
+def _split(rows: DataFrame, *shown: str | Column) -> tuple[DataFrame, DataFrame]:
+    """Rows without reasons, and the others as `shown` columns with their reasons."""
+    return rows.where(F.size("reasons") == 0), rows.where(F.size("reasons") > 0).select(*shown, "reasons")
+
+
+def _reasons(rules: Sequence[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
+
+
 def ingest_customers(raw: DataFrame, *, order_by: str | None = None, start: int | Column = 0) -> Ingested:
-    """Customers with their individual or business row; any other kind gets a plain customer row only."""
+    """Customers with their individual or business row; any other kind gets a plain customer row only.
+
+    A person without SSN, a firm without tax id, and all but the first row of one SSN or tax id are rejected: accepted and
+    rejected rows add up to the raw ones.  Ids are given to all raw rows, so those of rejected rows stay unused.  Rejects:
+    customer_id, customer_type, identifier, reasons.
+    """
     rows = assign_customer_ids(raw, order_by=order_by, start=start)
+    person, firm = F.col("customer_type") == "person", F.col("customer_type") == "business"
+    ssn = F.when(person, blank_to_null(F.col("person_ssn")))
+    tax_id = F.when(firm, blank_to_null(F.col("biz_tax_id")))
+    missing = [("missing_ssn", person & ssn.isNull()), ("missing_tax_id", firm & tax_id.isNull())]
+    judged = reject_later_claims(
+        rows.withColumn("reasons", _reasons(missing)), {"repeated_ssn": ssn, "repeated_tax_id": tax_id}, "customer_id"
+    )
+    rows, rejects = _split(judged, "customer_id", "customer_type", F.coalesce(ssn, tax_id).alias("identifier"))
     customer = rows.select(
         "customer_id",
         blank_to_null(F.col("email")).alias("email"),
@@ -88,17 +111,31 @@ def ingest_customers(raw: DataFrame, *, order_by: str | None = None, start: int
         F.col("biz_contact_last").alias("contact_last_name"),
         F.col("biz_contact_title").alias("contact_title"),
     )
-    return Ingested({"customer": customer, "individual_customer": individual, "business_customer": business})
+    return Ingested({"customer": customer, "individual_customer": individual, "business_customer": business}, rejects)
+
+
+def _first_of_key(raw: DataFrame, key: str, line_no: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a key that no earlier row has, and the others: `key`, reasons."""
+    rows = with_row(raw, line_no)
+    judged = rows.withColumn("reasons", _reasons([(f"missing_{key}", is_blank(F.col(key)))]))
+    return _split(reject_later_claims(judged, {f"repeated_{key}": F.col(key)}), key)
 
 
-def ingest_users(raw: DataFrame) -> Ingested:
-    """Staff without passwords; the account `owner` always has the role Owner."""
+def ingest_users(raw: DataFrame, *, line_no: str = LINE_NO) -> Ingested:
+    """Staff without passwords; the account `owner` always has the role Owner.
+
+    Of rows with one user name the first stays (by `line_no`, else by contents); rejects: username, reasons.
+    """
+    rows, rejects = _first_of_key(raw.drop("password"), "username", line_no)
     role = F.when(F.col("username") == "owner", F.lit("Owner")).otherwise(capitalised(F.col("role")))
-    return Ingested({"user": conform(raw.withColumn("role", role), "user")})
+    return Ingested({"user": conform(rows.withColumn("role", role), "user")}, rejects)
 
 
-def ingest_vendors(raw: DataFrame) -> Ingested:
-    return Ingested({"vendor": conform(raw.withColumnsRenamed({"vendor_name": "name", "phone": "phone_number"}), "vendor")})
+def ingest_vendors(raw: DataFrame, *, line_no: str = LINE_NO) -> Ingested:
+    """Of rows with one name the first stays (by `line_no`, else by contents); rejects: vendor_name, reasons."""
+    rows, rejects = _first_of_key(raw, "vendor_name", line_no)
+    named = rows.withColumnsRenamed({"vendor_name": "name", "phone": "phone_number"})
+    return Ingested({"vendor": conform(named, "vendor")}, rejects)
 
 
 def split_colors(df: DataFrame, key: Column, colors: Column) -> DataFrame:
@@ -127,15 +164,19 @@ def resolve_customer_id(
     return lookup(df, known, identifier, row_id, base)
 
 
-def ingest_vehicles(tables: Tables, raw: DataFrame, *, sale_price_col: str = "price") -> Ingested:
+def ingest_vehicles(
+    tables: Tables, raw: DataFrame, *, sale_price_col: str = "price", line_no: str = LINE_NO
+) -> Ingested:
     """One wide row to a vehicle, a purchase, its colors and, when it has a sale date, a sale.
 
-    The sale price is read from the purchase price cell unless `sale_price_col` names another.  A row with
-    an unknown seller or buyer, or a number or date that does not parse, is rejected whole.
+    The sale price is read from the purchase price cell unless `sale_price_col` names another.  A row is rejected whole for
+    an unknown seller, buyer, clerk, salesperson, vehicle type or manufacturer, a number or date that does not parse, or a
+    VIN that an earlier row has (by `line_no`, else by contents; rows rejected for another reason claim no VIN).
     """
     is_sale = ~is_blank(F.col("sale_date"))
-    rows = resolve_customer_id(tables, raw, "purchased_from_customer", "VIN", "seller_id")
-    rows = resolve_customer_id(tables, rows, "sold_to_customer", "VIN", "buyer_id", raw)
+    raw = with_row(raw, line_no)
+    rows = resolve_customer_id(tables, raw, "purchased_from_customer", "_row", "seller_id")
+    rows = resolve_customer_id(tables, rows, "sold_to_customer", "_row", "buyer_id", raw)
     rows = rows.withColumns(
         {
             "_year": F.col("year").try_cast("int"),
@@ -156,9 +197,19 @@ def ingest_vehicles(tables: Tables, raw: DataFrame, *, sale_price_col: str = "pr
         ("bad_sale_price", is_sale & F.col("_earned").isNull()),
         ("bad_sale_date", is_sale & F.col("_sold").isNull()),
     ]
-    broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
-    rows = rows.withColumn("reasons", broken)
-    fine = rows.where(F.size("reasons") == 0)
+    rules.append(("missing_vin", is_blank(F.col("VIN"))))
+    for parent, key, column, reason in (
+        ("vehicle_type", "vehicle_type", "vehicle_type", "unknown_vehicle_type"),
+        ("manufacturer", "manufacturer_name", "manufacturer_name", "unknown_manufacturer"),
+        ("user", "username", "purchase_clerk", "unknown_clerk"),
+        ("user", "username", "salesperson", "unknown_salesperson"),
+    ):
+        rows = mark_unknown(rows, tables[parent], key, column, f"_{reason}")
+        unknown = F.col(f"_{reason}")
+        rules.append((reason, is_sale & unknown if column == "salesperson" else unknown))
+    # The reasons are built once: each step that added to them would be written out again in every filter on them.
+    rows = rows.withColumn("reasons", _reasons(rules))
+    fine, rejects = _split(reject_later_claims(rows, {"repeated_vin": F.col("VIN")}), F.col("VIN").alias("vin"))
     vehicle = fine.select(
         F.col("VIN").alias("vin"), "vehicle_type", "manufacturer_name", "condition", "model_name",
         F.col("_year").alias("year"), "fuel_type", F.col("_horsepower").alias("horsepower"), "description",
@@ -172,7 +223,6 @@ def ingest_vehicles(tables: Tables, raw: DataFrame, *, sale_price_col: str = "pr
         F.col("_earned").alias("sale_price"), F.col("_sold").alias("sold_on"),
     )
     color = split_colors(fine, F.col("VIN"), F.col("colors"))
-    rejects = rows.where(F.size("reasons") > 0).select(F.col("VIN").alias("vin"), "reasons")
     return Ingested({"vehicle": vehicle, "purchase": purchase, "vehicle_color": color, "sale": sale}, rejects)
 
 

@@ -222,6 +222,7 @@ def users(source: Source) -> DataFrame:
             first_name="n_name",
             last_name="concat('Region ', n_regionkey)",
             role=role,
+            line_no="n_nationkey",
         )
     )
 
@@ -347,7 +348,7 @@ def with_lost_references(tables: Tables) -> Tables:
         frame, values = tables[table], {}
         for column in frame.columns:
             some = LOST_REFERENCES.get((table, column))
-            lost = f"-{column}" if column == "customer_id" else f"concat({column}, '-lost')"
+            lost = f"-{column} - 1" if column == "customer_id" else f"concat({column}, '-lost')"
             values[column] = f"CASE WHEN {some} THEN {lost} ELSE {column} END" if some else column
         changed[table] = frame.selectExpr(*columns(**values))
     return tables.with_tables(**changed)
@@ -389,12 +390,13 @@ def raw_users(source: Source) -> DataFrame:
         "first_name",
         "last_name",
         "if(role = 'Owner', 'inventory clerk,salesperson,manager', lower(role)) AS role",
+        "line_no",
     )
 
 
 def raw_vendors(source: Source) -> DataFrame:
     return vendors(source).selectExpr(
-        "name AS vendor_name", "phone_number AS phone", "street", "city", "state", "postal_code"
+        "name AS vendor_name", "phone_number AS phone", "street", "city", "state", "postal_code", "supplier_key AS line_no"
     )
 
 
@@ -411,11 +413,65 @@ def raw_vehicles(source: Source) -> DataFrame:
             sale_date=f"CASE WHEN {IS_SOLD} THEN {SOLD_ON} END",
             sold_to_customer=f"CASE WHEN {IS_SOLD} THEN {identifier_of(BUYER)} END",
             salesperson=f"CASE WHEN {IS_SOLD} THEN {SALESPERSON} END",
+            line_no="o_orderkey",
         ),
     )
     return _as_text(rows.withColumnRenamed("vin", "VIN"))
 
 
+# Raw rows with faults.  A row that comes again has a line number above all others; only the first is to be loaded.
+AGAIN = 1_000_000_000_000
+
+
+def _with_repeats(rows: DataFrame, again: str, **changed: str) -> DataFrame:
+    """`rows` and, after them, those where `again` holds once more, with some columns changed."""
+    later = {**{c: c for c in rows.columns}, **changed, "line_no": f"line_no + {AGAIN}"}
+    return rows.unionByName(rows.where(again).selectExpr(*columns(**later)))
+
+
+def faulty_raw_customers(source: Source) -> DataFrame:
+    """Every seventh customer comes again by another street; some persons have no SSN and some firms no tax id."""
+    changed = {
+        "person_ssn": "CASE WHEN line_no % 41 <> 2 THEN person_ssn END",
+        "biz_tax_id": "if(line_no % 35 = 5, ' ', biz_tax_id)",
+    }
+    rows = raw_customers(source)
+    blanked = rows.selectExpr(*columns(**{c: changed.get(c, c) for c in rows.columns}))
+    return _with_repeats(blanked, "line_no % 7 = 0", street="'elsewhere'")
+
+
+def faulty_raw_users(source: Source) -> DataFrame:
+    return _with_repeats(raw_users(source), "line_no % 4 = 1", first_name="'Twin'")
+
+
+def faulty_raw_vendors(source: Source) -> DataFrame:
+    raw = raw_vendors(source)
+    rows = raw.selectExpr(*columns(**{c: "if(line_no % 9 = 4, '', vendor_name)" if c == "vendor_name" else c for c in raw.columns}))
+    return _with_repeats(rows, "line_no % 3 = 0 OR line_no % 9 = 4", city="'Other city'")
+
+
+def faulty_raw_vehicles(source: Source) -> DataFrame:
+    """Unknown clerks, makers, types and salespersons, VINs that come again, and among these some whose first row is broken."""
+    rows = raw_vehicles(source)
+    changed = {
+        "purchase_clerk": "if(line_no % 37 = 1, 'ghost', purchase_clerk)",
+        "manufacturer_name": "if(line_no % 41 = 2, 'Nobody', manufacturer_name)",
+        "vehicle_type": "if(line_no % 43 = 3, 'Hovercraft', vehicle_type)",
+        "salesperson": "if(line_no % 47 = 4, 'ghost', salesperson)",
+    }
+    broken = rows.selectExpr(*columns(**{c: changed.get(c, c) for c in rows.columns}))
+    mended = {"purchase_clerk": "'user3'", "manufacturer_name": "'Kia'", "vehicle_type": "'SUV'", "description": "'again'"}
+    return _with_repeats(broken, "line_no % 5 = 0", **mended, salesperson="if(sale_date IS NULL, NULL, 'user4')")
+
+
+def faulty_raw_parts(source: Source) -> DataFrame:
+    """Prices that are no number, and part numbers that come again in their order."""
+    rows = raw_parts(source)
+    changed = {"price": "if(part_number LIKE '%77-%', 'free', price)"}
+    broken = rows.selectExpr(*columns(**{c: changed.get(c, c) for c in rows.columns}))
+    return _with_repeats(broken, "part_number LIKE '%5-1'", qty="'1'")
+
+
 def raw_parts(source: Source) -> DataFrame:
     return _as_text(
         part_lines(source).selectExpr(

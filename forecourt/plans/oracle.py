@@ -472,7 +472,7 @@ def _repeated_keys() -> str:
 def _lost_values() -> str:
     return " UNION ALL ".join(
         f"SELECT '{name}' AS constraint_name, "
-        + (f"CAST(-{column} AS VARCHAR)" if column == "customer_id" else f"{column} || '-lost'")
+        + (f"CAST(-{column} - 1 AS VARCHAR)" if column == "customer_id" else f"{column} || '-lost'")
         + f" AS value, count(*) AS n FROM {table} WHERE {some} GROUP BY ALL"
         for name, table, column, some in _LOST
     )
@@ -798,5 +798,95 @@ def _later_queries() -> dict[str, str]:
     }
 
 
+# Raw rows with faults, as the loads read them: `again` marks a row's second appearance.
+_TWICE_READ = "CROSS JOIN (VALUES (FALSE), (TRUE)) AS copies(again)"
+_RAW_CUSTOMERS = f"""
+raw_c AS (
+    SELECT * REPLACE (CASE WHEN again THEN 'elsewhere' ELSE street END AS street), again,
+           CASE WHEN is_business THEN 'business' ELSE 'person' END AS customer_type,
+           CASE WHEN is_business AND customer_id % 35 = 5 OR NOT is_business AND customer_id % 41 = 2 THEN NULL
+                ELSE identifier END AS known
+    FROM d_customer {_TWICE_READ} WHERE NOT again OR customer_id % 7 = 0),
+judged_c AS (
+    SELECT *, CASE WHEN known IS NULL THEN 'missing_' || CASE WHEN is_business THEN 'tax_id' ELSE 'ssn' END
+                   WHEN again THEN 'repeated_' || CASE WHEN is_business THEN 'tax_id' ELSE 'ssn' END END AS reasons
+    FROM raw_c)"""
+_RAW_USERS = f"""
+raw_u AS (
+    SELECT u.* REPLACE (CASE WHEN role = 'Owner' THEN 'owner' ELSE username END AS username,
+                        CASE WHEN again THEN 'Twin' ELSE first_name END AS first_name), again
+    FROM d_user u {_TWICE_READ} WHERE NOT again OR CAST(substr(username, 5) AS INTEGER) % 4 = 1)"""
+_RAW_VENDORS = f"""
+raw_v AS (
+    SELECT * REPLACE (CASE WHEN again THEN 'Other city' ELSE city END AS city), again, supplier_key % 9 = 4 AS nameless
+    FROM d_vendor {_TWICE_READ} WHERE NOT again OR supplier_key % 3 = 0 OR supplier_key % 9 = 4)"""
+_RAW_VEHICLES = f"""
+raw_w AS (
+    SELECT v.*, again, concat_ws('|',
+               CASE WHEN k % 37 = 1 AND NOT again THEN 'unknown_clerk' END,
+               CASE WHEN k % 41 = 2 AND NOT again THEN 'unknown_manufacturer' END,
+               CASE WHEN k % 47 = 4 AND is_sold AND NOT again THEN 'unknown_salesperson' END,
+               CASE WHEN k % 97 = 0 THEN 'unknown_seller' END,
+               CASE WHEN k % 43 = 3 AND NOT again THEN 'unknown_vehicle_type' END) AS broken
+    FROM d_vehicle v JOIN o ON o.vin = v.vin {_TWICE_READ} WHERE NOT again OR k % 5 = 0),
+judged_w AS (
+    SELECT *, CASE WHEN broken <> '' THEN broken
+                   WHEN again AND EXISTS (SELECT 1 FROM raw_w x WHERE x.vin = w.vin AND NOT x.again AND x.broken = '')
+                   THEN 'repeated_vin' END AS reasons
+    FROM raw_w w)"""
+_RAW_PARTS = f"""
+raw_p AS (
+    SELECT * REPLACE (CASE WHEN again THEN 1 ELSE quantity END AS quantity), again,
+           vendor_parts_number LIKE '%77-%' AS unreadable
+    FROM d_part {_TWICE_READ} WHERE NOT again OR vendor_parts_number LIKE '%5-1'),
+judged_p AS (
+    SELECT *, concat_ws('|', CASE WHEN bool_or(unreadable) OVER w THEN 'bad_number' END,
+                             CASE WHEN bool_or(again) OVER w THEN 'repeated_part_number' END) AS reasons
+    FROM raw_p WINDOW w AS (PARTITION BY order_number))"""
+
+
+def _faulty_loads() -> dict[str, str]:
+    vehicle = (
+        "vin, CASE WHEN again THEN 'SUV' ELSE vehicle_type END AS vehicle_type, "
+        "CASE WHEN again THEN 'Kia' ELSE manufacturer_name END AS manufacturer_name, condition, model_name, year, "
+        "fuel_type, horsepower, CASE WHEN again THEN 'again' ELSE description END AS description"
+    )
+    return {
+        "ingest_faulty_customers": _with(_RAW_CUSTOMERS, f"SELECT {_CONTACT_COLUMNS} FROM judged_c WHERE reasons IS NULL"),
+        "ingest_customers_rejects": _with(
+            _RAW_CUSTOMERS, "SELECT customer_type, known AS identifier, reasons FROM judged_c WHERE reasons IS NOT NULL"
+        ),
+        "ingest_faulty_users": _with(_RAW_USERS, "SELECT * EXCLUDE (again) FROM raw_u WHERE NOT again"),
+        "ingest_users_rejects": _with(
+            _RAW_USERS, "SELECT username, 'repeated_username' AS reasons FROM raw_u WHERE again"
+        ),
+        "ingest_faulty_vendors": _with(
+            _RAW_VENDORS,
+            "SELECT name, phone_number, street, city, state, postal_code FROM raw_v WHERE NOT again AND NOT nameless",
+        ),
+        "ingest_vendors_rejects": _with(
+            _RAW_VENDORS,
+            "SELECT CASE WHEN nameless THEN '' ELSE name END AS vendor_name, "
+            "CASE WHEN nameless THEN 'missing_vendor_name' ELSE 'repeated_vendor_name' END AS reasons "
+            "FROM raw_v WHERE again OR nameless",
+        ),
+        "ingest_faulty_vehicles": _with(_RAW_VEHICLES, f"SELECT {vehicle} FROM judged_w WHERE reasons IS NULL"),
+        "ingest_vehicles_rejects": _with(_RAW_VEHICLES, "SELECT vin, reasons FROM judged_w WHERE reasons IS NOT NULL"),
+        "ingest_faulty_parts": _with(_RAW_PARTS, f"SELECT {_WANTED_PART} FROM judged_p WHERE reasons = ''"),
+        "ingest_parts_rejects": _with(
+            _RAW_PARTS, "SELECT order_number, vendor_parts_number, reasons FROM judged_p WHERE reasons <> ''"
+        ),
+    }
+
+
+# Queries that give the rows of another one by another way.
+SAME_ROWS = {
+    "store_status_updates": "apply_status_updates",
+    "store_status_transitions": "apply_status_transitions",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{MODEL} {text}" for name, text in (_queries() | _later_queries()).items()}
+    found = _queries() | _later_queries() | _faulty_loads()
+    found |= {name: found[other] for name, other in SAME_ROWS.items()}
+    return {name: f"{MODEL} {text}" for name, text in found.items()}

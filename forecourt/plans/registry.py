@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt import schema
+from forecourt.functions.lineage import new_folder
 from forecourt.operators import batches, ingest, inventory, lookups, quality, reports, vehicles
 from forecourt.operators.display import display
 from forecourt.plans import dealership_view as view
+from forecourt.sources import partitioned
 from forecourt.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +119,23 @@ def _vehicle_batch(tables: Tables, submissions: DataFrame) -> batches.BatchResul
     return batches.apply_vehicle_batch(tables, submissions, AS_OF_YEAR)
 
 
+# Partitions of the stored part table of the test data.
+PART_PARTITIONS = 16
+
+
+def _on_stored_parts(store: Callable[[Tables, DataFrame, str, int], list[int]]) -> Query:
+    """The stored part table after a batch replaced the partitions it touches."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        source = view.Source(spark, folder)
+        tables, path = view.dealership(source), new_folder(spark, "part")
+        partitioned.write_parts(tables.part, path, PART_PARTITIONS)
+        store(tables, view.status_updates(source), path, PART_PARTITIONS)
+        return plain(partitioned.read_parts(spark, path))
+
+    return run
+
+
 def _invalid(df: DataFrame) -> DataFrame:
     return df.select("submission_id", "reasons")
 
@@ -234,6 +253,8 @@ def queries() -> dict[str, Query]:
         "apply_status_updates_results": _on_batch(batches.status_update_results, view.status_updates),
         "apply_status_transitions": _on_batch(batches.apply_status_transitions, view.status_updates),
         "apply_status_transitions_results": _on_batch(batches.status_transition_results, view.status_updates),
+        "store_status_updates": _on_stored_parts(partitioned.store_status_updates),
+        "store_status_transitions": _on_stored_parts(partitioned.store_status_transitions),
         "apply_sales": _batch_part(batches.apply_sales, view.sale_submissions, "sale"),
         "apply_sales_rejects": _batch_part(batches.apply_sales, view.sale_submissions, "rejects"),
         # Data quality
@@ -255,6 +276,28 @@ def queries() -> dict[str, Query]:
             view.parts_order_submissions,
         ),
     }
+    found |= {
+        # Raw files with faults: what is loaded and what is refused
+        "ingest_faulty_customers": _on_raw(
+            lambda r: ingest.ingest_customers(r, order_by="line_no").rows["customer"].drop("customer_id"),
+            view.faulty_raw_customers,
+        ),
+        "ingest_customers_rejects": _on_raw(
+            lambda r: ingest.ingest_customers(r, order_by="line_no").rejects.drop("customer_id"), view.faulty_raw_customers
+        ),
+        "ingest_faulty_users": _on_raw(lambda r: ingest.ingest_users(r).rows["user"], view.faulty_raw_users),
+        "ingest_users_rejects": _on_raw(lambda r: ingest.ingest_users(r).rejects, view.faulty_raw_users),
+        "ingest_faulty_vendors": _on_raw(lambda r: ingest.ingest_vendors(r).rows["vendor"], view.faulty_raw_vendors),
+        "ingest_vendors_rejects": _on_raw(lambda r: ingest.ingest_vendors(r).rejects, view.faulty_raw_vendors),
+        "ingest_faulty_vehicles": _on_batch(
+            lambda t, r: ingest.ingest_vehicles(t, r).rows["vehicle"], view.faulty_raw_vehicles
+        ),
+        "ingest_vehicles_rejects": _on_batch(
+            lambda t, r: ingest.ingest_vehicles(t, r).rejects, view.faulty_raw_vehicles
+        ),
+        "ingest_faulty_parts": _on_raw(lambda r: ingest.ingest_parts(r).rows["part"], view.faulty_raw_parts),
+        "ingest_parts_rejects": _on_raw(lambda r: ingest.ingest_parts(r).rejects, view.faulty_raw_parts),
+    }
     # The same operators where vehicles have several purchases and sales
     several: dict[str, Callable[[Tables], DataFrame]] = {
         "search_public": lambda t: vehicles.search_vehicles(t, "Public"),
