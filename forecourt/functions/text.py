@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _folded(value: str) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFD", value) if not unicodedata.combining(c))
+    return plain.casefold()
+
+
 def same_text(column: Column, value: str, domain: Sequence[str] = ()) -> Column:
-    """Equality that ignores case.
+    """Equality that ignores case and accents.
 
     A value of a closed `domain` is compared in its declared spelling, which a scan can filter by.
     """
     for declared in domain:
-        if declared.lower() == value.lower():
+        if _folded(declared) == _folded(value):
             return column == declared
-    return F.lower(column) == F.lower(F.lit(value))
+    return F.collate(column, "UNICODE_CI_AI") == F.lit(value)
 
 
 def keyword_pattern(keyword: str) -> str:

@@ -354,6 +354,29 @@ def with_lost_references(tables: Tables) -> Tables:
     return tables.with_tables(**changed)
 
 
+# Keys in other spellings: capitals, small letters and accents.
+
+SPELLINGS = {
+    ("vehicle", "manufacturer_name"): "CASE year % 3 WHEN 0 THEN upper({c}) WHEN 1 THEN translate({c}, 'aeou', 'áèöû') ELSE {c} END",
+    ("vehicle", "vehicle_type"): "if(horsepower % 2 = 0, lower({c}), {c})",
+    ("vehicle_color", "color_name"): "if(vin LIKE '%7', translate({c}, 'aei', 'ãêï'), {c})",
+    ("parts_order", "vendor_name"): "if(vin LIKE '%3', upper({c}), {c})",
+    ("part", "order_number"): "if(status = 'Received', lower({c}), {c})",
+    ("purchase", "username"): "if(vin LIKE '%5', upper({c}), {c})",
+    ("sale", "username"): "if(vin LIKE '%1', translate({c}, 'u', 'ú'), {c})",
+    ("sale", "vin"): "if(username = 'user4', lower({c}), {c})",
+}
+
+
+def with_other_spellings(tables: Tables) -> Tables:
+    changed = {}
+    for table in {table for table, _ in SPELLINGS}:
+        frame = tables[table]
+        spelled = {c: SPELLINGS.get((table, c), "{c}").format(c=c) for c in frame.columns}
+        changed[table] = frame.selectExpr(*columns(**spelled))
+    return tables.with_tables(**changed)
+
+
 def _built(source: Source, name: str, build: Callable[[Source], DataFrame]) -> DataFrame:
     return conform(build(source), name)
 

@@ -872,6 +872,8 @@ def _faulty_loads() -> dict[str, str]:
         ),
         "ingest_faulty_vehicles": _with(_RAW_VEHICLES, f"SELECT {vehicle} FROM judged_w WHERE reasons IS NULL"),
         "ingest_vehicles_rejects": _with(_RAW_VEHICLES, "SELECT vin, reasons FROM judged_w WHERE reasons IS NOT NULL"),
+        "collated_search": _listing(_MANAGER, "vehicle_type = 'SUV' AND fuel_type = 'Hybrid'"),
+        "collated_distinct_makers": "SELECT DISTINCT manufacturer_name FROM d_vehicle",
         "ingest_faulty_parts": _with(_RAW_PARTS, f"SELECT {_WANTED_PART} FROM judged_p WHERE reasons = ''"),
         "ingest_parts_rejects": _with(
             _RAW_PARTS, "SELECT order_number, vendor_parts_number, reasons FROM judged_p WHERE reasons <> ''"
@@ -881,6 +883,10 @@ def _faulty_loads() -> dict[str, str]:
 
 # Queries that give the rows of another one by another way.
 SAME_ROWS = {
+    "collated_parts_statistics": "parts_statistics",
+    "collated_monthly_sales_drilldown": "monthly_sales_drilldown",
+    "collated_vehicle_colors": "vehicle_colors",
+    "collated_check_primary_keys": "check_primary_keys",
     "store_status_updates": "apply_status_updates",
     "store_status_transitions": "apply_status_transitions",
 }
@@ -889,4 +895,8 @@ SAME_ROWS = {
 def oracle_sql() -> dict[str, str]:
     found = _queries() | _later_queries() | _faulty_loads()
     found |= {name: found[other] for name, other in SAME_ROWS.items()}
+    # Lost order numbers have no parent whose spelling stands for them.
+    found["collated_check_foreign_keys"] = found["check_foreign_keys"].replace(
+        "order_number AS value", "lower(order_number) AS value"
+    )
     return {name: f"{MODEL} {text}" for name, text in found.items()}

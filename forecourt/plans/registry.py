@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from forecourt import schema
 from forecourt.functions.lineage import new_folder
 from forecourt.operators import batches, ingest, inventory, lookups, quality, reports, vehicles
+from forecourt.operators.collation import respelled
 from forecourt.operators.display import display
 from forecourt.plans import dealership_view as view
 from forecourt.sources import partitioned
@@ -58,6 +59,16 @@ def _on_raw(operator: Callable[[DataFrame], DataFrame], raw: Rows) -> Query:
     return lambda spark, folder: plain(operator(raw(view.Source(spark, folder))))
 
 
+def _on_other_spellings(operator: Callable[[Tables], DataFrame], faults: Callable[[Tables], Tables] = lambda t: t) -> Query:
+    """The operator on tables whose keys come in several spellings."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        tables = faults(view.dealership(view.Source(spark, folder)))
+        return plain(operator(respelled(view.with_other_spellings(tables))))
+
+    return run
+
+
 def _on_batch(operator: Callable[[Tables, DataFrame], DataFrame], batch: Rows) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         source = view.Source(spark, folder)
@@ -334,6 +345,16 @@ def queries() -> dict[str, Query]:
             lambda t: display(reports.avg_inventory_time(t), "avg_inventory_time", place="place")
         ),
     }
+    # Keys in capitals, small letters and with accents: the same answers as if they were spelled alike
+    found |= {
+        "collated_search": _on_other_spellings(lambda t: vehicles.search_vehicles(t, "Manager", vehicle_type="Súv", fuel_type="hybrid")),
+        "collated_parts_statistics": _on_other_spellings(reports.parts_statistics),
+        "collated_monthly_sales_drilldown": _on_other_spellings(reports.sales_by_salesperson),
+        "collated_distinct_makers": _on_other_spellings(lambda t: lookups.distinct_values(t, "vehicle", "manufacturer_name")),
+        "collated_vehicle_colors": _on_other_spellings(inventory.vehicle_colors),
+        "collated_check_primary_keys": _on_other_spellings(quality.check_primary_keys, _with_faults),
+        "collated_check_foreign_keys": _on_other_spellings(quality.check_foreign_keys, _with_faults),
+    }
     # A fault for every declared key and reference, and for every rule of a parts order
     found |= {
         "check_primary_keys_all": _on_tables(lambda t: quality.check_primary_keys(view.with_rows_twice(t))),
