@@ -1,8 +1,8 @@
 """Lexical retrieval packing: windows of tokens filled with documents that are lexically close.
 
-Documents are encoded and cut into whole windows and a tail shorter than a window.  Tails are put into a lexical order
-and cut by rank into shards of exactly bounded size, so that lexically close tails share a shard.  Each shard builds a
-BM25 inverted index over the token ids of its tails, with the document frequencies and mean length of the whole corpus;
+Documents are encoded and cut into whole windows and a tail shorter than a window.  Tails are put into a lexical order by
+a range shuffle, and each range is cut into shards of exactly bounded size, so that lexically close tails share a shard;
+nothing about shards is ever collected.  Each shard builds a BM25 inverted index over the token ids of its tails, with the document frequencies and mean length of the whole corpus;
 every unused tail in turn is a seed, its best-scoring unused neighbours fill the rest of the window, and the last one
 is cut where the window ends.  So only a shard's last window can be short.
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import math
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,13 +28,16 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.frames import col, pin, text_of
 
-# The rank file with the same ids as the tokenizers file byte_bpe_50k.json.
+# The rank file with the ids of the tokenizers file byte_bpe_50k.json, and the one token that only the latter adds; it
+# finds that inside a text, too.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 WINDOW = 1024
 SEPARATOR = 0
 DOCS_PER_SHARD = 1024
@@ -45,6 +47,8 @@ DIMS = 128
 DIRECTIONS = 1 << 16
 SAMPLE = 8192
 LEAF = 16
+# Shards of one range are numbered in so many bits.
+SHARD_BITS = 13
 
 
 @lru_cache(maxsize=2)
@@ -52,7 +56,22 @@ def encoding(path: str) -> tiktoken.Encoding:
     """One per Python worker."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS
+    )
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, occurrences) of all documents at once, by document and term."""
+    if not docs:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    owner = np.repeat(np.arange(len(docs), dtype=np.uint64), [len(d) for d in docs])
+    codes = (owner << np.uint64(32)) | np.concatenate(docs).astype(np.uint64)
+    codes.sort()
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    found = codes[starts]
+    tf = np.diff(np.concatenate([starts, [len(codes)]]))
+    return (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64), tf
 
 
 @dataclass
@@ -78,24 +97,30 @@ class InvertedIndex:
         self, docs: list[np.ndarray], k1: float = K1, b: float = B, corpus: Corpus | None = None
     ) -> None:
         self.size = len(docs)
-        found = [np.unique(d, return_counts=True) for d in docs]
-        terms = np.concatenate([t for t, _ in found])
-        tf = np.concatenate([n for _, n in found]).astype(np.float64)
-        owner = np.repeat(np.arange(self.size), [len(t) for t, _ in found])
+        owner, terms, tf = term_counts(docs)
         vocabulary, code, df = np.unique(terms, return_inverse=True, return_counts=True)
         lengths = np.array([len(d) for d in docs], dtype=np.float64)
         norm = k1 * (1 - b + b * lengths / (corpus.mean if corpus else lengths.mean()))
         idf = corpus.idf(vocabulary) if corpus else np.log1p((self.size - df + 0.5) / (df + 0.5))
         weight = idf[code] * tf * (k1 + 1) / (tf + norm[owner])
         order = np.argsort(code, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        ends = np.cumsum(df)
-        self.postings = list(zip((ends - df).tolist(), ends.tolist()))
-        self.terms = np.split(code, np.cumsum([len(t) for t, _ in found])[:-1])
+        self.code, self.owner, self.weight = code[order], owner[order], weight[order]
+        self.ends = np.cumsum(df)
+        self.starts = self.ends - df
+        self.terms = np.split(code, np.cumsum(np.bincount(owner, minlength=self.size))[:-1])
+
+    def forget(self, gone: np.ndarray) -> None:
+        """Drop the postings of the documents that `gone` flags."""
+        kept = ~gone[self.owner]
+        self.code, self.owner, self.weight = self.code[kept], self.owner[kept], self.weight[kept]
+        df = np.bincount(self.code, minlength=len(self.ends))
+        self.ends = np.cumsum(df)
+        self.starts = self.ends - df
 
     def scores(self, query: int) -> np.ndarray:
         """Score of every document for the terms of document `query`."""
-        spans = [self.postings[t] for t in self.terms[query].tolist()]
+        terms = self.terms[query]
+        spans = list(zip(self.starts[terms].tolist(), self.ends[terms].tolist()))
         owner = np.concatenate([self.owner[i:j] for i, j in spans])
         weight = np.concatenate([self.weight[i:j] for i, j in spans])
         return np.bincount(owner, weights=weight, minlength=self.size)
@@ -111,10 +136,13 @@ def vectors(tails: list[np.ndarray], corpus: Corpus) -> np.ndarray:
     """The projected BM25 weights of each tail, of length 1."""
     table = _directions()
     out = np.zeros((len(tails), DIMS), dtype=np.float32)
-    for i, tail in enumerate(tails):
-        terms, tf = np.unique(tail, return_counts=True)
-        weights = corpus.idf(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tail) / corpus.mean))
-        out[i] = weights.astype(np.float32) @ table[terms % DIRECTIONS]
+    owner, terms, tf = term_counts(tails)
+    lengths = np.array([len(t) for t in tails], dtype=np.float64)
+    norm = K1 * (1 - B + B * lengths / corpus.mean)
+    weights = (corpus.idf(terms) * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
+    ends = np.cumsum(np.bincount(owner, minlength=len(tails))).tolist()
+    for i, (start, end) in enumerate(zip([0, *ends], ends)):
+        out[i] = weights[start:end] @ table[terms[start:end] % DIRECTIONS]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -161,6 +189,7 @@ def fill_windows(
     index = InvertedIndex(docs, corpus=corpus)
     left = np.array([len(d) for d in docs])
     start = np.zeros(len(docs), dtype=np.int64)
+    live = len(docs)
 
     def take(doc: int, room: int) -> tuple[int, int, int]:
         n = min(int(left[doc]), room)
@@ -170,6 +199,9 @@ def fill_windows(
         return piece
 
     for seed in range(len(docs)):
+        if np.count_nonzero(left) < live // 2:
+            index.forget(left == 0)
+            live = np.count_nonzero(left)
         while left[seed] > 0:
             filled = [take(seed, window)]
             room = window - filled[0][2]
@@ -186,8 +218,8 @@ def fill_windows(
             yield filled
 
 
-def _cut(tokens: list[int], window: int, separator: int) -> list[dict]:
-    ids = np.array(tokens + [separator], dtype="<u4")
+def _cut(tokens: np.ndarray, window: int, separator: int) -> list[dict]:
+    ids = np.concatenate([tokens, [separator]]).astype("<u4")
     whole = len(ids) - len(ids) % window
     pieces = [
         {"start": i, "length": window, "ids_crc32": zlib.crc32(ids[i : i + window]), "tail": None}
@@ -203,10 +235,10 @@ _PACKED = pa.schema(
 )
 
 
-def _pack_shard(shard: pa.Table, window: int, corpus: Corpus) -> pa.Table:
+def _pack_shard(shard: pa.Table, number: int, window: int, corpus: Corpus) -> pa.Table:
     """The tails of one shard, packed."""
     shard = shard.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("row", "ascending")])
-    sequence = shard["shard"][0].as_py() << 32 if len(shard) else 0
+    sequence = number << 32
     columns = {n: shard[n].to_pylist() for n in ("start", "doc_tokens")}
     tails = _token_ids(shard["tail"].to_pylist())
     rows, sources = [], []
@@ -223,6 +255,31 @@ def _pack_shard(shard: pa.Table, window: int, corpus: Corpus) -> pa.Table:
     return packed.add_column(0, "doc_id", shard["doc_id"].take(pa.array(sources, pa.int64())))
 
 
+def _pack_range(window: int, corpus: Corpus, docs_per_shard: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tails of one range in order; one shard is held at a time."""
+        first, done, held, waiting = TaskContext.get().partitionId() << SHARD_BITS, 0, [], 0
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if done >> SHARD_BITS:
+                raise ValueError("too many tails in one partition: raise spark.sql.shuffle.partitions")
+            yield from _pack_shard(pa.Table.from_batches(held), first + done, window, corpus).to_batches()
+
+        for batch in batches:
+            while batch.num_rows:
+                taken = batch.slice(0, docs_per_shard - waiting)
+                held.append(taken)
+                waiting += taken.num_rows
+                batch = batch.slice(taken.num_rows)
+                if waiting == docs_per_shard:
+                    yield from finish()
+                    done, held, waiting = done + 1, [], 0
+        if held:
+            yield from finish()
+
+    return pack
+
+
 def _token_ids(tails: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(t, dtype="<u4") for t in tails]
 
@@ -233,12 +290,12 @@ def _corpus(tails: DataFrame) -> Corpus:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, tokens = np.zeros(0, dtype=np.int64), 0, 0
         for batch in batches:
-            for tail in _token_ids(batch.column(0).to_pylist()):
-                terms = np.unique(tail)
-                if terms[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), dtype=np.int64)])
-                df[terms] += 1
-                docs, tokens = docs + 1, tokens + len(tail)
+            tails = _token_ids(batch.column(0).to_pylist())
+            found = np.bincount(term_counts(tails)[1])
+            longer = np.zeros(max(len(df), len(found)), dtype=np.int64)
+            longer[: len(df)] += df
+            longer[: len(found)] += found
+            df, docs, tokens = longer, docs + len(tails), tokens + sum(map(len, tails))
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([[-1, -2], seen])), pa.array(np.concatenate([[docs, tokens], df[seen]]))],
@@ -253,10 +310,10 @@ def _corpus(tails: DataFrame) -> Corpus:
     return Corpus(docs, tokens / max(1, docs), df)
 
 
-def _placed(tails: DataFrame, corpus: Corpus, docs_per_shard: int) -> DataFrame:
-    """`tails` with its shard: the rank in the lexical order by `docs_per_shard`, so that none is larger."""
+def _ordered(tails: DataFrame, corpus: Corpus, docs_per_shard: int) -> DataFrame:
+    """`tails` in ranges of the lexical order, sorted in each."""
     if corpus.docs <= docs_per_shard:
-        return tails.withColumn("shard", F.lit(0).cast("bigint"))
+        return tails.coalesce(1)
 
     @F.pandas_udf("binary")
     def vector(found: pd.Series) -> pd.Series:
@@ -272,26 +329,9 @@ def _placed(tails: DataFrame, corpus: Corpus, docs_per_shard: int) -> DataFrame:
         keys = order.keys(vectors(_token_ids(found.tolist()), corpus))
         return pd.Series([k + int(r).to_bytes(8, "big") for k, r in zip(keys, rows)], dtype=object)
 
+    # Stored, because the range shuffle reads it twice.  Keys are unique, so ranges can be cut anywhere.
     keyed = pin(tails.withColumn("key", key("tail", "row")))
-    # Keys are unique, so ranges can be cut anywhere; the number has the partition above bit 33 and the place below.
-    ordered = pin(
-        keyed.select("key").repartitionByRange("key").sortWithinPartitions("key").select(
-            "key", F.monotonically_increasing_id().alias("at")
-        )
-    )
-    partition, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = sorted(map(tuple, ordered.groupBy(partition).count().collect()))
-    before = [0, *np.cumsum([n for _, n in sizes]).tolist()]
-    firsts = {p: n for (p, _), n in zip(sizes, before)}
-    first = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in firsts.items() for x in pair]), partition)
-    # One key per shard.
-    bounds = sorted(bytes(r[0]) for r in ordered.where((first + place) % docs_per_shard == 0).select("key").collect())
-
-    @F.pandas_udf("bigint")
-    def shard(keys: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(bounds, bytes(k)) - 1 for k in keys], dtype="int64")
-
-    return keyed.withColumn("shard", shard("key")).drop("key")
+    return keyed.repartitionByRange("key").sortWithinPartitions("key").drop("key")
 
 
 def pack_documents(
@@ -306,6 +346,7 @@ def pack_documents(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text and one `separator`; NULL text counts as empty and has only the separator.
+    `ADDED_TOKENS` inside a text are one id each.
     Pieces lie gapless in their sequence from offset 0.  `path` names a rank file that every executor has;
     `docs_per_shard` is the largest number of tails of a shard.  Rows equal in id and text are separate documents, and
     many of them fill several shards.  An empty table gives no rows.  Other columns are not read.
@@ -315,9 +356,9 @@ def pack_documents(
 
     @F.pandas_udf(f"array<struct<{piece.replace(' bigint', ': bigint').replace(' binary', ': binary')}>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoding(file).encode_ordinary
+        encode = encoding(file).encode_to_numpy
         for texts in batches:
-            yield pd.Series([_cut(encode(t), window, separator) for t in texts], dtype=object)
+            yield pd.Series([_cut(encode(t, allowed_special="all"), window, separator) for t in texts], dtype=object)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     # Stored, so that a text is encoded once and a piece keeps its row number.
@@ -333,16 +374,9 @@ def pack_documents(
     tails = pieces.where("tail IS NOT NULL")
     corpus = _corpus(tails)
 
-    def pack(shard: pa.Table) -> pa.Table:
-        return _pack_shard(shard, window, corpus)
-
-    packed = (
-        _placed(tails, corpus, docs_per_shard)
-        .groupBy("shard")
-        .applyInArrow(
-            pack,
-            f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
-            " sequence_id bigint, offset bigint",
-        )
+    shape = (
+        f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint,"
+        " offset bigint"
     )
+    packed = _ordered(tails, corpus, docs_per_shard).mapInArrow(_pack_range(window, corpus, docs_per_shard), shape)
     return whole.unionByName(packed)
