@@ -43,11 +43,30 @@ FROM marked GROUP BY doc_id"""
 _OP8 = rf"""
 WITH {_LINES},
 distinct_texts AS (SELECT host, count(DISTINCT text) AS host_docs FROM lined GROUP BY host),
-bad AS (
-  SELECT host, key
+frequent AS (
+  SELECT host, key, n, host_docs
   FROM (SELECT host, key, count(DISTINCT text) AS n FROM keyed WHERE key <> '' GROUP BY 1, 2)
   JOIN distinct_texts USING (host)
-  WHERE n >= 5 AND n >= 0.1 * host_docs
+  WHERE n >= 5 AND (n >= 0.1 * host_docs OR n >= 500)
+),
+copies AS (
+  SELECT k.host, k.text
+  FROM (SELECT DISTINCT host, text, pos, key, line FROM keyed WHERE key <> '') k
+  LEFT JOIN frequent f ON f.host = k.host AND f.key = k.key
+  GROUP BY k.host, k.text
+  HAVING count(f.key) > 0 AND coalesce(sum(len(regexp_extract_all(line, '{_WORD}'))) FILTER (WHERE f.key IS NOT NULL), 0)
+         >= 0.8 * sum(len(regexp_extract_all(line, '{_WORD}')))
+),
+copies_of_host AS (SELECT host, count(*) - 1 AS extra FROM copies GROUP BY host),
+copies_of_line AS (
+  SELECT host, key, count(DISTINCT text) - 1 AS extra FROM keyed JOIN copies USING (host, text) WHERE key <> '' GROUP BY 1, 2
+),
+bad AS (
+  SELECT f.host, f.key FROM frequent f
+  LEFT JOIN copies_of_host h ON h.host = f.host
+  LEFT JOIN copies_of_line l ON l.host = f.host AND l.key = f.key
+  WHERE n - coalesce(l.extra, 0) >= 5
+    AND (n - coalesce(l.extra, 0) >= 0.1 * (host_docs - coalesce(h.extra, 0)) OR n - coalesce(l.extra, 0) >= 500)
 ),
 removed AS (
   SELECT doc_id, sum(len(regexp_extract_all(line, '{_WORD}'))) AS n

@@ -1,12 +1,13 @@
 """Quality rules: word statistics of each text, and lines that too many documents of one host share.
 
-A line is boilerplate on its host if it occurs in at least `min_docs` distinct documents there and in at least
-`line_share` of them; documents with identical text count once.  Boilerplate lines are removed, and a document that
-loses more than `max_removed_share` of its words is depleted and rejected.
+A line is frequent on its host if it occurs in at least `min_docs` distinct documents there, and in at least `line_share`
+of them or in at least `many_docs`; documents with identical text count once.  Frequent lines are boilerplate and are
+removed, and a document that loses more than `max_removed_share` of its words is depleted and rejected.
 
-Near copies share most of their lines without being boilerplate, so the evidence must come from other documents: of a
-line's documents on a host, all that the lines counted so would deplete count as one, as they do among the host's
-documents, and lines that then miss the limits stay.  A group of near copies is left to the dedup stages.
+Near copies share most of their lines without being boilerplate, so a line counts once per group of near copies: a text
+with at least `copy_share` of its words in frequent lines is a near copy of others on its host.  Of a line's documents, and
+of the host's, the near copies count as one, and lines that are not frequent by this count stay.  So pages of a host
+that are mostly its template are rejected, and near copies of one document are left to the dedup stages.
 
 Built-in functions only.  Statistics are computed inside the scan, row by row; what is shuffled is one narrow row per
 distinct line of a document and one per document.
@@ -27,7 +28,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 5
 LINE_SHARE = 0.1
+MANY_DOCS = 500
 MAX_REMOVED_SHARE = 0.5
+# From this share of common words on, near-duplicate operators call two texts similar.
+COPY_SHARE = 0.8
 
 
 def _host(host: Column) -> Column:
@@ -104,7 +108,11 @@ def _lines_by_host(rows: DataFrame) -> DataFrame:
     return every.select("doc_id", "host", "text_hash", text_words, F.inline("listed"))
 
 
-def boilerplate_lines(rows: DataFrame, min_docs: int, line_share: float) -> DataFrame:
+def _frequent(n_docs: Column, host_docs: Column, min_docs: int, line_share: float, many_docs: int) -> Column:
+    return (n_docs >= min_docs) & ((n_docs >= line_share * host_docs) | (n_docs >= many_docs))
+
+
+def frequent_lines(rows: DataFrame, min_docs: int, line_share: float, many_docs: int) -> DataFrame:
     """host, line, n_docs, host_docs: the lines above the limits.  `rows` has doc_id, host and text."""
     text_hash = F.xxhash64("text").alias("text_hash")
     keys = F.array_distinct(line_keys(F.col("text")))
@@ -120,7 +128,7 @@ def boilerplate_lines(rows: DataFrame, min_docs: int, line_share: float) -> Data
         .agg(F.count(F.lit(1)).alias("host_docs"))
     )
     both = lookup(per_line, hosts, "host", "line", how="inner")
-    above = both.where(F.col("n_docs") >= line_share * F.col("host_docs"))
+    above = both.where(_frequent(F.col("n_docs"), F.col("host_docs"), min_docs, line_share, many_docs))
     return above.select("host", "line", "n_docs", "host_docs")
 
 
@@ -128,24 +136,24 @@ def _words_of(hit: str) -> Column:
     return F.aggregate(f"{hit}.words", F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def _proven(
-    lines: DataFrame, found: DataFrame, min_docs: int, line_share: float, max_removed_share: float
+def _without_copies(
+    lines: DataFrame, found: DataFrame, min_docs: int, line_share: float, many_docs: int, copy_share: float
 ) -> DataFrame:
-    """host, line: those of `lines` that hold the limits if all the texts they deplete count as one.
+    """host, line: those of `lines` that are frequent if near copies count as one.
 
     `found` has host, text_hash, text_words and `hit`, the lines of each text that are among `lines`.
     """
-    depleted = (
-        found.where(_words_of("hit") > max_removed_share * F.col("text_words"))
+    copies = (
+        found.where(_words_of("hit") >= copy_share * F.col("text_words"))
         .select("host", "text_hash", F.array_distinct("hit.line").alias("lines"))
     )
-    of_line = depleted.select("host", "text_hash", F.explode("lines").alias("line")).distinct()
+    of_line = copies.select("host", "text_hash", F.explode("lines").alias("line")).distinct()
     of_line = of_line.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    of_host = depleted.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_n"))
+    of_host = copies.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_n"))
     counted = lines.join(of_line, ["host", "line"], "left").join(of_host, "host", "left")
     n_docs = F.col("n_docs") - F.coalesce(F.col("n") - 1, F.lit(0))
     host_docs = F.col("host_docs") - F.coalesce(F.col("host_n") - 1, F.lit(0))
-    return counted.where((n_docs >= min_docs) & (n_docs >= line_share * host_docs)).select("host", "line")
+    return counted.where(_frequent(n_docs, host_docs, min_docs, line_share, many_docs)).select("host", "line")
 
 
 def judge(
@@ -155,6 +163,8 @@ def judge(
     host_col: str = "source",
     min_docs: int = MIN_DOCS,
     line_share: float = LINE_SHARE,
+    many_docs: int = MANY_DOCS,
+    copy_share: float = COPY_SHARE,
     max_removed_share: float = MAX_REMOVED_SHARE,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
@@ -171,7 +181,7 @@ def judge(
         whole_row(docs).alias("row"), col(id_col).alias("doc_id"), col(host_col).alias("host"), text_of(text_col).alias("text")
     )
     narrow = rows.select("doc_id", _host(F.col("host")).alias("host"), "text")
-    lines = pin(boilerplate_lines(narrow, min_docs, line_share))
+    lines = pin(frequent_lines(narrow, min_docs, line_share, many_docs))
     # Both sides come straight from a shuffle, so adaptive execution can cut a hot line into pieces.
     hits = _lines_by_host(narrow).join(lines.select("host", "line"), ["host", "line"], "left_semi")
     key = ["doc_id", "host", "text_hash"]
@@ -179,9 +189,9 @@ def judge(
     found = pin(
         hits.groupBy(*key, "text_words").agg(F.collect_set(F.struct("pos", "line", "words")).alias("hit"))
     )
-    bad = pin(_proven(lines, found, min_docs, line_share, max_removed_share))
-    proven = found.select(*key, F.inline("hit")).join(bad, ["host", "line"], "left_semi")
-    removed = proven.groupBy(*key).agg(
+    bad = pin(_without_copies(lines, found, min_docs, line_share, many_docs, copy_share))
+    boilerplate = found.select(*key, F.inline("hit")).join(bad, ["host", "line"], "left_semi")
+    removed = boilerplate.groupBy(*key).agg(
         F.collect_set("line").alias("removed"), F.sum("words").alias("n_removed_words")
     )
 
