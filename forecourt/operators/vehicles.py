@@ -126,6 +126,10 @@ def asking_prices(tables: Tables) -> DataFrame:
     return vehicle_base(tables).select("vin", "purchase_price", "total_parts_cost", "sale_price")
 
 
+# The columns a keyword is looked for in.
+KEYWORD_TEXTS = ("manufacturer_name", "model_name", "year", "description")
+
+
 def _given(value: object) -> bool:
     return value is not None and value != "" and value != "Any"
 
@@ -155,7 +159,7 @@ def matching_vehicles(
             raise ValueError(f"year must be a whole number, not {year!r}")
         found = found.where(F.col("year") == int(year))
     if keyword:
-        texts = [F.col("manufacturer_name"), F.col("model_name"), F.col("year").cast("string"), F.col("description")]
+        texts = [F.col(c).cast("string") for c in KEYWORD_TEXTS]
         if accent_insensitive:
             # Plain substring search: LIKE wildcards are not available under this collation.
             wanted = F.collate(F.lit(keyword), "UNICODE_CI_AI")

@@ -883,6 +883,8 @@ def _faulty_loads() -> dict[str, str]:
 
 # Queries that give the rows of another one by another way.
 SAME_ROWS = {
+    "search_by_keyword_in_blocks": "search_by_keyword",
+    "search_by_keyword_wildcard_in_blocks": "search_by_keyword_wildcard",
     "collated_parts_statistics": "parts_statistics",
     "collated_monthly_sales_drilldown": "monthly_sales_drilldown",
     "collated_vehicle_colors": "vehicle_colors",

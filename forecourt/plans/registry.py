@@ -18,7 +18,7 @@ from forecourt.operators import batches, ingest, inventory, lookups, quality, re
 from forecourt.operators.collation import respelled
 from forecourt.operators.display import display
 from forecourt.plans import dealership_view as view
-from forecourt.sources import partitioned
+from forecourt.sources import partitioned, trigrams
 from forecourt.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,22 @@ def _on_stored_parts(store: Callable[[Tables, DataFrame, str, int], list[int]])
     return run
 
 
+# Blocks of the searchable vehicle table of the test data.
+VEHICLE_BLOCKS = 48
+
+
+def _search_in_blocks(keyword: str) -> Query:
+    """The keyword search on a vehicle table with three-letter sequences beside it."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        tables, path = view.dealership(view.Source(spark, folder)), new_folder(spark, "searchable")
+        trigrams.write_searchable(tables.vehicle, path, VEHICLE_BLOCKS)
+        found = tables.with_tables(vehicle=trigrams.candidates(spark, path, keyword))
+        return plain(vehicles.search_vehicles(found, "Manager", keyword=keyword))
+
+    return run
+
+
 def _invalid(df: DataFrame) -> DataFrame:
     return df.select("submission_id", "reasons")
 
@@ -167,6 +183,8 @@ def queries() -> dict[str, Query]:
         "search_by_color_all_colors": _search("Manager", color="Red", all_colors=True),
         "search_by_keyword": _search("Manager", keyword=KEYWORD),
         "search_by_keyword_wildcard": _search("Manager", keyword="5-low%summit"),
+        "search_by_keyword_in_blocks": _search_in_blocks(KEYWORD),
+        "search_by_keyword_wildcard_in_blocks": _search_in_blocks("5-low%summit"),
         "search_by_keyword_collated": _search("Manager", keyword="Härbor", accent_insensitive=True),
         "search_by_vin": _on_tables(lambda t: vehicles.search_vehicles(t, "Salesperson", vin=t.parts_order)),
         "search_by_one_vin": _search("Manager", vin=ONE_VIN),
