@@ -5,9 +5,15 @@ forms and comments: these may interrupt a text and are no gap in the distributio
 windows of `WINDOW_LINES` lines.  A text is what lies between two dives of the sum to nothing, if it surges over the
 threshold there; every line of it is kept, short ones too.
 
-If the page marks its text (`article` or `main`), only lines inside count and any text there is a surge; beside an
-`article`, lines of `main` that are nothing but links do not count.  Otherwise text outside links counts, and every
-region is kept in which it is a fair share of all text.
+Tag names, roles and class words are evidence about an element, and what the distribution says of the whole page is
+weighed against it.  Only some of them settle the matter (a comment section, a closed `nav`, a class that is exactly
+"sidebar").  A `form`, a compound class such as "with-sidebar" or an element that is never closed may as well be the
+wrapper of the page: it counts as one if it holds the page's `article` or `main`, or surges and has `WRAPPER_SHARE` times
+the text of all that is left without it.
+
+If the page marks its text (`article` or `main`), lines inside count, unless the distribution finds `WRAPPER_SHARE` times
+as much text beside them (a teaser in a marker).  A window without text outside links is a dive there too: such runs of
+links are left out.  On other pages every region is kept in which text outside links is a fair share of all text.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ WINDOW_LINES = 3
 # Without a marked text: least sum of a window that begins a region, and least share of text outside links in a region.
 SURGE_CHARS = 80
 TEXT_DENSITY = 0.5
+# So many times the text of the rest makes a doubtful element the page's wrapper, or unmarked text the main text.
+WRAPPER_SHARE = 3
 
 # Element names of the HTML standard, by the part they play here.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -44,6 +52,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
 )
+# Tags that are boilerplate only if they are closed; an open one is more likely forgotten than to hold all that follows.
+CLOSED_ONLY = frozenset("nav footer aside header menu".split())
 # Class and id words that name boilerplate.
 DROPPED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|sidebar|"
@@ -52,6 +62,12 @@ DROPPED_NAMES = re.compile(
     r"recommendations|pagination|pager|widgets?|searchform|toolbar|masthead)(?:$|[\s_-])",
     re.I,
 )
+# Of these, the ones that are boilerplate in any compound; the others may name the page's layout.
+SETTLED_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:footer|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|newsletter|subscribe|"
+    r"subscription|share|sharing|social|related|recommended|recommendations|pagination|pager|searchform|popup|modal)(?:$|[\s_-])",
+    re.I,
+)
 HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|banner)(?:$|[\s_-])", re.I)
 NEVER_BY_NAME = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 
@@ -63,16 +79,29 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+@dataclass
+class Suspect:
+    """An element that looks like boilerplate; `settled` if nothing speaks for it, `marked` if it holds marked text."""
+
+    settled: bool
+    marked: bool = False
+
+
 @dataclass
 class Line:
-    """A block of text; `dropped` lines are boilerplate."""
+    """A block of text, and the suspects it lies in, the outermost first."""
 
     text: str
     linked: int
-    dropped: bool
+    suspects: tuple[Suspect, ...]
     inside: frozenset[str]
     heading: bool
 
+    @property
+    def weight(self) -> int:
+        """Characters outside links."""
+        return max(0, len(self.text) - self.linked)
+
 
 def _attributes(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
@@ -81,21 +110,24 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _is_boilerplate(name: str, source: str, in_text: bool) -> bool:
+def _suspect(name: str, source: str, in_text: bool) -> Suspect | None:
     if name in DROPPED or name == "header" and not in_text:
-        return True
+        return Suspect(settled=name != "form" and name not in CLOSED_ONLY)
     if not source or source.isspace():
-        return False
+        return None
     given = _attributes(source)
     if "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
-        return True
+        return Suspect(settled=True)
     role = given.get("role", "").strip().lower()
     if role in DROPPED_ROLES and not (role == "banner" and in_text):
-        return True
+        return Suspect(settled=role != "form")
     names = given.get("class", "") + " " + given.get("id", "")
     if name in NEVER_BY_NAME or names.isspace():
-        return False
-    return bool(DROPPED_NAMES.search(names) or not in_text and HEADER_NAME.search(names))
+        return None
+    if not (DROPPED_NAMES.search(names) or not in_text and HEADER_NAME.search(names)):
+        return None
+    exact = any(DROPPED_NAMES.fullmatch(n) or HEADER_NAME.fullmatch(n) for n in names.split())
+    return Suspect(settled=exact or bool(SETTLED_NAMES.search(names)))
 
 
 class _Page:
@@ -105,10 +137,10 @@ class _Page:
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
-        # Open elements: name, begins boilerplate.  Counts tell in constant time whether a name is open.
-        self.open: list[tuple[str, bool]] = []
+        # Open elements with their suspect, if they are one.  Counts tell in constant time whether a name is open.
+        self.open: list[tuple[str, Suspect | None]] = []
         self.count: dict[str, int] = {}
-        self.drops = 0
+        self.suspects: tuple[Suspect, ...] = ()
 
     def is_open(self, name: str) -> bool:
         return self.count.get(name, 0) > 0
@@ -118,7 +150,7 @@ class _Page:
         if text:
             inside = frozenset(n for n in ("article", "main") if self.is_open(n))
             heading = any(self.is_open(f"h{i}") for i in range(1, 7))
-            self.lines.append(Line(text, self.linked, self.drops > 0, inside, heading))
+            self.lines.append(Line(text, self.linked, self.suspects, inside, heading))
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
@@ -137,12 +169,15 @@ class _Page:
             self.parts.append(" ")
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             return
-        bad = _is_boilerplate(name, attributes, self.is_open("article") or self.is_open("main"))
-        if bad and not self.drops:
+        bad = _suspect(name, attributes, self.is_open("article") or self.is_open("main"))
+        if bad:
             self.end_line()
+            self.suspects += (bad,)
+        elif name in ("article", "main"):
+            for outer in self.suspects:
+                outer.marked = True
         self.open.append((name, bad))
         self.count[name] = self.count.get(name, 0) + 1
-        self.drops += bad
 
     def _close_paragraph(self) -> None:
         """A block closes an open paragraph and the inline elements left open in it."""
@@ -160,10 +195,11 @@ class _Page:
             return
         while True:
             top, bad = self.open.pop()
-            if bad and self.drops == 1:
+            if bad:
                 self.end_line()
+                self.suspects = self.suspects[:-1]
+                bad.settled |= top == name and top in CLOSED_ONLY
             self.count[top] -= 1
-            self.drops -= bad
             if top == name:
                 return
 
@@ -211,23 +247,69 @@ def regions(weights: list[int], threshold: int, window: int) -> list[tuple[int,
     return found
 
 
+def _surges(lines: list[Line], window: int, surge: int) -> bool:
+    return bool(regions([x.weight for x in lines], surge, window))
+
+
+def without_boilerplate(lines: list[Line], window: int, surge: int) -> list[Line]:
+    """The lines outside suspects, after suspects that turn out to be wrappers of the page are cleared of it."""
+    cleared: set[int] = set()
+    while True:
+        first = [next((s for s in x.suspects if id(s) not in cleared), None) for x in lines]
+        left = [x for x, s in zip(lines, first) if s is None]
+        marked = any(x.inside for x in left)
+        weight = sum(x.weight for x in left)
+        held: dict[int, list[Line]] = {}
+        doubtful = {}
+        for x, s in zip(lines, first):
+            if s is not None and not s.settled:
+                doubtful[id(s)] = s
+                # What lies in further suspects says nothing for this one, unless they are doubtful themselves.
+                if not any(other.settled for other in x.suspects):
+                    held.setdefault(id(s), []).append(x)
+        wrappers = [k for k, s in doubtful.items() if s.marked and not marked]
+        if not wrappers and held:
+            largest = max(held, key=lambda k: sum(x.weight for x in held[k]))
+            if sum(x.weight for x in held[largest]) >= WRAPPER_SHARE * weight and _surges(held[largest], window, surge):
+                wrappers = [largest]
+        if not wrappers:
+            return left
+        cleared.update(wrappers)
+
+
+def _outside_link_runs(lines: list[Line], window: int) -> list[Line]:
+    """All lines but those in a window without text outside links; all lines if that is everything."""
+    kept, i = [], 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and not lines[j].weight:
+            j += 1
+        if j - i < window:
+            kept += lines[i:j]
+        kept += lines[j : j + 1]
+        i = j + 1
+    return kept or lines
+
+
 def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS, density: float = TEXT_DENSITY) -> str:
     """The kept blocks in page order, joined by an empty line; empty if there is no text."""
-    lines = [x for x in lines_of(page) if not x.dropped]
+    lines = without_boilerplate(lines_of(page), window, surge)
     if any(x.inside for x in lines):
         articles = any("article" in x.inside for x in lines)
-        lines = [x for x in lines if "article" in x.inside or x.inside and not (articles and x.linked >= len(x.text))]
-        kept = regions([len(x.text) for x in lines], 0, window)
-    else:
-        weights = [max(0, len(x.text) - x.linked) for x in lines]
-        # Short lines right before a surge belong to its text.
-        starts = [i for i, _ in regions(weights, surge, window)]
-        whole = regions(weights, 0, window)
-        kept = [(i, j) for i, j in whole if bisect_left(starts, i) < bisect_left(starts, j)] or whole
-        dense = [(i, j) for i, j in kept if sum(weights[i:j]) >= density * sum(len(x.text) for x in lines[i:j])]
-        # A heading right before a region belongs to it.
-        kept = [(i - 1 if i and lines[i - 1].heading else i, j) for i, j in dense or kept]
-    return "\n\n".join(x.text for i, j in kept for x in lines[i:j])
+        marked = [x for x in lines if "article" in x.inside or x.inside and not (articles and x.linked >= len(x.text))]
+        beside = [x for x in lines if not x.inside]
+        if sum(x.weight for x in beside) < WRAPPER_SHARE * sum(x.weight for x in marked) or not _surges(beside, window, surge):
+            return "\n\n".join(x.text for x in _outside_link_runs(marked, window))
+    weights = [x.weight for x in lines]
+    # Short lines right before a surge belong to its text.
+    starts = [i for i, _ in regions(weights, surge, window)]
+    whole = regions(weights, 0, window)
+    kept = [(i, j) for i, j in whole if bisect_left(starts, i) < bisect_left(starts, j)] or whole
+    dense = [(i, j) for i, j in kept if sum(weights[i:j]) >= density * sum(len(x.text) for x in lines[i:j])]
+    # A heading right before a region belongs to it.
+    kept = [(i - 1 if i and lines[i - 1].heading else i, j) for i, j in dense or kept]
+    # A page of nothing but links has these as its text.
+    return "\n\n".join(x.text for i, j in kept or [(0, len(lines))] for x in lines[i:j])
 
 
 def extract_pages(
