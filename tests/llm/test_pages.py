@@ -4,9 +4,11 @@ import datetime
 import html
 import random
 import re
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from forecourt.llm import html_text, oracle, registry, url_lists
@@ -54,6 +56,67 @@ def test_page_shapes(spark):
     assert html_text.extract_pages(frame.where("false")).collect() == []
 
 
+BODY = "<p>" + "long enough " * 15 + "<p>" + "to be a text " * 12
+WRAPPERS = [
+    '<div class="page with-sidebar"><article>{}</article></div>',
+    '<div class="content has-sidebar">{}</div><div class="sidebar">side</div>',
+    '<div id="layout-menu-left">{}</div>',
+    "<form action=x>{}</form>",
+    "<nav><ul><li><a href=1>Home</a></ul>{}",
+    "<div>{}</div><article><p>one teaser</article>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_no_page_is_lost_to_its_wrapper(wrapper):
+    body = " ".join(["long enough"] * 15) + "\n\n" + " ".join(["to be a text"] * 12)
+    assert body in html_text.main_text(wrapper.format(BODY))
+
+
+def test_pages_in_random_wrappers():
+    rng = random.Random(11)
+    layout = ["with-sidebar", "has-menu", "no-nav", "menu-left", "page-widgets", "ad-free", "site"]
+    for _ in range(300):
+        paragraphs = [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(30, 80))) for _ in range(rng.randrange(2, 6))]
+        page = "".join(f"<p>{p}</p>" for p in paragraphs)
+        marked = rng.random() < 0.5
+        page = f"<article>{page}</article>" if marked else page
+        for _ in range(rng.randrange(4)):
+            tag = rng.choice(["div", "form", "section"])
+            page = f'<{tag} class="{rng.choice(layout)}">{page}</{tag}>' if tag != "form" else f"<form>{page}</form>"
+        before = rng.choice(["", "<nav><a href=1>Home</a> <a href=2>Contact</a></nav>", '<div class="menu"><a href=1>x</a></div>'])
+        after = rng.choice(["", "<footer>imprint</footer>", '<div class="comments"><p>' + "bad words " * 300 + "</div>", "<aside>more</aside>"])
+        teaser = "" if marked else rng.choice(["", "<article><p>teaser</article>"])
+        found = html_text.main_text(f"<body>{before}{page}{teaser}{after}</body>")
+        assert "\n\n".join(paragraphs) in found and "bad words" not in found and "Home" not in found and "imprint" not in found
+
+
+def test_windows_of_links_are_left_out_of_marked_text():
+    links = "".join(f"<li><a href={i}>more of {i}</a>" for i in range(4))
+    page = f"<article><p>{'one ' * 30}<ul>{links}</ul><p>{'two ' * 30}<p><a href=1>source</a></article>"
+    assert html_text.main_text(page) == "\n\n".join([" ".join(["one"] * 30), " ".join(["two"] * 30), "source"])
+    assert html_text.main_text(f"<article><ul>{links}</ul></article>").split("\n\n") == [f"more of {i}" for i in range(4)]
+    assert html_text.main_text("<p><a href=1>only links</a>") == "only links"
+
+
+def test_repeated_pages_give_equal_rows(spark):
+    frame = spark.createDataFrame([(1, "u", "<p>a")] * 3 + [(None, None, None)] * 2, "page_id int, url string, html string")
+    rows = html_text.extract_pages(frame).collect()
+    assert sorted(r.text for r in rows) == ["", "", "a", "a", "a"]
+
+
+def test_very_long_urls(spark):
+    long = "https://" + "a." * 3000 + "example.com/" + "p/" * 500_000
+    captures = spark.createDataFrame([(1, long), (2, "https://example.com/p/p/q")], "page_id int, url string")
+    captures = captures.withColumn("fetched_on", F.lit("2024-05-01").cast("date"))
+    changes = spark.createDataFrame(
+        [("example.com", "add", "2024-01-01"), ("example.com/p/p/", "add", "2024-01-01")], "entry string, action string, day string"
+    )
+    started = time.perf_counter()
+    found = {r.page_id: (r.n_active, r.entry) for r in url_lists.filter_captures(captures, changes).collect()}
+    assert found == {1: (1, "example.com"), 2: (2, "example.com/p/p/")} and time.perf_counter() - started < 30
+
+
 def test_interrupted_text_without_markers():
     rng = random.Random(7)
     for _ in range(200):
@@ -149,7 +212,7 @@ def test_entries_active_at_fetch_time(spark, changes):
 @pytest.fixture(scope="module")
 def views(testdata):
     connection = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{testdata}/{table}.parquet'")
     return connection
 

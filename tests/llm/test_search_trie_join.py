@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -80,9 +81,7 @@ def test_components_of_near_copies(spark, percent, sketch_bits):
     assert [found[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
 
 
-def test_groups_are_bounded():
-    import pyarrow as pa
-
+def test_groups_are_bounded(monkeypatch):
     class Context:
         @staticmethod
         def get():
@@ -92,19 +91,21 @@ def test_groups_are_bounded():
         def partitionId():
             return 3
 
-    sizes = [10] * 200 + [jaccard_join.GROUP_TOKENS * 3] + [30_000] * 5
-    batches = [pa.RecordBatch.from_pydict({"n": sizes[i : i + 37]}) for i in range(0, len(sizes), 37)]
-    known, jaccard_join.TaskContext = jaccard_join.TaskContext, Context
-    try:
-        rows = pa.Table.from_batches(list(jaccard_join._grouped(iter(batches)))).to_pylist()
-    finally:
-        jaccard_join.TaskContext = known
-    groups = defaultdict(list)
-    for r in rows:
-        assert r["slot"] == len(groups[r["group"]])
-        groups[r["group"]].append(r["n"])
-    for held in groups.values():
-        assert len(held) <= jaccard_join.GROUP_SETS and (len(held) == 1 or sum(held) <= jaccard_join.GROUP_TOKENS)
+    monkeypatch.setattr(jaccard_join, "TaskContext", Context)
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 4000)
+    rng = np.random.default_rng(1)
+    sizes = [10] * 200 + [9000] + [1500] * 5
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in sizes]
+    rows = [{"key": jaccard_join.set_key(s), "tokens": s.astype("<u8").tobytes()} for s in sets for _ in range(2)]
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 37]) for i in range(0, len(rows), 37)]
+    sketch = np.zeros(1 << 8, dtype=np.uint32)
+    packed = [r for b in jaccard_join._groups(90, sketch, 8)(iter(batches)) for r in b.to_pylist()]
+    assert [k for r in packed for k in r["keys"]] == [r["key"] for r in rows[::2]]
+    assert len({r["group"] for r in packed}) == len(packed)
+    for r in packed:
+        held = [len(b) // 8 for b in r["sets"]]
+        assert len(held) <= jaccard_join.GROUP_SETS and (len(held) == 1 or sum(held) <= 4000)
+        assert (r["least"], r["most"]) == (min(held), max(held)) and not r["a"]
 
 
 def test_join_of_odd_rows(odd_documents, no_documents):
