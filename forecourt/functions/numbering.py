@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forecourt.functions.lineage import pin
+
 # Ids are read as digits of these widths, the lowest first; what is left on top has 16 bits.  No window below ever sees
 # more than 2**13 distinct ids or 2**17 counts, however many rows the group has.
 DIGIT_BITS = (13, 17, 17)
@@ -62,6 +64,22 @@ def number_rows_by_hash(df: DataFrame, keys: Sequence[str], name: str = "row_no"
     )
 
 
+def number_in_order(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> DataFrame:
+    """Add `name` = 1, 2, 3, ... in any order: rows are sorted in ranges, and a range starts after the rows before it.
+
+    The sorted rows are stored once (`functions.lineage.pin`), so that numbers and rows belong together.  Equal rows of the
+    order stay in one range: end it with columns that tell rows apart.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = pin(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    # The upper bits are the range, the lower 33 the place in it.
+    placed = placed.withColumn("_block", F.shiftright("_at", 33))
+    counts = placed.groupBy("_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = _running_total(counts, [], "_block", "_before").select("_block", (F.col("_before") - F.col("_first")).alias("_shift"))
+    numbered = placed.join(starts, "_block").withColumn(name, (F.col("_at") + F.col("_shift") + 1).cast("bigint"))
+    return numbered.drop("_at", "_block", "_shift")
+
+
 def _running_total(counts: DataFrame, group: Sequence[str], order: str, name: str) -> DataFrame:
     """Sum of `_n` over the earlier rows of the group, excluding the row itself."""
     partition: list[str | Column] = list(group) or [F.lit(0)]

@@ -56,7 +56,8 @@ ID = "submission_id"
 def _judge_ids(df: DataFrame) -> DataFrame:
     """Reject submissions without an id and those that share one."""
     shared = df.where(F.col(ID).isNotNull()).groupBy(ID).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    marked = df.join(shared.select(ID, F.lit(True).alias("_shared")), ID, "left")
+    # Straight from a shuffle, like the submissions, so that adaptive execution can cut an id, or none, that many have.
+    marked = df.join(shared.select(ID, F.lit(True).alias("_shared")).repartition(ID), ID, "left")
     marked = _add_reason(marked, "missing_submission_id", F.col(ID).isNull())
     return _add_reason(marked, "repeated_submission_id", F.col("_shared").isNotNull()).drop("_shared")
 
@@ -184,17 +185,25 @@ def _of_batch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "vin", "left_semi")
 
 
-def _order_counts(tables: Tables, wanted: DataFrame) -> DataFrame:
-    """(vin, _existing, _taken): orders a vehicle has, and the first number beyond that count already in use."""
-    existing = _of_batch(tables.parts_order, wanted).groupBy("vin").agg(F.count(F.lit(1)).alias("_existing"))
+def _read_apart(orders: DataFrame) -> DataFrame:
+    """(vin, _seq) of the order numbers that have the usual form."""
     shape = r"^(.*)-(\d+)$"
-    used = tables.parts_order.select(
+    used = orders.select(
         "order_number",
         F.regexp_extract("order_number", shape, 1).alias("vin"),
         F.regexp_extract("order_number", shape, 2).try_cast("bigint").alias("_seq"),
     )
-    used = used.where(F.col("order_number") == order_number(F.col("vin"), F.col("_seq"))).select("vin", "_seq")
-    used = _of_batch(used, wanted)
+    return used.where(F.col("order_number") == order_number(F.col("vin"), F.col("_seq"))).select("vin", "_seq")
+
+
+def _order_counts(tables: Tables, wanted: DataFrame) -> DataFrame:
+    """(vin, _existing, _taken): orders a vehicle has, and the first number beyond that count already in use."""
+    orders = tables.parts_order.select("vin", "order_number")
+    of_batch = _of_batch(orders, wanted)
+    existing = of_batch.groupBy("vin").agg(F.count(F.lit(1)).alias("_existing"))
+    # Nearly every number begins with its order's own VIN; only of the others are all read apart.
+    own = F.startswith("order_number", F.concat("vin", F.lit("-")))
+    used = _read_apart(of_batch.where(own)).unionByName(_of_batch(_read_apart(orders.where(~own)), wanted))
     beyond = lookup(used, existing, "vin", "_seq").where(F.col("_seq") > F.coalesce("_existing", F.lit(0)))
     return existing.join(beyond.groupBy("vin").agg(F.min("_seq").alias("_taken")), "vin", "full")
 
@@ -234,7 +243,7 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
 
     # Only ids and VINs are numbered; refused rows have no number.
     numbers = number_rows(judged.where(_fine()).select(ID, "vin"), ID, ["vin"], "_n").select(ID, "_n")
-    numbered = judged.join(numbers, ID, "left")
+    numbered = judged.join(numbers.repartition(ID), ID, "left")
     sequence = F.coalesce("_existing", F.lit(0)) + F.col("_n")
     numbered = numbered.withColumn("order_number", order_number(F.col("vin"), sequence))
     numbered = _add_reason(numbered, "order_number_exists", F.coalesce(sequence >= F.col("_taken"), F.lit(False)))
@@ -341,6 +350,9 @@ def apply_sales(
     current = tables.with_tables(
         **{name: _of_batch(tables[name], wanted) for name in ("vehicle", "sale", "purchase", "parts_order")}
     )
+    # Of the part lines, those of the batch's orders alone.
+    orders = keys_of(current.parts_order, "order_number")
+    current = current.with_tables(part=tables.part.join(orders, "order_number", "left_semi"))
     facts = mark(keys_of(current.vehicle, "vin"), keys_of(current.sale, "vin"), "vin", "_sold")
     facts = mark(facts, pending_vins(current), "vin", "_waiting").join(sale_prices(current), "vin", "left")
     judged = lookup(judged, facts, "vin", ID, submissions)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.money import currency
+from forecourt.functions.numbering import number_in_order
 from forecourt.operators.lookups import PURCHASE_CONTACT_LABELS, SALE_CONTACT_LABELS
 
 
@@ -116,14 +117,15 @@ VIEWS: dict[str, View] = {
 def display(df: DataFrame, view: str, limit: int | None = None, place: str | None = None) -> DataFrame:
     """Sort, title and format an operator's result for people; `limit` shows only the first rows of the sort.
 
-    `place` names a first column with each row's place in the sort.  It is meant for reports of few rows: one task
-    numbers them.
+    `place` names a first column with each row's place in the sort; rows that the sort leaves equal are ordered by their
+    other columns.  Rows are numbered in ranges, whatever their number.
     """
     spec = VIEWS[view]
     order = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in spec.order]
     shown = []
     if place:
-        df = df.withColumn("_place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+        named = {c.removeprefix("-") for c in spec.order}
+        df = number_in_order(df, [*order, *[F.col(c).asc() for c in df.columns if c not in named]], "_place")
         shown.append(F.col("_place").alias(place))
         order = [F.col("_place")]
     if order:

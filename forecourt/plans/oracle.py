@@ -872,6 +872,13 @@ def _faulty_loads() -> dict[str, str]:
         ),
         "ingest_faulty_vehicles": _with(_RAW_VEHICLES, f"SELECT {vehicle} FROM judged_w WHERE reasons IS NULL"),
         "ingest_vehicles_rejects": _with(_RAW_VEHICLES, "SELECT vin, reasons FROM judged_w WHERE reasons IS NOT NULL"),
+        "ordered_search": "SELECT row_number() OVER (ORDER BY vin) AS place, vin FROM listing WHERE " + _SELLABLE,
+        "ordered_seller_history": "SELECT row_number() OVER (ORDER BY total_vehicles_sold DESC, avg_purchase_price NULLS FIRST, "
+        f"seller_name) AS place, seller_name FROM ({_SELLERS})",
+        "ordered_parts_statistics": "SELECT row_number() OVER (ORDER BY total_amount_spent DESC, vendor_name) AS place, "
+        f"vendor_name FROM ({_queries()['parts_statistics']})",
+        "ordered_monthly_sales_drilldown": "SELECT row_number() OVER (ORDER BY vehicles_sold DESC, total_sales DESC, "
+        f"first_name, last_name) AS place, first_name, last_name FROM ({_queries()['monthly_sales_drilldown_month']})",
         "collated_search": _listing(_MANAGER, "vehicle_type = 'SUV' AND fuel_type = 'Hybrid'"),
         "collated_distinct_makers": "SELECT DISTINCT manufacturer_name FROM d_vehicle",
         "ingest_faulty_parts": _with(_RAW_PARTS, f"SELECT {_WANTED_PART} FROM judged_p WHERE reasons = ''"),

@@ -16,7 +16,7 @@ from forecourt import schema
 from forecourt.functions.lineage import new_folder
 from forecourt.operators import batches, ingest, inventory, lookups, quality, reports, vehicles
 from forecourt.operators.collation import respelled
-from forecourt.operators.display import display
+from forecourt.operators.display import VIEWS, display
 from forecourt.plans import dealership_view as view
 from forecourt.sources import partitioned, trigrams
 from forecourt.tables import Tables
@@ -163,6 +163,13 @@ def _search_in_blocks(keyword: str) -> Query:
     return run
 
 
+def _placed(df: DataFrame, shown: str, *columns: str) -> DataFrame:
+    """The place of each row of a view, with the columns that name the row."""
+    titles = VIEWS[shown].titles
+    found = display(df, shown, place="place")
+    return found.select("place", *[F.col(f"`{titles[c]}`").alias(c) for c in columns])
+
+
 def _invalid(df: DataFrame) -> DataFrame:
     return df.select("submission_id", "reasons")
 
@@ -363,6 +370,19 @@ def queries() -> dict[str, Query]:
             lambda t: display(reports.avg_inventory_time(t), "avg_inventory_time", place="place")
         ),
     }
+    # The order of long reports, as each row's place in it
+    found |= {
+        "ordered_search": _on_tables(lambda t: _placed(vehicles.search_vehicles(t, "Public"), "search", "vin")),
+        "ordered_seller_history": _on_tables(
+            lambda t: _placed(reports.seller_history(t), "seller_history", "seller_name")
+        ),
+        "ordered_parts_statistics": _on_tables(
+            lambda t: _placed(reports.parts_statistics(t), "parts_statistics", "vendor_name")
+        ),
+        "ordered_monthly_sales_drilldown": _on_tables(
+            lambda t: _placed(reports.monthly_sales_drilldown(t, *MONTH), "monthly_sales_drilldown", "first_name", "last_name")
+        ),
+    }
     # Keys in capitals, small letters and with accents: the same answers as if they were spelled alike
     found |= {
         "collated_search": _on_other_spellings(lambda t: vehicles.search_vehicles(t, "Manager", vehicle_type="Súv", fuel_type="hybrid")),
