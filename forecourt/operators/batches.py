@@ -56,8 +56,9 @@ ID = "submission_id"
 def _judge_ids(df: DataFrame) -> DataFrame:
     """Reject submissions without an id and those that share one."""
     shared = df.where(F.col(ID).isNotNull()).groupBy(ID).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    # Straight from a shuffle, like the submissions, so that adaptive execution can cut an id, or none, that many have.
-    marked = df.join(shared.select(ID, F.lit(True).alias("_shared")).repartition(ID), ID, "left")
+    # An id, or none, that very many submissions have is cut by the rest of the row.
+    rest = [c for c in df.columns if c not in (ID, "reasons")]
+    marked = lookup(df, shared.select(ID, F.lit(True).alias("_shared")), ID, rest)
     marked = _add_reason(marked, "missing_submission_id", F.col(ID).isNull())
     return _add_reason(marked, "repeated_submission_id", F.col("_shared").isNotNull()).drop("_shared")
 
@@ -243,7 +244,9 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
 
     # Only ids and VINs are numbered; refused rows have no number.
     numbers = number_rows(judged.where(_fine()).select(ID, "vin"), ID, ["vin"], "_n").select(ID, "_n")
-    numbered = judged.join(numbers.repartition(ID), ID, "left")
+    # Ids of accepted submissions are unique; the others, among them those without an id, take no part in the join.
+    refused = judged.where(~_fine()).withColumn("_n", F.lit(None).cast("bigint"))
+    numbered = judged.where(_fine()).join(numbers, ID).unionByName(refused)
     sequence = F.coalesce("_existing", F.lit(0)) + F.col("_n")
     numbered = numbered.withColumn("order_number", order_number(F.col("vin"), sequence))
     numbered = _add_reason(numbered, "order_number_exists", F.coalesce(sequence >= F.col("_taken"), F.lit(False)))
