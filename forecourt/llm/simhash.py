@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
 from forecourt.llm.components import connected
-from forecourt.llm.frames import col, join_same, pin, text_of, whole_row
+from forecourt.llm.frames import col, pin, text_of, whole_row
 
 BITS = 64
 SEED = 42
@@ -144,9 +144,7 @@ def near_duplicates(
         )
     )
     distinct = pin(prints.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    links = pin(link_fingerprints(distinct.select("fp"), max_bits, segments, bucket_limit))
-    roots = connected(links).withColumnRenamed("vertex", "fp")
-    classed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classed = _with_roots(distinct, max_bits, segments, bucket_limit)
     lowest = classed.groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = lookup(classed.drop("lowest"), lowest, "root", "fp", how="inner").select("fp", "component_id")
     return lookup(prints, named, "fp", "doc_id", how="inner").select(
@@ -154,9 +152,34 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component, all columns; rows that share that id stay together."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    rows = docs.select(whole_row(docs).alias("row"), col(id_col).alias("doc_id"))
-    return join_same(rows, stays, ["doc_id"], "left_semi").select("row.*")
+def _with_roots(distinct: DataFrame, max_bits: int, segments: int, bucket_limit: int) -> DataFrame:
+    """`distinct` (one row per `fp`) with the root of its component."""
+    links = pin(link_fingerprints(distinct.select("fp"), max_bits, segments, bucket_limit))
+    roots = connected(links).withColumnRenamed("vertex", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 3,
+    max_bits: int = 2,
+    segments: int = 8,
+    bucket_limit: int = BUCKET_LIMIT,
+) -> DataFrame:
+    """One document of each component, all columns: the one with the smallest id, a NULL id last.
+
+    Rows that share that id are told apart by fingerprint and a 128-bit hash of id and text; of rows equal in both one
+    stays.
+    """
+    text = text_of(text_col)
+    key = [F.xxhash64(col(id_col), text).alias("key"), F.xxhash64(text, F.lit(1), col(id_col)).alias("other")]
+    prints = pin(docs.select(col(id_col).alias("doc_id"), fingerprint_column(text, shingle_words).alias("fp"), *key))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "key", "other")
+    distinct = pin(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    best = _with_roots(distinct, max_bits, segments, bucket_limit).groupBy("root").agg(F.min("first").alias("first"))
+    stays = best.select(F.col("first.key").alias("key"), F.col("first.other").alias("other"))
+    left = docs.select(whole_row(docs).alias("row"), *key).join(stays, ["key", "other"], "left_semi")
+    # Equal rows lie in one partition already.
+    return left.groupBy("key", "other").agg(F.first("row").alias("row")).select("row.*")
