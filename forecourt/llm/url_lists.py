@@ -22,16 +22,23 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def entry_keys(url: Column) -> Column:
-    """Every entry that would match the URL: its host, the host's parent domains, and its host with each path prefix."""
-    labels = F.split(host_of(url), r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    parts = F.split(F.regexp_extract(url, PATH, 1), "/")
-    m = F.size(parts)
+def entry_keys(url: Column, labels: Column | int, parts: Column | int) -> Column:
+    """Every entry that may match the URL: its host, the host's parent domains, and its host with each path prefix.
+
+    Domains of more than `labels` labels and prefixes of more than `parts` path parts are left out: given the most that any
+    entry has, a very long URL costs no more than the longest entry.
+    """
+    labels, parts = (F.lit(x) if isinstance(x, int) else x for x in (labels, parts))
+    names = F.split(host_of(url), r"\.")
+    n = F.size(names)
+    last = F.least(n, F.greatest(labels, F.lit(1)))
+    domains = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(names, n - i + 1, i), "."))
+    # The last part holds the whole rest of the path.
+    steps = F.split(F.regexp_extract(url, PATH, 1), "/")
+    most = F.least(F.size(steps), F.greatest(parts, F.lit(1)))
     prefixes = F.transform(
-        F.sequence(F.lit(1), m),
-        lambda i: F.concat(host_of(url), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
+        F.sequence(F.lit(1), most),
+        lambda i: F.concat(host_of(url), F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")),
     )
     return F.when(host_of(url) != "", F.array_distinct(F.concat(domains, prefixes))).otherwise(F.array())
 
@@ -74,12 +81,19 @@ def filter_captures(
     seen = captures.select(
         col(id_col).alias("page_id"), col(url_col).alias("url"), col(fetched_col).cast("date").alias("fetched_on")
     )
-    asked = seen.select("*", F.explode(entry_keys(F.col("url"))).alias("entry"))
+    intervals = validity_intervals(changes)
+    is_prefix = F.contains("entry", F.lit("/"))
+    longest = intervals.agg(
+        F.max(F.when(~is_prefix, F.size(F.split("entry", r"\.")))).alias("labels"),
+        F.max(F.when(is_prefix, F.size(F.split("entry", "/")))).alias("parts"),
+    ).first()
+    asked = seen.select(
+        "*", F.explode(entry_keys(F.col("url"), longest["labels"] or 0, longest["parts"] or 0)).alias("entry")
+    )
     # An entry's intervals are disjoint and at most one per day: one bounded row per entry, so that a hot entry's
     # captures can be spread over tasks by `lookup`.
     dated = (
-        validity_intervals(changes)
-        .groupBy("entry")
+        intervals.groupBy("entry")
         .agg(F.collect_list(F.struct("active_from", "active_to")).alias("active"))
     )
     matched = lookup(asked, dated, "entry", ["page_id", "url", "fetched_on"], how="inner").where(
