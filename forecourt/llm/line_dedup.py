@@ -40,10 +40,10 @@ def remove_site_lines(
         col(id_col).alias("doc_id"),
         _host(host_col).alias("host"),
         text_of(text_col).alias("text"),
-    )
+    ).withColumn("text_hash", F.xxhash64("text"))
     # Each page gives a line once, so pages are counted without a distinct; counts combine before the shuffle.
     keys = F.array_distinct(line_keys(F.col("text")))
-    page_lines = rows.select("doc_id", "host", F.explode(keys).alias("line"))
+    page_lines = rows.select("doc_id", "host", "text_hash", F.explode(keys).alias("line"))
     pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     # Stored, because the join below reads it twice.
     counts = pin(page_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
@@ -54,11 +54,13 @@ def remove_site_lines(
     )
     # Both sides come straight from a shuffle, so adaptive execution can cut a hot line into pieces.
     hits = page_lines.join(frequent, ["host", "line"], "left_semi")
-    removed = hits.groupBy("doc_id", "host").agg(F.collect_set("line").alias("removed"))
+    # With the text's hash, rows that share an id, or have none, do not meet in one key.
+    page = ["doc_id", "host", "text_hash"]
+    removed = hits.groupBy(*page).agg(F.collect_set("line").alias("removed"))
 
     # Counted in the scan; only the removed lines, where there are any, are looked for again after the join.
     counted = rows.withColumn("n_lines", F.size(F.filter(clean_lines(F.col("text")), lambda x: x != "")).cast("bigint"))
-    joined = join_same(counted, removed, ["doc_id", "host"], "left")
+    joined = join_same(counted, removed, page, "left")
     gone = F.size(F.filter(line_keys(F.col("text")), lambda k: F.array_contains("removed", k)))
     return joined.select(
         "row",
