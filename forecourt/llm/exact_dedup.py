@@ -2,8 +2,9 @@
 
 Each level is computed only for rows whose key of the level before is shared.  What survived a level is told to the
 next scan by a bitmap of fixed size (`FILTER_BITS`), never by moving texts: the scan tests a bit and computes the
-costlier key only where it is set.  A bit set by another key costs one needless hash and changes no result.  Texts are
-never shuffled; rows of ids and keys are.
+costlier key only where it is set.  A bit set by another key costs one needless hash and changes no result; with many
+more shared keys than bits, every scan hashes every text once.  `duplicate_groups` shuffles ids and keys, no texts;
+`drop_exact_duplicates` shuffles whole rows once.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import col, join_same, pin, text_of, whole_row
+from forecourt.llm.frames import col, pin, text_of, whole_row
 
 PREFIX_CHARS = 256
 FILTER_BITS = 2**20
+REPEATED_AT_ONCE = 4096
 
 
 def _slot(keys: Sequence[Column], bits: int) -> Column:
@@ -62,9 +64,9 @@ def duplicate_groups(
     """One row per document: doc_id, keep_id, group_size, kept, n_bytes, prefix_hash, full_hash.
 
     Of equal texts the row with the largest id stays.  `full_hash` (SHA-256, hex) is NULL where length and prefix
-    already proved the text unique.  NULL text counts as empty.  Rows equal in id and text are one document entered
-    several times: one result row, all of them counted in `group_size`.  A NULL id loses against any other; copies
-    that all have a NULL id are one kept document.  An empty table gives no rows.  Other columns are not read.
+    already proved the text unique.  NULL text counts as empty.  Rows equal in id and text are documents of their own,
+    of which one at most is kept.  A NULL id loses against any other; of copies that all have a NULL id one is kept.  An
+    empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     length, prefix = _length(F.col("text")), _prefix(F.col("text"), prefix_chars)
@@ -86,15 +88,20 @@ def duplicate_groups(
         F.max("doc_id").alias("keep_id"), F.sum("_rows").alias("group_size")
     )
     key = ["n_bytes", "full_hash"]
-    judged = lookup(alike, groups, key, "doc_id", how="inner").drop("_rows")
+    judged = lookup(alike, groups, key, "doc_id", how="inner")
     single = keyed.where("full_hash IS NULL").select(
-        *key, "doc_id", "prefix_hash", F.col("doc_id").alias("keep_id"), F.col("_rows").alias("group_size")
+        *key, "doc_id", "prefix_hash", "_rows", F.col("doc_id").alias("keep_id"), F.col("_rows").alias("group_size")
     )
-    return judged.unionByName(single).select(
+    # Equal rows were counted; here each is a row again, in two steps so that no list is long.
+    block = F.lit(REPEATED_AT_ONCE)
+    each = judged.unionByName(single).withColumn("_block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_rows") / block) - 1)))
+    begin = F.col("_block") * block
+    each = each.withColumn("_copy", F.explode(F.sequence(begin, F.least(begin + block, F.col("_rows")) - 1)))
+    return each.select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 0)).alias("kept"),
         *["n_bytes", "prefix_hash", "full_hash"],
     )
 
@@ -109,14 +116,18 @@ def drop_exact_duplicates(
         .select("doc_id", "n_bytes", "prefix_hash")
     )
     text = text_of(text_col)
+    # 128 bits, never NULL, deal out both sides, and equal rows with them, so rows move once.
+    key = [
+        F.xxhash64("doc_id", "n_bytes", "prefix_hash").alias("key"),
+        F.xxhash64("prefix_hash", F.lit(1), "n_bytes", "doc_id").alias("other"),
+    ]
     rows = docs.select(
         whole_row(docs).alias("row"),
         col(id_col).alias("doc_id"),
         _length(text).alias("n_bytes"),
         _prefix(text, prefix_chars).alias("prefix_hash"),
         F.xxhash64(text).alias("text_hash"),
-    )
-    left = join_same(rows, stays, ["doc_id", "n_bytes", "prefix_hash"], "left_semi")
-    # Equal rows already lie in one partition, so this moves nothing.
-    one = left.groupBy("doc_id", "n_bytes", "prefix_hash", "text_hash").agg(F.first("row").alias("row"))
+    ).select("row", "text_hash", *key)
+    left = rows.join(stays.select(*key), ["key", "other"], "left_semi")
+    one = left.groupBy("key", "other", "text_hash").agg(F.first("row").alias("row"))
     return one.select("row.*")

@@ -100,7 +100,7 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     text = text_of("text")
-    # The digest of every text; rows equal in id and text are one document.
+    # The digest of every text; rows equal in id and text share one.
     texts = docs.select(
         F.col("doc_id").alias("id"),
         F.octet_length(text).cast("bigint").alias("bytes"),
