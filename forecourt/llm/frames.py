@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecourt.functions.lineage import shared_folder
+
 # The white space that separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -23,12 +25,6 @@ def text_of(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; where that is unset, a folder in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-
-
 def pin(df: DataFrame) -> DataFrame:
     """The stored copy of `df` on shared storage, so that a lost executor costs no recomputation of what came before."""
     context = df.sparkSession.sparkContext
