@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from forecourt.functions.lineage import delete_folder, new_folder, shared_folder
 from forecourt.llm import exact_dedup, packing, pii, quality, simhash
-from forecourt.llm.frames import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +44,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each is written to shared storage as Parquet and read again by the next."""
-    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each is written to shared storage as Parquet and read again by the next.
+
+    A stage's checkpoints lie in a folder of their own and go when it is written, and so does the result of the stage
+    before: what a finished pipeline leaves is its own result.
+    """
+    context, docs = spark.sparkContext, spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder, before, checkpoints = new_folder(spark, "corpus-pipeline"), None, context.getCheckpointDir()
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        context.setCheckpointDir(f"{path}-checkpoints")
+        try:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        finally:
+            delete_folder(spark, f"{path}-checkpoints")
+            context.setCheckpointDir(checkpoints or shared_folder(spark))
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
