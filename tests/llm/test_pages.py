@@ -2,6 +2,7 @@
 
 import datetime
 import html
+import os
 import random
 import re
 import time
@@ -250,3 +251,12 @@ def test_pipeline_stages(spark, testdata):
 def test_pipeline_on_an_empty_table(spark, tmp_path, testdata):
     registry.documents(spark, testdata).where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_finished_pipeline_leaves_only_its_result(spark, testdata):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    result = corpus_pipeline.run(spark, testdata)
+    new = [name for name in set(os.listdir(folder)) - before if name.startswith("corpus-pipeline")]
+    assert len(new) == 1 and os.listdir(os.path.join(folder, new[0])) == ["4-packing"]
+    assert result.count() > 0 and all("/4-packing/" in f for f in result.inputFiles())
