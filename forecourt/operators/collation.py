@@ -3,7 +3,7 @@
 Keys are stored as bytes, and joins, grouping and pushed filters on bytes are what Spark does fastest.  So the collation is
 applied once, to the tables, instead of in every comparison: `respelled` gives each key the spelling its parent table has,
 and then every operator, join and check of this library folds case and accents.  Comparison is by Spark's collation
-UNICODE_CI_AI, on distinct values only.
+UNICODE_CI_AI; printable ASCII values, where that is the same, by their small letters.
 """
 
 from __future__ import annotations
@@ -44,6 +44,28 @@ def _key_domains() -> tuple[tuple[tuple[str, str], ...], ...]:
 KEY_DOMAINS = _key_domains()
 
 
+def _printable(value: Column) -> Column:
+    """Only ASCII letters, digits, signs and spaces: under COLLATION such texts are equal when their small letters are."""
+    return ~value.rlike(r"[^\x20-\x7E]")
+
+
+def _class_keys(values: DataFrame, odd: DataFrame) -> DataFrame:
+    """`values` with `key`, equal for the spellings of one key: plain bytes, so grouping never calls the collation.
+
+    `odd` are the stored values with other letters than `_printable` ones.  The collation is asked for these and, if there
+    are any, once per other value; where there are none, small letters decide.
+    """
+    plain = values.where(_printable(F.col("value"))).withColumn("key", F.lower("value"))
+    if odd.isEmpty():
+        return plain
+    # The name of a class with odd spellings is one of these, which no printable key equals.
+    classes = odd.groupBy(collated(F.col("value")).alias("folded")).agg(F.min("value").alias("class"))
+    named = values.where(~_printable(F.col("value"))).join(classes, collated(F.col("value")) == F.col("folded"))
+    named = named.select(*values.columns, F.col("class").alias("key"))
+    plain = plain.join(classes, collated(F.col("value")) == F.col("folded"), "left")
+    return plain.select(*values.columns, F.coalesce("class", "key").alias("key")).unionByName(named)
+
+
 def other_spellings(tables: Tables, domain: tuple[tuple[str, str], ...]) -> DataFrame:
     """(value, spelling): the values of one domain that another spelling stands for, one row each.
 
@@ -54,13 +76,15 @@ def other_spellings(tables: Tables, domain: tuple[tuple[str, str], ...]) -> Data
         tables[table].select(F.col(column).alias("value"), F.lit(place == 0).alias("own"))
         for place, (table, column) in enumerate(domain)
     ]
-    values = reduce(DataFrame.unionByName, used).where(F.col("value").isNotNull()).groupBy("value").agg(F.max("own").alias("own"))
-    folded = collated(F.col("value")).alias("folded")
+    each = reduce(DataFrame.unionByName, used).where(F.col("value").isNotNull())
+    odd = pin(each.where(~_printable(F.col("value"))).select("value").distinct())
+    values = each.groupBy("value").agg(F.max("own").alias("own"))
+    keyed = _class_keys(values, odd)
     ascii_only = (F.octet_length("value") == F.char_length("value")).alias("ascii")
     best = F.max(F.struct("own", ascii_only, "value"))["value"].alias("spelling")
-    several = values.groupBy(folded).agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("folded", "spelling")
-    found = values.select("value", folded).join(several, "folded").where(F.col("value") != F.col("spelling"))
-    return found.select("value", "spelling")
+    spelled = keyed.groupBy("key").agg(best, F.collect_set("value").alias("_values")).where(F.size("_values") > 1)
+    found = spelled.select(F.explode("_values").alias("value"), "spelling")
+    return found.where(F.col("value") != F.col("spelling"))
 
 
 def respelled(tables: Tables) -> Tables:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from forecourt.functions.text import same_text
 from forecourt.operators import batches, ingest, quality, reports, vehicles
 from forecourt.operators.arbitration import reject_later_claims
-from forecourt.operators.collation import KEY_DOMAINS, respelled
+from forecourt.operators.collation import KEY_DOMAINS, collated, other_spellings, respelled
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,24 @@ def test_accepted_and_rejected_are_all(spark):
     assert sorted((r.vendor_name or "", r.reasons) for r in result.rejects.collect()) == [
         ("", ["missing_vendor_name"]), (" ", ["missing_vendor_name"]), ("n", ["repeated_vendor_name"]), ("n", ["repeated_vendor_name"])
     ]
+
+
+def test_classes_are_those_of_the_collation(spark):
+    """Letters outside ASCII, ligatures, signs without weight and control characters link what the collation links."""
+    texts = ["Strasse", "STRASSE", "straße", "Kia", "ｋia", "KÍA", "Ki­a", "a\tb", "A\tb", "a b", "①", "1", "", "\u0001", "ж", "Ж", "é", "É", "[", "{"]
+    makers = [{"vin": f"V{n}", "manufacturer_name": text} for n, text in enumerate(texts)]
+    tables = lot(spark, vehicle=makers, manufacturer=[{"manufacturer_name": "Kia"}])
+    domain = next(d for d in KEY_DOMAINS if d[0][0] == "manufacturer")
+    changes = dict(rows(other_spellings(tables, domain)))
+    values = spark.createDataFrame([(t,) for t in texts], "value string")
+    a, b = values.toDF("a"), values.toDF("b")
+    alike = {tuple(r) for r in a.join(b, collated(F.col("a")) == collated(F.col("b"))).collect()}
+    assert {(x, y) for x in texts for y in texts if changes.get(x, x) == changes.get(y, y)} == alike
+    assert changes["KÍA"] == "Kia" and "Kia" not in changes
+
+
+def test_printable_keys_are_grouped_without_the_collation(spark):
+    tables = lot(spark, vehicle=[{"vin": "V1"}, {"vin": "v1"}, {"vin": "V2"}])
+    found = other_spellings(tables, next(d for d in KEY_DOMAINS if d[0] == ("vehicle", "vin")))
+    assert "collat" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert rows(found) == [("V1", "v1")]
