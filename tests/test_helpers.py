@@ -57,6 +57,14 @@ def test_lookup_equals_plain_join(spark, how, salts):
     assert rows(found, *plain.columns) == rows(plain)
 
 
+def test_lookup_collects_no_set_per_key(spark):
+    many = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, None), (4, "c")], "id int, key string")
+    one = spark.createDataFrame([("a", 10), ("b", 20), (None, 30)], "key string, v int")
+    found = lookup(many, one, "key", "id")
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.v) for r in found.collect()) == [(1, 10), (2, 10), (2, 10), (3, None), (4, None)]
+
+
 def test_mark_rows_on_two_columns(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "x")], "id int, p string, q string")
     keys = spark.createDataFrame([("a", "x")], "p string, q string")
