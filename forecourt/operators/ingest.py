@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from forecourt import schema
 from forecourt.functions.joins import lookup
+from forecourt.functions.lineage import pin
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.text import blank_to_null, capitalised, is_blank
 from forecourt.operators.arbitration import mark_unknown, reject_later_claims, with_row
@@ -165,13 +166,14 @@ def resolve_customer_id(
 
 
 def ingest_vehicles(
-    tables: Tables, raw: DataFrame, *, sale_price_col: str = "price", line_no: str = LINE_NO
+    tables: Tables, raw: DataFrame, *, sale_price_col: str = "price", line_no: str = LINE_NO, pinned: bool = True
 ) -> Ingested:
     """One wide row to a vehicle, a purchase, its colors and, when it has a sale date, a sale.
 
     The sale price is read from the purchase price cell unless `sale_price_col` names another.  A row is rejected whole for
     an unknown seller, buyer, clerk, salesperson, vehicle type or manufacturer, a number or date that does not parse, or a
     VIN that an earlier row has (by `line_no`, else by contents; rows rejected for another reason claim no VIN).
+    The judged rows are stored once (`functions.lineage.pin`); with `pinned=False` everything stays lazy.
     """
     is_sale = ~is_blank(F.col("sale_date"))
     raw = with_row(raw, line_no)
@@ -207,8 +209,14 @@ def ingest_vehicles(
         rows = mark_unknown(rows, tables[parent], key, column, f"_{reason}")
         unknown = F.col(f"_{reason}")
         rules.append((reason, is_sale & unknown if column == "salesperson" else unknown))
-    # The reasons are built once: each step that added to them would be written out again in every filter on them.
-    rows = rows.withColumn("reasons", _reasons(rules))
+    # The reasons are built once: each step that added to them would be written out again in every filter on them.  The judged
+    # rows are stored once: the claims read them four times, each of which would look up both parties anew.
+    rows = rows.withColumn("reasons", _reasons(rules)).select(
+        "_row", "VIN", "vehicle_type", "manufacturer_name", "condition", "model_name", "_year", "fuel_type", "_horsepower",
+        "description", "seller_id", "purchase_clerk", "_paid", "_bought", "colors", "sale_date", "buyer_id", "salesperson",
+        "_earned", "_sold", "reasons",
+    )
+    rows = pin(rows) if pinned else rows
     fine, rejects = _split(reject_later_claims(rows, {"repeated_vin": F.col("VIN")}), F.col("VIN").alias("vin"))
     vehicle = fine.select(
         F.col("VIN").alias("vin"), "vehicle_type", "manufacturer_name", "condition", "model_name",

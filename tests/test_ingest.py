@@ -111,6 +111,27 @@ def test_vehicles_file(spark, tmp_path):
     }
 
 
+def test_vehicles_look_up_their_parties_once(spark):
+    cells = {c: "x" for c in ingest.RAW_COLUMNS["vehicles"]} | {
+        "VIN": "A", "vehicle_type": "SUV", "manufacturer_name": "Kia", "year": "2001", "horsepower": "100", "purchase_clerk": "u",
+        "purchased_from_customer": "012", "price": "1.50", "purchase_date": "2024-01-02", "colors": "Red", "sale_date": "",
+    }
+    # Repeated rows share their line number; a row without one claims its VIN, too, but nothing takes it from it.
+    raw = spark.createDataFrame(
+        [{**cells, "line_no": 2}, {**cells, "line_no": 2}, {**cells, "line_no": 3}, {**cells, "line_no": None, "VIN": "B"}],
+        ", ".join(f"{c} string" for c in cells) + ", line_no long",
+    )
+    t = lot(spark, individual_customer=[{"customer_id": 1, "social_security_number": "012"}], user=[{"username": "u"}])
+    result = ingest.ingest_vehicles(t, raw)
+    for frame in (*result.rows.values(), result.rejects):
+        assert "social_security_number" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    lazy = ingest.ingest_vehicles(t, raw, pinned=False)
+    for found in (result, lazy):
+        assert rows(found.rows["vehicle"], "vin") == [("A",), ("A",), ("B",)]
+        assert rows(found.rejects) == [("A", ["repeated_vin"])]
+
+
+
 def test_parts_file_first_line_names_the_vendor(spark, tmp_path):
     path = _tsv(
         tmp_path / "parts.tsv",
