@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forecourt import schema
 from forecourt.functions.joins import first_per_key, keys_of, lookup, mark, mark_rows
@@ -266,15 +267,32 @@ def apply_parts_orders(tables: Tables, submissions: DataFrame, *, pinned: bool =
 PART_KEY = ["order_number", "vendor_parts_number"]
 
 
+# Updates of one part whose seq agrees but for so many bits meet in one task before the others.
+SEQ_BLOCK_BITS = 12
+
+
+def _latest_status(updates: DataFrame) -> DataFrame:
+    """The part key and `_new`, the status of its last valid update: a maximum of (seq, status), which Spark sorts for.
+
+    The stage that makes the updates may hold very many in a task, so they are dealt out before they are sorted, in
+    `spark.sql.shuffle.partitions` pieces.  A part with very many updates is dealt out by blocks of seq, and what a block
+    leaves of it combines after that.
+    """
+    named = F.col("order_number").isNotNull() & F.col("vendor_parts_number").isNotNull()
+    valid = updates.where(F.col("new_status").isin(*schema.PART_STATUSES) & named)
+    whole = isinstance(updates.select("seq").schema[0].dataType, T.IntegralType)
+    block = F.shiftright(F.col("seq").cast("bigint"), SEQ_BLOCK_BITS) if whole else F.col("seq")
+    pieces = int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = valid.repartition(pieces, *PART_KEY, block)
+    return dealt.groupBy(*PART_KEY).agg(F.max(F.struct("seq", "new_status"))["new_status"].alias("_new"))
+
+
 def apply_status_updates(tables: Tables, updates: DataFrame) -> DataFrame:
     """Next snapshot of the part table: the last update of each part wins, whatever the move.
 
-    Columns of `updates`: order_number, vendor_parts_number, new_status, seq.  The latest update per part
-    is a maximum, so many updates of one part combine before the shuffle.
+    Columns of `updates`: order_number, vendor_parts_number, new_status, seq.
     """
-    valid = updates.where(F.col("new_status").isin(*schema.PART_STATUSES))
-    latest = valid.groupBy(*PART_KEY).agg(F.max(F.struct("seq", "new_status"))["new_status"].alias("_new"))
-    changed = tables.part.join(latest, PART_KEY, "left")
+    changed = tables.part.join(_latest_status(updates), PART_KEY, "left")
     return changed.withColumn("status", F.coalesce("_new", "status")).select(*schema.SCHEMAS["part"].names)
 
 

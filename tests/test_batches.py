@@ -216,6 +216,21 @@ def test_order_numbers_grow_past_999(spark):
 UPDATE = "order_number string, vendor_parts_number string, new_status string, seq int"
 
 
+@pytest.mark.parametrize("seq", ["int", "bigint", "decimal(9,1)", "string"])
+def test_updates_are_dealt_out_before_they_are_sorted(spark, base, seq):
+    many = spark.range(20_000).selectExpr(
+        "'BUSY-003' AS order_number", "'P1' AS vendor_parts_number",
+        "if(id = 17001, 'Received', 'Installed') AS new_status", f"cast(10000 + (id + 2998) % 20000 AS {seq}) AS seq",
+    )
+    nameless = [(None, "P1", "Installed", 1), ("BUSY-001", None, "Installed", 1), ("BUSY-003", "P1", "Installed", None)]
+    updates = many.union(spark.createDataFrame(nameless, UPDATE))
+    after = batches.apply_status_updates(base, updates)
+    assert rows(after, "order_number", "status") == [("BUSY-001", "Received"), ("BUSY-003", "Received")]
+    # A plan is printed from its result to its scans.
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert plan.rfind("REPARTITION_BY_NUM") > plan.rfind("SortAggregate") > 0
+
+
 def test_status_updates_last_one_wins(spark, base):
     updates = spark.createDataFrame(
         [
