@@ -4,46 +4,26 @@ Each level is computed only for rows whose key of the level before is shared.  W
 next scan by a bitmap of fixed size (`FILTER_BITS`), never by moving texts: the scan tests a bit and computes the
 costlier key only where it is set.  A bit set by another key costs one needless hash and changes no result; with many
 more shared keys than bits, every scan hashes every text once.  `duplicate_groups` shuffles ids and keys, no texts;
-`drop_exact_duplicates` shuffles whole rows once.
+`drop_exact_duplicates` shuffles whole rows once, and only those whose length and prefix another row may share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import col, pin, text_of, whole_row
+from forecourt.llm.frames import bitmap_of, col, is_set, pin, text_of, whole_row
 
 PREFIX_CHARS = 256
 FILTER_BITS = 2**20
 REPEATED_AT_ONCE = 4096
 
 
-def _slot(keys: Sequence[Column], bits: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(bits))
-
-
 def _shared(keys: DataFrame, bits: int) -> bytearray:
-    """Bitmap of the keys that more than one row has: `bits` bits whatever the number of rows."""
+    """Bitmap of the keys that more than one row has."""
     names = [F.col(c) for c in keys.columns]
-    shared = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    slot = shared.select(_slot(names, bits).alias("slot"))
-    words = slot.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("set")
-    )
-    bitmap = bytearray(bits // 8)
-    for word, value in words.collect():  # at most bits / 64 rows
-        bitmap[word * 8 : word * 8 + 8] = value.to_bytes(8, "little", signed=True)
-    return bitmap
-
-
-def _is_set(bitmap: bytearray, keys: Sequence[Column]) -> Column:
-    slot = _slot(keys, len(bitmap) * 8)
-    byte = F.substr(F.lit(bitmap), F.shiftright(slot, 3).cast("int") + 1, F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(slot, F.lit(8)).cast("int")) == 1
+    return bitmap_of(keys.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names), bits)
 
 
 def _length(text: Column) -> Column:
@@ -54,6 +34,15 @@ def _prefix(text: Column, prefix_chars: int) -> Column:
     return F.xxhash64(F.substring(text, 1, prefix_chars))
 
 
+def _suspected(rows: DataFrame, prefix_chars: int, filter_bits: int) -> Column:
+    """May another row have the same text?  False proves that none has."""
+    length, prefix = _length(F.col("text")), _prefix(F.col("text"), prefix_chars)
+    same_length = _shared(rows.select(length.alias("n_bytes")), filter_bits)
+    survivors = rows.where(is_set(same_length, [length]))
+    same_prefix = _shared(survivors.select(length.alias("n_bytes"), prefix.alias("prefix_hash")), filter_bits)
+    return is_set(same_length, [length]) & is_set(same_prefix, [length, prefix])
+
+
 def duplicate_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -71,12 +60,7 @@ def duplicate_groups(
     rows = docs.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     length, prefix = _length(F.col("text")), _prefix(F.col("text"), prefix_chars)
 
-    same_length = _shared(rows.select(length.alias("n_bytes")), filter_bits)
-    survivors = rows.where(_is_set(same_length, [length]))
-    same_prefix = _shared(survivors.select(length.alias("n_bytes"), prefix.alias("prefix_hash")), filter_bits)
-    full = F.when(
-        _is_set(same_length, [length]) & _is_set(same_prefix, [length, prefix]), F.sha2(F.col("text"), 256)
-    )
+    full = F.when(_suspected(rows, prefix_chars, filter_bits), F.sha2(F.col("text"), 256))
     keyed = pin(
         rows.select("doc_id", length.alias("n_bytes"), prefix.alias("prefix_hash"), full.alias("full_hash"))
         .groupBy("doc_id", "n_bytes", "prefix_hash", "full_hash")
@@ -107,27 +91,20 @@ def duplicate_groups(
 
 
 def drop_exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    prefix_chars: int = PREFIX_CHARS,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """The kept documents with all their columns; of rows equal in id and text one stays."""
-    stays = (
-        duplicate_groups(docs, id_col, text_col, prefix_chars)
-        .where("kept")
-        .select("doc_id", "n_bytes", "prefix_hash")
-    )
-    text = text_of(text_col)
-    # 128 bits, never NULL, deal out both sides, and equal rows with them, so rows move once.
-    key = [
-        F.xxhash64("doc_id", "n_bytes", "prefix_hash").alias("key"),
-        F.xxhash64("prefix_hash", F.lit(1), "n_bytes", "doc_id").alias("other"),
-    ]
-    rows = docs.select(
-        whole_row(docs).alias("row"),
-        col(id_col).alias("doc_id"),
-        _length(text).alias("n_bytes"),
-        _prefix(text, prefix_chars).alias("prefix_hash"),
-        F.xxhash64(text).alias("text_hash"),
-    ).select("row", "text_hash", *key)
-    left = rows.join(stays.select(*key), ["key", "other"], "left_semi")
-    one = left.groupBy("key", "other", "text_hash").agg(F.first("row").alias("row"))
-    return one.select("row.*")
+    rows = docs.select(whole_row(docs).alias("row"), col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    suspected = _suspected(rows.select("text"), prefix_chars, filter_bits)
+    alone = rows.where(~suspected).select("row.*")
+    # The others are dealt out by 128 bits, never NULL, of id and text, and equal rows with them, so rows move once.
+    keyed = rows.where(suspected).select("row", "doc_id", F.sha2("text", 256).alias("full_hash"))
+    stays = keyed.groupBy("full_hash").agg(F.max("doc_id").alias("doc_id"))
+    key = [F.xxhash64("doc_id", "full_hash").alias("key"), F.xxhash64("full_hash", F.lit(1), "doc_id").alias("other")]
+    left = keyed.select("row", *key).join(stays.select(*key), ["key", "other"], "left_semi")
+    one = left.groupBy("key", "other").agg(F.first("row").alias("row"))
+    return alone.union(one.select("row.*"))

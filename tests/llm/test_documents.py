@@ -184,6 +184,20 @@ def test_exact_groups(odd_documents):
     assert len(kept) == len({r.text or "" for r in odd_documents.collect()})
 
 
+def test_only_rows_that_may_have_copies_are_moved(spark):
+    rows = [(i, "x" * (i + 1), i) for i in range(50)] + [(60, "x" * 9, 60), (60, "x" * 9, 60), (None, "x" * 9, 61), (None, None, 62)]
+    # Equal in id, length and prefix: of the second text, the copy with the larger id stays.
+    rows += [(70, "y" * 300 + "a", 70), (70, "y" * 300 + "b", 71), (71, "y" * 300 + "b", 72)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, n int")
+    for bits in (64, exact_dedup.FILTER_BITS):
+        left = exact_dedup.drop_exact_duplicates(frame, filter_bits=bits)
+        assert left.columns == frame.columns
+        assert sorted(r.n for r in left.collect()) == [*range(8), *range(9, 50), 60, 62, 70, 72]
+    # The rows without a copy come straight from the scan.
+    alone, moved = left._jdf.queryExecution().optimizedPlan().children().apply(0), left._jdf.queryExecution().optimizedPlan().children().apply(1)
+    assert "Aggregate" not in alone.toString() and "Join" not in alone.toString() and "Aggregate" in moved.toString()
+
+
 def test_many_equal_rows_are_many_rows(spark):
     frame = spark.range(10_000).selectExpr("1L AS doc_id", "'the same' AS text")
     rows = exact_dedup.duplicate_groups(frame).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
