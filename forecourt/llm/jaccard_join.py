@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from forecourt.functions.joins import lookup
 from forecourt.functions.lineage import pin as store
 from forecourt.llm.components import connected
-from forecourt.llm.frames import col, pin, text_of
+from forecourt.llm.frames import bitmap_of, col, is_set, pin, text_of
 
 SHINGLE_WORDS = 3
 PERCENT = 90
@@ -45,6 +45,8 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 # Flags of the sets whose tokens are needed in full; with more sets than flags, others come along and are dropped.
 LIVE_BITS = 22
+# Flags of the groups whose sets are moved; with more groups than flags, others come along and are dropped.
+GROUP_BITS = 2**16
 # Live sets that the ranges are cut by, and keys of sets given that a task remembers.
 SAMPLE = 8192
 REMEMBERED = 1 << 18
@@ -342,7 +344,8 @@ def _live(summaries: DataFrame, percent: int) -> DataFrame:
     distinct = summaries.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     chosen = pin(distinct.select(F.monotonically_increasing_id().alias("row"), "key", "n", "prefix"))
     tokens = chosen.select("row", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
+    # A prefix has a token once.
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # Stored, so that both sides come straight from a shuffle and adaptive execution can cut a token that very many
     # prefixes have.
     held = tokens.join(pin(shared.select("token")), "token").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
@@ -406,7 +409,9 @@ def similar_sets(
     load = F.aggregate(F.transform("slots", lambda i: F.get("sizes", i)), F.lit(0).cast("bigint"), lambda a, n: a + n)
     proposed = pin(proposed.select("group_q", "group", "slots", load.alias("load")))
     chunks = store(proposed.groupBy("group").agg(F.ceil(F.sum("load") / QUERY_TOKENS).cast("int").alias("chunks")))
-    asking = packed.select(F.col("group").alias("group_q"), F.col("sets").alias("held"))
+    # Sets move only of groups that ask or are asked.
+    asks, asked_of = (is_set(bitmap_of(proposed.select(c), GROUP_BITS), [F.col("group")]) for c in ("group_q", "group"))
+    asking = packed.where(asks).select(F.col("group").alias("group_q"), F.col("sets").alias("held"))
     queries = (
         proposed.join(chunks, "group")
         .select("group", F.pmod(F.xxhash64("group_q"), F.col("chunks")).cast("int").alias("chunk"), "group_q", "slots")
@@ -415,7 +420,7 @@ def similar_sets(
                 F.transform("slots", lambda i: F.get("held", i)).alias("sets"))
     )
     targets = (
-        packed.select("group", "sets").join(chunks, "group")
+        packed.where(asked_of).select("group", "sets").join(chunks, "group")
         .select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sets")
         .toDF("group", "chunk", "sets")
     )

@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import compare  # noqa: E402
 
-from forecourt.llm import conversation_trie, jaccard_join, lexical_search, oracle, registry  # noqa: E402
+from forecourt.llm import conversation_trie, frames, jaccard_join, lexical_search, oracle, registry  # noqa: E402
 
 QUERIES = ("op11_jaccard_join", "op12_conversation_trie", "op13_ranked_search")
 
@@ -81,6 +81,25 @@ def test_components_of_near_copies(spark, percent, sketch_bits):
     assert [found[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_sets_move_only_of_groups_that_ask_or_are_asked(spark, monkeypatch):
+    made = []
+
+    def bitmap_of(keys, bits):
+        made.append((keys.columns, keys.distinct().count(), frames.bitmap_of(keys, bits)))
+        return made[-1][2]
+
+    monkeypatch.setattr(jaccard_join, "bitmap_of", bitmap_of)
+    rng = random.Random(7)
+    texts = [t for _ in range(30) for t in _near_copies(rng, 12, 60, 4)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    for bits in (64, jaccard_join.GROUP_BITS):
+        monkeypatch.setattr(jaccard_join, "GROUP_BITS", bits)
+        found = {r.doc_id: r.component_id for r in jaccard_join.linked_documents(frame).collect()}
+        assert [found[i] for i in range(len(texts))] == _linked([_shingles(t) for t in texts], 90)
+    assert [columns for columns, _, _ in made] == [["group_q"], ["group"]] * 2
+    assert all(0 < sum(map(int.bit_count, bitmap)) <= groups for _, groups, bitmap in made)
+
+
 def test_groups_are_bounded(monkeypatch):
     class Context:
         @staticmethod
