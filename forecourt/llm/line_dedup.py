@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import lookup
-from forecourt.llm.frames import col, join_same, pin, text_of, whole_row, with_text
+from forecourt.llm.frames import col, join_same, text_of, whole_row, with_text
 from forecourt.llm.lines import clean_lines, line_keys, without_lines
 
 MAX_RATIO = 0.05
@@ -45,8 +45,8 @@ def remove_site_lines(
     keys = F.array_distinct(line_keys(F.col("text")))
     page_lines = rows.select("doc_id", "host", "text_hash", F.explode(keys).alias("line"))
     pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    # Stored, because the join below reads it twice.
-    counts = pin(page_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
+    # Read twice by the join below, from one shuffle: a stored copy would be a file per partition for very few rows.
+    counts = page_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     frequent = (
         lookup(counts, pages, "host", "line", how="inner")
         .where(F.col("n") > max_ratio * F.col("host_pages"))

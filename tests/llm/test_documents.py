@@ -230,6 +230,20 @@ def test_null_ids_of_one_host(spark):
     assert sorted(r.text for r in done) == sorted([f"own {i}" for i in range(40)] + ["own x"])
 
 
+def test_lines_are_counted_in_one_shuffle_and_not_stored(spark, tmp_path):
+    rows = [(i, "shared line here\nown %d" % i, "h" if i % 3 else None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    kept, context = spark.sparkContext.getCheckpointDir(), spark.sparkContext
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        done = line_dedup.remove_site_lines(frame)
+        assert sorted(r.text for r in done.collect()) == sorted(f"own {i}" for i in range(60))
+    finally:
+        context.setCheckpointDir(kept)
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
+    assert "ReusedExchange" in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_filter_collisions_change_nothing(documents):
     frame, texts = documents
     narrow = exact_dedup.duplicate_groups(frame, prefix_chars=3, filter_bits=64).collect()
