@@ -379,7 +379,8 @@ def similar_sets(
         sets.repartition("range").sortWithinPartitions("range", "key").select("key", "tokens")
         .mapInArrow(_groups(percent, sketch, sketch_bits), PACKED)
     )
-    inner = packed.select(F.inline(F.arrays_zip("a", "b")))
+    # Dealt anew, so that these few rows are not stored as a file per range.
+    inner = packed.select(F.inline(F.arrays_zip("a", "b"))).repartition("a")
     vertices = packed.select("group", F.posexplode("keys").alias("slot", "key")).select(
         "group", "key", (F.col("group") * GROUP_SETS + F.col("slot")).alias("row")
     )
@@ -424,7 +425,8 @@ def similar_sets(
         .select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sets")
         .toDF("group", "chunk", "sets")
     )
-    outer = pin(
+    # Read once, and so not stored: its tasks are large, and a file each would start a child of the executor.
+    outer = (
         targets.groupBy("group", "chunk").cogroup(queries.groupBy("group", "chunk"))
         .applyInArrow(_across(percent), "a bigint, b bigint")
     )

@@ -100,6 +100,25 @@ def test_sets_move_only_of_groups_that_ask_or_are_asked(spark, monkeypatch):
     assert all(0 < sum(map(int.bit_count, bitmap)) <= groups for _, groups, bitmap in made)
 
 
+def test_links_are_not_stored_by_the_tasks_that_find_them(spark, monkeypatch):
+    """What a task stores is a file, for which its executor starts a child."""
+    stored = []
+
+    def pin(df):
+        stored.append((df.columns, df._jdf.queryExecution().sparkPlan().toString()))
+        return frames.pin(df)
+
+    monkeypatch.setattr(jaccard_join, "pin", pin)
+    rng = random.Random(11)
+    texts = [t for _ in range(12) for t in _near_copies(rng, 12, 60, 4)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in jaccard_join.linked_documents(frame).collect()}
+    assert [found[i] for i in range(len(texts))] == _linked([_shingles(t) for t in texts], 90)
+    within, across = [plan for columns, plan in stored if columns == ["a", "b"]]
+    assert "REPARTITION_BY_COL" in within.splitlines()[0]
+    assert "FlatMapCoGroupsInArrow" in across and "Join" in across
+
+
 def test_groups_are_bounded(monkeypatch):
     class Context:
         @staticmethod
