@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt import schema
-from forecourt.functions.joins import first_per_key, keys_of, lookup, mark, mark_rows
+from forecourt.functions.joins import first_per_key, keys_of, lookup, lookup_by_counts, mark, mark_rows
 from forecourt.functions.lineage import pin
 from forecourt.functions.money import asking_price
 from forecourt.functions.numbering import number_rows
@@ -299,8 +299,8 @@ def apply_status_updates(tables: Tables, updates: DataFrame) -> DataFrame:
 def status_update_results(tables: Tables, updates: DataFrame) -> DataFrame:
     """Every update with `matched`: did it name an existing part and a valid status?"""
     known = tables.part.select(*PART_KEY).distinct()
-    marked = mark_rows(updates, known, PART_KEY, "_known", "seq")
-    matched = F.col("_known") & F.coalesce(F.col("new_status").isin(*schema.PART_STATUSES), F.lit(False))
+    marked = lookup_by_counts(updates, known.withColumn("_known", F.lit(True)), PART_KEY, "seq")
+    matched = F.col("_known").isNotNull() & F.coalesce(F.col("new_status").isin(*schema.PART_STATUSES), F.lit(False))
     return marked.withColumn("matched", matched).drop("_known")
 
 

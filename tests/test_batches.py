@@ -253,6 +253,26 @@ def test_status_updates_last_one_wins(spark, base):
     ]
 
 
+def _moves_by_part(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(order_number")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, old)
+
+
+def test_update_results_move_each_update_once(spark, base, no_broadcast):
+    updates = spark.createDataFrame([("BUSY-003", f"P{i % 2}", "Received", i) for i in range(10)], UPDATE)
+    results = batches.status_update_results(base, updates)
+    assert _moves_by_part(results) == 3  # the updates, the parts made distinct, and these to the updates
+    assert results.where("matched").count() == 5
+
+
 LEGAL = {("Ordered", "Received"), ("Ordered", "Installed"), ("Received", "Installed")}
 
 

@@ -7,7 +7,7 @@ from lot import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from forecourt.functions.joins import attach_distinct, attach_many, first_per_key, lookup, mark_rows
+from forecourt.functions.joins import attach_distinct, attach_many, first_per_key, lookup, lookup_by_counts, mark_rows
 from forecourt.functions.lineage import pin
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.reshape import attribute_rows
@@ -65,6 +65,38 @@ def test_lookup_collects_no_set_per_key(spark):
     assert sorted((r.id, r.v) for r in found.collect()) == [(1, 10), (2, 10), (2, 10), (3, None), (4, None)]
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+@pytest.mark.parametrize("salts", [1, 5, 1024])
+def test_lookup_by_counts_equals_plain_join(spark, how, salts):
+    many = spark.range(4000).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('k', id % 50))) AS key", "if(id % 5 = 0, null, 'x') AS other"
+    )
+    one = [("hot", "x", 1), ("hot", "x", 2), ("unused", "x", 9), ("k1", None, 8), *[(f"k{i}", "x", i) for i in range(25)]]
+    one = spark.createDataFrame(one, "key string, other string, v int")
+    found = lookup_by_counts(many, one, ["key", "other"], "id", how=how, salts=salts)
+    plain = many.join(one, ["key", "other"], how)
+    assert rows(found, *plain.columns) == rows(plain)
+    assert lookup_by_counts(many.limit(0), one, ["key", "other"], "id", how=how, salts=salts).count() == 0
+
+
+def test_lookup_by_counts_cuts_hot_keys_only(spark):
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        many = spark.range(100_000).selectExpr("id", "if(id % 2 = 0, -1, id) AS key")
+        one = spark.range(-1, 100_000).selectExpr("id AS key", "1 AS v")
+        found = lookup_by_counts(many, one, "key", "id")
+        shares = found.groupBy(F.spark_partition_id()).agg(F.count("v").alias("n")).collect()
+        cut = [e.split("#")[0] for e in found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(")[1:]]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in shares) == 100_000 and max(r.n for r in shares) <= 2 * 100_000 / 16
+    assert cut.count("key") == 2  # each side moves once
+
+
 def test_mark_rows_on_two_columns(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "x")], "id int, p string, q string")
     keys = spark.createDataFrame([("a", "x")], "p string, q string")
