@@ -190,6 +190,24 @@ def test_parts_orders(spark, base, pinned):
     assert result.rejects.count() + 3 == batch.count()
 
 
+def _joins_with(df, column: str) -> int:
+    """Joins one of whose sides brings a column."""
+    def count(node) -> int:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        here = node.nodeName() == "Join" and any(f"{column}#" in child.output().toString() for child in below)
+        return here + sum(count(child) for child in below)
+
+    return count(df._jdf.queryExecution().optimizedPlan())
+
+
+def test_parts_move_only_to_their_order(spark, base):
+    batch = spark.createDataFrame([(i, "OLD", "Acme", [item(), item(f"Q{i}")]) for i in range(3)], ORDER)
+    result = batches.apply_parts_orders(base, batch, pinned=False)
+    assert _joins_with(result.rejects, "parts") == _joins_with(result.new_rows["parts_order"], "parts") == 0
+    assert _joins_with(result.new_rows["part"], "parts") == 1
+    assert result.new_rows["part"].count() == 6
+
+
 def test_a_taken_order_number_stops_the_rest_of_the_batch(spark, base):
     batch = spark.createDataFrame([(i, "BUSY", "Acme", [item()]) for i in (1, 2)], ORDER)
     result = batches.apply_parts_orders(base, batch)  # two orders exist, so the next is number 3, which is taken

@@ -1,6 +1,7 @@
 """Joins, numbering, reshaping and text rules against plain formulations."""
 
 import random
+import time
 
 import pytest
 from lot import rows
@@ -8,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from forecourt.functions.joins import attach_distinct, attach_many, first_per_key, lookup, lookup_by_counts, mark_rows
-from forecourt.functions.lineage import pin
+from forecourt.functions.lineage import SHUFFLE_CLEANUP, pin
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.reshape import attribute_rows
 from forecourt.functions.text import capitalised, keyword_pattern, order_number
@@ -174,3 +175,18 @@ def test_pin_writes_parquet_to_the_given_folder(spark, tmp_path):
     pinned = pin(spark.range(5), str(tmp_path))
     assert pinned.count() == 5 and pinned.columns == ["id"]
     assert len(list(tmp_path.glob("pinned-*/*.parquet"))) > 0
+
+
+def test_pin_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffled() -> set[str]:
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    pinned = pin(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and pinned.count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
