@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt import schema
-from forecourt.functions.joins import first_per_key, keys_of, lookup, lookup_by_counts, mark, mark_rows
+from forecourt.functions.joins import first_per_key, keys_of, lookup, lookup_and_minima, lookup_by_counts, mark, mark_rows
 from forecourt.functions.lineage import pin
 from forecourt.functions.money import asking_price
 from forecourt.functions.numbering import number_rows
@@ -317,24 +317,27 @@ def status_update_results(tables: Tables, updates: DataFrame) -> DataFrame:
     return marked.withColumn("matched", matched).drop("_known")
 
 
-def _transition_plan(tables: Tables, updates: DataFrame) -> DataFrame:
-    """Per part: its status and the seq of the updates that move it.
+def _seq_of_move(status: str) -> Column:
+    return F.when(F.col("new_status") == status, F.col("seq"))
+
+
+def _with_moves(parts: DataFrame, status_col: str = "status") -> DataFrame:
+    """Add the seq of the updates that move a part, from its status and the first seq of either move.
 
     Legal moves only go forward, so of any ordered list of updates at most two take effect: the first
     "Installed" (unless the part is installed already), and the first "Received" if the part is "Ordered"
     and nothing installs it earlier.  Two minima per part therefore replace replaying the list.
     """
-    def first(status: str) -> Column:
-        return F.min(F.when(F.col("new_status") == status, F.col("seq")))
-
-    firsts = updates.groupBy(*PART_KEY).agg(first("Received").alias("_received"), first("Installed").alias("_installed"))
-    status = F.col("status")
+    status = F.col(status_col)
     installs = F.when(status != "Installed", F.col("_installed"))
     receives = F.when(
         (status == "Ordered") & (F.col("_installed").isNull() | (F.col("_received") < F.col("_installed"))),
         F.col("_received"),
     )
-    return tables.part.join(firsts, PART_KEY, "left").withColumns({"_install_at": installs, "_receive_at": receives})
+    return parts.withColumns({"_install_at": installs, "_receive_at": receives})
+
+
+FIRST_MOVES = {"_received": "Received", "_installed": "Installed"}
 
 
 def apply_status_transitions(tables: Tables, updates: DataFrame) -> DataFrame:
@@ -344,18 +347,22 @@ def apply_status_transitions(tables: Tables, updates: DataFrame) -> DataFrame:
         .when(F.col("_receive_at").isNotNull(), F.lit("Received"))
         .otherwise(F.col("status"))
     )
-    return _transition_plan(tables, updates).withColumn("status", status).select(*schema.SCHEMAS["part"].names)
+    firsts = updates.groupBy(*PART_KEY).agg(*[F.min(_seq_of_move(move)).alias(c) for c, move in FIRST_MOVES.items()])
+    moved = _with_moves(tables.part.join(firsts, PART_KEY, "left"))
+    return moved.withColumn("status", status).select(*schema.SCHEMAS["part"].names)
 
 
 def status_transition_results(tables: Tables, updates: DataFrame) -> DataFrame:
     """Every update with `applied`: was it a legal move of a known part at its turn?"""
-    plan = _transition_plan(tables, updates).select(*PART_KEY, "_install_at", "_receive_at")
+    before = tables.part.select(*PART_KEY, F.col("status").alias("_status"))
+    firsts = {c: _seq_of_move(move) for c, move in FIRST_MOVES.items()}
+    moves = _with_moves(lookup_and_minima(updates, before, PART_KEY, "seq", firsts), "_status")
     seq, new = F.col("seq"), F.col("new_status")
     applied = ((new == "Installed") & (seq == F.col("_install_at"))) | (
         (new == "Received") & (seq == F.col("_receive_at"))
     )
-    joined = lookup(updates, plan, PART_KEY, "seq")
-    return joined.withColumn("applied", F.coalesce(applied, F.lit(False))).drop("_install_at", "_receive_at")
+    applied = F.coalesce(applied, F.lit(False))
+    return moves.withColumn("applied", applied).drop("_status", *FIRST_MOVES, "_install_at", "_receive_at")
 
 
 def sale_prices(tables: Tables) -> DataFrame:

@@ -312,6 +312,19 @@ def test_status_transitions_equal_a_replay(spark):
     assert {(r.order_number, r.seq): r.applied for r in results.collect()} == applied
 
 
+def test_transition_results_move_updates_and_parts_once(spark, base, no_broadcast):
+    # A part with more updates than meet in one place: the first that installs it and the one before that receives it.
+    many = spark.range(3000).selectExpr("'BUSY-003' AS order_number", "'P1' AS vendor_parts_number", "id", "3000 - id AS seq")
+    many = many.selectExpr("* except (id)", "if(id = 2999, 'Ordered', if(id = 2998, 'Received', 'Installed')) AS new_status")
+    other = spark.createDataFrame([("BUSY-001", "P1", 7, "Installed"), (None, "P1", 1, "Installed")], "a string, b string, c long, d string")
+    parts = [{"order_number": "BUSY-003", "status": "Ordered"}, {"order_number": "BUSY-001", "status": "Installed"}]
+    tables = base.with_tables(part=frame(spark, "part", parts))
+    results = batches.status_transition_results(tables, many.union(other))
+    assert _moves_by_part(results) <= 4  # the updates, the parts, and of parts with many updates the firsts, to and fro
+    assert rows(results.where("applied"), "seq", "new_status") == [(2, "Received"), (3, "Installed")]
+    assert results.count() == 3002
+
+
 def test_sales(spark, base):
     batch = spark.createDataFrame(
         [

@@ -8,7 +8,7 @@ from lot import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from forecourt.functions.joins import attach_distinct, attach_many, first_per_key, lookup, lookup_by_counts, mark_rows
+from forecourt.functions.joins import attach_distinct, attach_many, first_per_key, lookup, lookup_and_minima, lookup_by_counts, mark_rows
 from forecourt.functions.lineage import SHUFFLE_CLEANUP, pin
 from forecourt.functions.numbering import number_rows, number_rows_by_hash
 from forecourt.functions.reshape import attribute_rows
@@ -98,6 +98,19 @@ def test_lookup_by_counts_cuts_hot_keys_only(spark):
     assert cut.count("key") == 2  # each side moves once
 
 
+@pytest.mark.parametrize("salts", [1, 5, 1024])
+def test_lookup_and_minima_equals_joins_and_a_group(spark, salts):
+    many = spark.range(4000).selectExpr(
+        "7000 - id AS id", "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('k', id % 50))) AS key", "if(id % 5 = 0, null, id % 11) AS m"
+    )
+    one = spark.createDataFrame([("hot", 1), ("hot", 2), ("unused", 9), *[(f"k{i}", i) for i in range(25)]], "key string, v int")
+    minima = {"_a": F.col("id"), "_b": F.when(F.col("m") > 5, F.col("id"))}
+    found = lookup_and_minima(many, one, ["key"], "id", minima, salts)
+    least = many.groupBy("key").agg(*[F.min(value).alias(name) for name, value in minima.items()])
+    plain = many.join(one, "key", "left").join(least, "key", "left")
+    assert found.columns == plain.columns and rows(found) == rows(plain)
+
+
 def test_mark_rows_on_two_columns(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "x")], "id int, p string, q string")
     keys = spark.createDataFrame([("a", "x")], "p string, q string")
