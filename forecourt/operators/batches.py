@@ -284,7 +284,7 @@ PART_KEY = ["order_number", "vendor_parts_number"]
 SEQ_BLOCK_BITS = 12
 
 
-def _latest_status(updates: DataFrame) -> DataFrame:
+def latest_status(updates: DataFrame) -> DataFrame:
     """The part key and `_new`, the status of its last valid update: a maximum of (seq, status), which Spark sorts for.
 
     The stage that makes the updates may hold very many in a task, so they are dealt out before they are sorted, in
@@ -305,8 +305,13 @@ def apply_status_updates(tables: Tables, updates: DataFrame) -> DataFrame:
 
     Columns of `updates`: order_number, vendor_parts_number, new_status, seq.
     """
-    changed = tables.part.join(_latest_status(updates), PART_KEY, "left")
-    return changed.withColumn("status", F.coalesce("_new", "status")).select(*schema.SCHEMAS["part"].names)
+    changed = with_latest_status(tables.part.join(latest_status(updates), PART_KEY, "left"))
+    return changed.select(*schema.SCHEMAS["part"].names)
+
+
+def with_latest_status(parts: DataFrame) -> DataFrame:
+    """Parts beside their `latest_status`, if there is one, as the batch leaves them."""
+    return parts.withColumn("status", F.coalesce("_new", "status"))
 
 
 def status_update_results(tables: Tables, updates: DataFrame) -> DataFrame:
@@ -342,14 +347,23 @@ FIRST_MOVES = {"_received": "Received", "_installed": "Installed"}
 
 def apply_status_transitions(tables: Tables, updates: DataFrame) -> DataFrame:
     """Next snapshot of the part table after the legal moves, applied in `seq` order per part (seq unique per part)."""
+    moved = with_moved_status(tables.part.join(first_moves(updates), PART_KEY, "left"))
+    return moved.select(*schema.SCHEMAS["part"].names)
+
+
+def first_moves(updates: DataFrame) -> DataFrame:
+    """The part key and the first seq of either move."""
+    return updates.groupBy(*PART_KEY).agg(*[F.min(_seq_of_move(move)).alias(c) for c, move in FIRST_MOVES.items()])
+
+
+def with_moved_status(parts: DataFrame) -> DataFrame:
+    """Parts beside their `first_moves`, if there are any, as the batch leaves them."""
     status = (
         F.when(F.col("_install_at").isNotNull(), F.lit("Installed"))
         .when(F.col("_receive_at").isNotNull(), F.lit("Received"))
         .otherwise(F.col("status"))
     )
-    firsts = updates.groupBy(*PART_KEY).agg(*[F.min(_seq_of_move(move)).alias(c) for c, move in FIRST_MOVES.items()])
-    moved = _with_moves(tables.part.join(firsts, PART_KEY, "left"))
-    return moved.withColumn("status", status).select(*schema.SCHEMAS["part"].names)
+    return _with_moves(parts).withColumn("status", status)
 
 
 def status_transition_results(tables: Tables, updates: DataFrame) -> DataFrame:

@@ -8,12 +8,15 @@ they are.  A batch that failed half-way can be run again: both kinds of status b
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forecourt import schema
+from forecourt.functions.lineage import delete_folder, new_folder, pin, shuffles_removed
 from forecourt.operators import batches
 from forecourt.tables import Tables, conform
 
@@ -24,12 +27,17 @@ def partition_of(order_number: Column, partitions: int) -> Column:
     return F.pmod(F.xxhash64(order_number), F.lit(partitions)).cast("int")
 
 
-def _write(parts: DataFrame, folder: str, partitions: int, mode: str) -> None:
-    """One file per partition and write, whichever task made the rows; a partition is one task's work."""
-    tagged = conform(parts, "part").withColumn(PARTITION, partition_of(F.col("order_number"), partitions))
-    writer = tagged.repartition(PARTITION).write.partitionBy(PARTITION)
-    # Dynamic: only the partitions that `parts` has rows of are replaced.
-    writer.option("partitionOverwriteMode", "dynamic").mode(mode).parquet(folder)
+def _placed(rows: DataFrame, partitions: int) -> DataFrame:
+    """The rows dealt out by their partition: a partition is one task's work."""
+    return rows.withColumn(PARTITION, partition_of(F.col("order_number"), partitions)).repartition(PARTITION)
+
+
+def _write(placed: DataFrame, folder: str, mode: str) -> None:
+    """One file per partition and write, whichever task made the rows."""
+    # Dynamic: only the partitions that `placed` has rows of are replaced.
+    writer = placed.write.partitionBy(PARTITION).option("partitionOverwriteMode", "dynamic")
+    with shuffles_removed(placed.sparkSession):
+        writer.mode(mode).parquet(folder)
 
 
 def write_parts(parts: DataFrame, folder: str, partitions: int) -> None:
@@ -38,11 +46,11 @@ def write_parts(parts: DataFrame, folder: str, partitions: int) -> None:
     `partitions` stays with the folder: give the same number ever after.  Choose it so that a partition is about one task's
     data (100-200 MB); a batch costs as many partitions as it has different orders, at most.
     """
-    _write(parts, folder, partitions, "errorifexists")
+    _write(_placed(conform(parts, "part"), partitions), folder, "errorifexists")
 
 
 def append_parts(parts: DataFrame, folder: str, partitions: int) -> None:
-    _write(parts, folder, partitions, "append")
+    _write(_placed(conform(parts, "part"), partitions), folder, "append")
 
 
 def read_parts(spark: SparkSession, folder: str, numbers: list[int] | None = None) -> DataFrame:
@@ -56,24 +64,47 @@ def read_parts(spark: SparkSession, folder: str, numbers: list[int] | None = Non
 def touched_partitions(updates: DataFrame, partitions: int) -> list[int]:
     """The partitions of the orders that `updates` name: at most `partitions` numbers reach the driver."""
     numbers = updates.where(F.col("order_number").isNotNull()).select(partition_of(F.col("order_number"), partitions))
-    return sorted(row[0] for row in numbers.distinct().collect())
+    with shuffles_removed(updates.sparkSession):
+        return sorted(row[0] for row in numbers.distinct().collect())
+
+
+def _beside(parts: DataFrame, facts: DataFrame, partitions: int) -> DataFrame:
+    """`parts LEFT JOIN facts USING (part key)`, dealt out by partition so that the result can be written as it lies.
+
+    `facts` has one row per key.  A join would deal out both sides by the key, and its result once more by partition.
+    """
+    named = facts.where(reduce(and_, [F.col(c).isNotNull() for c in batches.PART_KEY]))
+    rows = parts.withColumn("_is_part", F.lit(True)).unionByName(named, allowMissingColumns=True)
+    same = Window.partitionBy(PARTITION, *batches.PART_KEY)
+    facts_of = {c: F.max(c).over(same) for c in facts.columns if c not in batches.PART_KEY}
+    return _placed(rows, partitions).withColumns(facts_of).where("_is_part")
 
 
 def _store(
-    tables: Tables, updates: DataFrame, folder: str, partitions: int, apply: Callable[[Tables, DataFrame], DataFrame]
+    updates: DataFrame,
+    folder: str,
+    partitions: int,
+    facts: Callable[[DataFrame], DataFrame],
+    settle: Callable[[DataFrame], DataFrame],
 ) -> list[int]:
-    numbers = touched_partitions(updates, partitions)
+    """`facts` has a row per part of the updates, and is stored first, so that its shuffles are gone when parts are read."""
+    spark, numbers = updates.sparkSession, touched_partitions(updates, partitions)
     if numbers:
-        before = read_parts(updates.sparkSession, folder, numbers)
-        _write(apply(tables.with_tables(part=before), updates), folder, partitions, "overwrite")
+        staging = new_folder(spark, "status-batch")
+        try:
+            found = pin(facts(updates), staging)
+            after = settle(_beside(read_parts(spark, folder, numbers), found, partitions))
+            _write(after.select(*schema.SCHEMAS["part"].names, PARTITION), folder, "overwrite")
+        finally:
+            delete_folder(spark, staging)
     return numbers
 
 
 def store_status_updates(tables: Tables, updates: DataFrame, folder: str, partitions: int) -> list[int]:
     """`batches.apply_status_updates` on the stored part table, in place.  Gives the numbers of the partitions replaced."""
-    return _store(tables, updates, folder, partitions, batches.apply_status_updates)
+    return _store(updates, folder, partitions, batches.latest_status, batches.with_latest_status)
 
 
 def store_status_transitions(tables: Tables, updates: DataFrame, folder: str, partitions: int) -> list[int]:
     """`batches.apply_status_transitions`, likewise."""
-    return _store(tables, updates, folder, partitions, batches.apply_status_transitions)
+    return _store(updates, folder, partitions, batches.first_moves, batches.with_moved_status)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import date
 from decimal import Decimal
 
@@ -50,3 +51,17 @@ def rows(df, *columns: str) -> list[tuple]:
     """Rows as sorted tuples."""
     picked = df.select(*columns) if columns else df
     return sorted((tuple(r) for r in picked.collect()), key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def shuffle_files(spark) -> set[str]:
+    """Names of the shuffle files this session has on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def new_shuffle_files(spark, before: set[str], seconds: float = 20) -> set[str]:
+    """Those that came since and stay: files are removed in the background."""
+    until = time.time() + seconds
+    while (new := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return new

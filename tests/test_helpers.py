@@ -1,10 +1,9 @@
 """Joins, numbering, reshaping and text rules against plain formulations."""
 
 import random
-import time
 
 import pytest
-from lot import rows
+from lot import new_shuffle_files, rows, shuffle_files
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -191,15 +190,7 @@ def test_pin_writes_parquet_to_the_given_folder(spark, tmp_path):
 
 
 def test_pin_leaves_no_shuffle_files(spark, tmp_path):
-    def shuffled() -> set[str]:
-        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-        files = manager.getAllFiles()
-        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
-
-    before = shuffled()
+    before = shuffle_files(spark)
     pinned = pin(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path))
-    until = time.time() + 20
-    while shuffled() - before and time.time() < until:
-        time.sleep(0.2)
-    assert not shuffled() - before and pinned.count() == 7
+    assert not new_shuffle_files(spark, before) and pinned.count() == 7
     assert spark.conf.get(SHUFFLE_CLEANUP) == "false"

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from lot import DAY, frame, lot, money, rows
+from lot import DAY, frame, lot, money, new_shuffle_files, rows, shuffle_files
 from pyspark.sql import functions as F
 
 from forecourt import schema
@@ -71,6 +71,25 @@ def test_a_status_batch_reads_only_its_partitions(spark, tables, stored_parts):
     assert "PartitionFilters: [" in scan and partitioned.PARTITION in scan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("store", [partitioned.store_status_updates, partitioned.store_status_transitions])
+def test_a_status_batch_leaves_no_files_behind(spark, tables, testdata, tmp_path, store):
+    before, shared = shuffle_files(spark), set(os.listdir(lineage.shared_folder(spark)))
+    partitioned.write_parts(tables.part, str(tmp_path / "part"), PARTITIONS)
+    store(tables, view.status_updates(view.Source(spark, testdata)), str(tmp_path / "part"), PARTITIONS)
+    assert not new_shuffle_files(spark, before)
+    assert set(os.listdir(lineage.shared_folder(spark))) == shared
+
+
+def test_facts_meet_parts_in_their_partition(spark):
+    keys = [("A-1", "P"), ("A-1", "P"), ("A-1", "Q"), ("B-1", "P"), (None, "P"), ("C-1", None)]
+    parts = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "order_number string, vendor_parts_number string, n int")
+    facts = [("A-1", "P", "x", 1), ("B-1", "P", None, 2), ("Z", "P", "y", 3), (None, "P", "z", 4), ("C-1", None, "z", 5)]
+    facts = spark.createDataFrame(facts, "order_number string, vendor_parts_number string, a string, b int")
+    met = partitioned._beside(parts, facts, 4)
+    assert rows(met.drop("_is_part", partitioned.PARTITION)) == rows(parts.join(facts, batches.PART_KEY, "left"))
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_new_parts_are_appended(spark, tables, stored_parts):
     new = frame(spark, "part", [{"order_number": "N-001"}, {"order_number": "N-002"}])
     partitioned.append_parts(new, stored_parts, PARTITIONS)
